@@ -20,7 +20,7 @@ def cell_text(field: T.StructField, float_scale: int | None) -> Column:
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         if float_scale is None:
             return c.cast("string")
-        return F.round(c * F.lit(float(10**float_scale))).cast("bigint").cast("string")
+        return F.floor(c * F.lit(float(10**float_scale)) + F.lit(0.5)).cast("string")
     if isinstance(kind, (T.TimestampType, T.DateType)):
         return F.unix_micros(c.cast("timestamp")).cast("string")
     if isinstance(kind, T.TimestampNTZType):

@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from sluicegate.functions.hashing import LANES, lane, row_text
 
 _DIGEST = "__digest"
+_HALF = 30
 
 
-def lane_sums(digest: Column | None = None) -> list[Column]:
+def lane_sums() -> list[Column]:
     """Aggregates for a table that carries a row digest; decimals, so no row count overflows them."""
-    digest = F.col(_DIGEST) if digest is None else digest
-    return [F.sum(lane(digest, i).cast("decimal(20,0)")).alias(f"lane_{i}") for i in range(LANES)]
+    return [F.sum(lane(F.col(_DIGEST), i).cast("decimal(20,0)")).alias(f"lane_{i}") for i in range(LANES)]
 
 
 def combine(n_rows: Column) -> Column:
@@ -42,8 +42,29 @@ def fingerprint(
     keep_column_order: bool = False,
 ) -> DataFrame:
     """(by..., n_rows, fingerprint): one row, or one per group."""
+    keys = by or []
     digested = with_digest(df, columns, float_scale, keep_column_order)
-    sums = digested.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n_rows"), *lane_sums())
+    # Per task, half lanes add up in plain longs; only these few rows become decimals.
+    numbered = digested.select(
+        *keys,
+        F.spark_partition_id().alias("__task"),
+        *[lane(F.col(_DIGEST), i).alias(f"lane_{i}") for i in range(LANES)],
+    )
+    halves = []
+    for i in range(LANES):
+        halves.append(F.sum(F.shiftright(f"lane_{i}", _HALF)).alias(f"high_{i}"))
+        halves.append(F.sum(F.col(f"lane_{i}").bitwiseAND(F.lit(2**_HALF - 1))).alias(f"low_{i}"))
+    per_task = numbered.groupBy(*keys, "__task").agg(F.count(F.lit(1)).alias("n"), *halves)
+    sums = per_task.groupBy(*keys).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
+        *[
+            (
+                F.sum(F.col(f"high_{i}").cast("decimal(20,0)")) * F.lit(2**_HALF).cast("decimal(11,0)")
+                + F.sum(F.col(f"low_{i}").cast("decimal(20,0)"))
+            ).alias(f"lane_{i}")
+            for i in range(LANES)
+        ],
+    )
     return sums.select(*(by or []), "n_rows", combine(F.col("n_rows")).alias("fingerprint"))
 
 

@@ -45,11 +45,13 @@ def inject_faults(
         share = missing / len(contract.FAULT_COLUMNS)
         for c in contract.FAULT_COLUMNS:
             out = _replace(out, c, uniform(key, f"missing:{c}", seed) < share, F.lit(None))
-    out = out.withColumn(COPY, F.lit(0))
     copies = faults.get("duplicate_ratio", 0.0)
     if copies > 0:
-        picked = out.where(uniform(key, "duplicate", seed) < copies).withColumn(COPY, F.lit(1))
-        out = out.unionByName(picked)
+        # One pass: a picked row leaves as copies 0 and 1.
+        picked = uniform(key, "duplicate", seed) < copies
+        out = out.withColumn(COPY, F.explode(F.when(picked, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    else:
+        out = out.withColumn(COPY, F.lit(0))
     own = _copy_key()
     ratio = faults.get("negative_price_ratio", 0.0)
     if ratio > 0:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,25 +15,31 @@ MISSING_COLUMN = "column_present"
 
 @dataclass(frozen=True)
 class Rule:
-    """``holds`` is applied to the column converted to ``data_type``; it is not asked about NULLs."""
+    """``holds`` is SQL over ``{v}``, the column converted to ``data_type``; NULLs are not asked."""
 
     column: str
     check: str
     data_type: str
-    holds: Callable[[Column], Column] | None = None
+    holds: str | None = None
 
     @property
     def name(self) -> str:
         return f"{self.column}:{self.check}"
 
-    def violated(self) -> Column:
-        raw = F.col(f"`{self.column}`")
-        value = F.expr(f"try_cast(`{self.column}` AS {self.data_type})")
+    @property
+    def violation(self) -> str:
+        """The condition, as SQL, that is true on a violation and never NULL."""
+        raw = f"`{self.column}`"
+        value = f"try_cast({raw} AS {self.data_type})"
         if self.check == "not_null":
-            return raw.isNull()
+            return f"{raw} IS NULL"
         if self.holds is None:
-            return raw.isNotNull() & value.isNull()
-        return F.coalesce(~self.holds(value), F.lit(False))
+            return f"({raw} IS NOT NULL AND {value} IS NULL)"
+        return f"coalesce(NOT ({self.holds.format(v=value)}), false)"
+
+
+def _literal(value) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(value, str) else repr(value)
 
 
 def not_null(column: str) -> Rule:
@@ -46,27 +51,29 @@ def has_type(column: str, data_type: str) -> Rule:
 
 
 def matches(column: str, pattern: str) -> Rule:
-    return Rule(column, "matches", "string", lambda c: c.rlike(pattern))
+    text = _literal(pattern).replace("{", "{{").replace("}", "}}")
+    return Rule(column, "matches", "string", "{v} RLIKE " + text)
 
 
 def one_of(column: str, values: list, data_type: str = "string") -> Rule:
-    return Rule(column, "one_of", data_type, lambda c: c.isin(values))
+    listed = ", ".join(_literal(v) for v in values).replace("{", "{{").replace("}", "}}")
+    return Rule(column, "one_of", data_type, "{v} IN (" + listed + ")")
 
 
 def above(column: str, bound: float) -> Rule:
-    return Rule(column, f"gt_{bound:g}", "double", lambda c: c > F.lit(bound))
+    return Rule(column, f"gt_{bound:g}", "double", f"{{v}} > {bound}")
 
 
 def below(column: str, bound: float) -> Rule:
-    return Rule(column, f"lt_{bound:g}", "double", lambda c: c < F.lit(bound))
+    return Rule(column, f"lt_{bound:g}", "double", f"{{v}} < {bound}")
 
 
 def at_least(column: str, bound: float) -> Rule:
-    return Rule(column, f"ge_{bound:g}", "double", lambda c: c >= F.lit(bound))
+    return Rule(column, f"ge_{bound:g}", "double", f"{{v}} >= {bound}")
 
 
 def within(column: str, low: float, high: float, data_type: str = "double") -> Rule:
-    return Rule(column, f"in_{low:g}_{high:g}", data_type, lambda c: c.between(F.lit(low), F.lit(high)))
+    return Rule(column, f"in_{low:g}_{high:g}", data_type, f"{{v}} BETWEEN {low} AND {high}")
 
 
 def sales_rules(allow_missing: bool = False) -> list[Rule]:
@@ -120,31 +127,19 @@ def _split_by_presence(df: DataFrame, rules: list[Rule]) -> tuple[list[Rule], li
 def count_expressions(df: DataFrame, rules: list[Rule]) -> list[Column]:
     """One counter per rule, for use inside any aggregation that scans ``df`` anyway."""
     present, _ = _split_by_presence(df, rules)
-    return [F.count_if(r.violated()).alias(f"rule_{i}") for i, r in enumerate(present)]
+    return [F.expr(f"count_if({r.violation}) AS rule_{i}") for i, r in enumerate(present)]
 
 
 def counts_to_rows(counted: DataFrame, df: DataFrame, rules: list[Rule], keep: list[str]) -> DataFrame:
     """Turn the counters of :func:`count_expressions` (plus ``n_rows``) into one row per rule."""
     present, absent = _split_by_presence(df, rules)
-    rows = [
-        F.struct(
-            F.lit(r.name).alias("rule"),
-            F.lit(r.column).alias("column_name"),
-            F.lit(r.check).alias("check_name"),
-            F.col(f"rule_{i}").alias("n_violations"),
-        )
-        for i, r in enumerate(present)
-    ]
-    rows += [
-        F.struct(
-            F.lit(f"{c}:{MISSING_COLUMN}").alias("rule"),
-            F.lit(c).alias("column_name"),
-            F.lit(MISSING_COLUMN).alias("check_name"),
-            F.lit(1).cast("bigint").alias("n_violations"),
-        )
-        for c in absent
-    ]
-    return counted.select(*keep, "n_rows", F.inline(F.array(*rows))).select(
+    found = [(r.column, r.check, f"rule_{i}") for i, r in enumerate(present)]
+    found += [(c, MISSING_COLUMN, "1L") for c in absent]
+    rows = ", ".join(
+        f"named_struct('rule', '{c}:{k}', 'column_name', '{c}', 'check_name', '{k}', 'n_violations', {n})"
+        for c, k, n in found
+    )
+    return counted.select(*keep, "n_rows", F.expr(f"inline(array({rows}))")).select(
         *keep,
         "rule",
         "column_name",
@@ -163,9 +158,9 @@ def violation_counts(df: DataFrame, rules: list[Rule]) -> DataFrame:
 def with_violations(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """Add ``violations``: the names of the rules this row breaks, in rule order."""
     present, absent = _split_by_presence(df, rules)
-    checks = [F.when(r.violated(), F.lit(r.name)) for r in present]
-    checks += [F.lit(f"{c}:{MISSING_COLUMN}") for c in absent]
-    return df.withColumn("violations", F.array_compact(F.array(*checks)))
+    checks = [f"CASE WHEN {r.violation} THEN '{r.name}' END" for r in present]
+    checks += [f"'{c}:{MISSING_COLUMN}'" for c in absent]
+    return df.withColumn("violations", F.expr(f"array_compact(array({', '.join(checks)}))"))
 
 
 def quarantine(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame, DataFrame]:
@@ -177,19 +172,12 @@ def quarantine(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame, DataFrame]:
 def failure_cases(df: DataFrame, rules: list[Rule], key: list[str]) -> DataFrame:
     """One row per broken rule and data row: key, rule, column_name, check_name, failure_case."""
     present, _ = _split_by_presence(df, rules)
-    cases = [
-        F.when(
-            r.violated(),
-            F.struct(
-                F.lit(r.name).alias("rule"),
-                F.lit(r.column).alias("column_name"),
-                F.lit(r.check).alias("check_name"),
-                F.col(f"`{r.column}`").cast("string").alias("failure_case"),
-            ),
-        )
+    cases = ", ".join(
+        f"CASE WHEN {r.violation} THEN named_struct('rule', '{r.name}', 'column_name', '{r.column}', "
+        f"'check_name', '{r.check}', 'failure_case', cast(`{r.column}` AS string)) END"
         for r in present
-    ]
-    return df.select(*key, F.inline(F.array_compact(F.array(*cases))))
+    )
+    return df.select(*key, F.expr(f"inline(array_compact(array({cases})))"))
 
 
 def first_cases(df: DataFrame, rules: list[Rule], key: list[str], n: int = contract.REPORTED_CASES) -> DataFrame:

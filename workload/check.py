@@ -13,6 +13,9 @@ TABLES = (
 ).split()
 
 
+SECONDS: dict[str, float] = {}
+
+
 def oracle_connection(sf_dir: str):
     import duckdb
 
@@ -44,8 +47,10 @@ def rows_by_name(names: list[str], rows) -> tuple[list[str], list[tuple]]:
 
 def compare(spark, connection, sf_dir: str, run, sql: str) -> str:
     """'' if both sides give the same bag of rows, else what differs."""
+    started = time.time()
     df = run(spark, sf_dir)
     spark_names, spark_rows = rows_by_name(df.columns, [tuple(r) for r in df.collect()])
+    SECONDS[sql] = time.time() - started
     cursor = connection.execute(sql)
     names = [d[0] for d in cursor.description]
     oracle_names, oracle_rows = rows_by_name(names, cursor.fetchall())
@@ -86,7 +91,9 @@ def main() -> int:
             problem = f"{type(error).__name__}: {str(error)[:1500]}"
         failures += bool(problem)
         kind = "oracle" if name in ORACLES else "rows"
-        print(f"{'FAIL' if problem else 'ok  '} {name:26s} {kind:6s} {time.time() - started:6.2f}s {problem}", flush=True)
+        total = time.time() - started
+        own = SECONDS.get(ORACLES.get(name), total)
+        print(f"{'FAIL' if problem else 'ok  '} {name:26s} {kind:6s} {own:6.2f}s of {total:6.2f}s {problem}", flush=True)
     return failures
 
 

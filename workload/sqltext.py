@@ -28,7 +28,7 @@ SALES = """sales AS (
 
 def cell(column: str, kind: str) -> str:
     if kind == "double":
-        return f"cast(cast(round({column}*1e{SCALE}) AS bigint) AS varchar)"
+        return f"cast(cast(floor({column}*1e{SCALE}::DOUBLE + 0.5::DOUBLE) AS bigint) AS varchar)"
     if kind == "timestamp":
         return f"cast(epoch_us({column}) AS varchar)"
     return f"cast({column} AS varchar)"

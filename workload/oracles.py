@@ -77,3 +77,254 @@ FROM {gate_values(t)},
 
 
 ORACLES["validation_report"] = f"{BAD}\n{report('sales', 'clean')}\nUNION ALL\n{report('data_quality_failure', 'data_quality_failure')}"
+
+
+# --- row-level verdicts, loading, logs ---
+
+KEYED = f"{BAD}, keyed AS (SELECT * FROM data_quality_failure)"
+
+
+def named_violations(checks) -> str:
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN {cond} THEN '{c}:{k}' END" for c, k, cond in checks) + ")"
+
+
+def case_text(c: str) -> str:
+    kind = sqltext.KINDS[c]
+    if kind == "double":
+        return f"cast(cast(round({c}, 6) AS decimal(18,6)) AS varchar)"
+    if kind == "int":
+        return f"cast(cast({c} AS decimal(18,6)) AS varchar)"
+    return f"cast({c} AS varchar)"
+
+
+ORACLES["violation_cases"] = (
+    KEYED
+    + ", cases AS ("
+    + " UNION ALL ".join(
+        f"SELECT row_key, copy_no, '{c}:{k}' AS rule, '{c}' AS column_name, '{k}' AS check_name, {case_text(c)} AS failure_case FROM keyed WHERE {cond}"
+        for c, k, cond in CHECKS
+    )
+    + ") SELECT * FROM cases ORDER BY rule, row_key, copy_no LIMIT 20"
+)
+ORACLES["quarantine"] = f"""{KEYED}
+SELECT row_key, copy_no, coalesce(v, '') AS violations, CASE WHEN coalesce(v, '') = '' THEN 'accepted' ELSE 'rejected' END AS verdict
+FROM (SELECT row_key, copy_no, {named_violations(CHECKS)} AS v FROM keyed)"""
+
+FEATURES = [c for c in COLUMNS if c not in ("date", "sales_demand")]
+REQUEST_CONDITION = " OR ".join(
+    [f"{c} IS NULL" for c in FEATURES]
+    + [
+        f"coalesce({cond}, false)"
+        for cond in (
+            "promotion_flag NOT BETWEEN 0 AND 1",
+            "price <= 0",
+            "inventory_level < 0",
+            "competitor_price <= 0",
+            "temperature NOT BETWEEN -50 AND 60",
+            "day_of_week NOT BETWEEN 0 AND 6",
+            "month NOT BETWEEN 1 AND 12",
+            "previous_day_sales < 0",
+        )
+    ]
+)
+ORACLES["validate_requests"] = f"""{KEYED}
+SELECT store_id, count_if(NOT bad) AS accepted, count_if(bad) AS rejected
+FROM (SELECT store_id, ({REQUEST_CONDITION}) AS bad FROM keyed) GROUP BY store_id"""
+
+SALES_PRINT = f"(SELECT count(*) AS n_rows, {fingerprint_of('d')} AS fingerprint FROM (SELECT sha256({SALES_TEXT}) AS d FROM sales))"
+ORACLES["load_profile"] = f"WITH {SALES} SELECT 'sales' AS source, n_rows, 12 AS n_columns, '{','.join(COLUMNS)}' AS column_names, fingerprint FROM {SALES_PRINT}"
+ORACLES["verify_load"] = f"""{BAD}, p AS (SELECT fingerprint AS expected FROM {SALES_PRINT}),
+q AS (SELECT fingerprint AS actual FROM (SELECT {fingerprint_of('d')} AS fingerprint FROM (SELECT sha256({SALES_TEXT}) AS d FROM data_quality_failure)))
+SELECT 'reordered' AS dataset, expected, expected AS actual, true AS matches FROM p
+UNION ALL SELECT 'faulty', expected, actual, expected = actual FROM p, q"""
+ORACLES["log_range"] = """SELECT event_id, user_id, event_type, value, cast(json_extract_string(props, '$.k') AS integer) AS k
+FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20 12:00:00'"""
+
+# --- fingerprints, profile, splits, adapters ---
+
+ORACLES["table_fingerprint"] = f"WITH {SALES} SELECT n_rows, fingerprint FROM {SALES_PRINT}"
+ORACLES["fingerprint_by_month"] = f"""WITH {SALES}
+SELECT month, count(*) AS n_rows, {fingerprint_of('d')} AS fingerprint FROM (SELECT month, sha256({SALES_TEXT}) AS d FROM sales) GROUP BY month"""
+
+NUMBERS = [c for c in COLUMNS if sqltext.KINDS[c] in ("double", "int")]
+ORACLES["profile_numeric"] = f"""{BAD}, t AS (SELECT count(*) AS n_rows, sum({CELLS})::BIGINT AS null_cells, {fingerprint_of('d')} AS fingerprint
+  FROM (SELECT *, sha256({SALES_TEXT}) AS d FROM data_quality_failure))
+""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, round(avg({c}::DOUBLE), 5) AS mean, round(stddev_samp({c}::DOUBLE), 5) AS std, round(min({c}::DOUBLE), 5) AS min, "
+    f"round(max({c}::DOUBLE), 5) AS max, any_value(n_rows) AS n_rows, any_value(null_cells) AS null_cells, any_value(fingerprint) AS fingerprint FROM data_quality_failure, t"
+    for c in NUMBERS
+)
+
+
+def split_case(date: str = "date") -> str:
+    return (
+        f"CASE WHEN {date} <= TIMESTAMP '1999-06-30' THEN 'train' WHEN {date} <= TIMESTAMP '2000-06-30' THEN 'validation' "
+        f"WHEN {date} <= TIMESTAMP '2001-12-31' THEN 'test' END"
+    )
+
+
+TYPES = ",".join(f"{c}:{sqltext.KINDS[c]}" for c in COLUMNS)
+ORACLES["manifest"] = f"""WITH {SALES}
+SELECT 'sales' AS dataset, count(*) AS n_rows, 12 AS n_columns, '{TYPES}' AS column_types, strftime(min(date), '%Y-%m-%d') AS first_date,
+  strftime(max(date), '%Y-%m-%d') AS last_date, {fingerprint_of('d')} AS fingerprint, count_if(s = 'train') AS train_rows,
+  count_if(s = 'validation') AS validation_rows, count_if(s = 'test') AS test_rows
+FROM (SELECT date, {split_case()} AS s, sha256({SALES_TEXT}) AS d FROM sales)"""
+ORACLES["chrono_split"] = f"""{BAD}
+SELECT coalesce({split_case()}, 'unassigned') AS split, count(*) AS n_rows, strftime(min(date), '%Y-%m-%d') AS first_date,
+  strftime(max(date), '%Y-%m-%d') AS last_date, round(sum(sales_demand), 3) AS demand FROM data_quality_failure GROUP BY 1"""
+ORACLES["quantile_split"] = f"""WITH {SALES}, p AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM sales)
+SELECT CASE WHEN i < floor(n*0.7::DOUBLE) THEN 'train' WHEN i < floor(n*0.85::DOUBLE) THEN 'validation' ELSE 'test' END AS split,
+  count(*) AS n_rows, strftime(min(date), '%Y-%m-%d') AS first_date, strftime(max(date), '%Y-%m-%d') AS last_date FROM p GROUP BY 1"""
+ORACLES["reference_baseline"] = f"""WITH {SALES}
+SELECT product_category, count(*) AS n_rows, round(avg(price), 6) AS price, round(avg(sales_demand), 6) AS demand
+FROM sales WHERE {split_case()} IN ('train', 'validation') GROUP BY 1"""
+ORACLES["calendar_features"] = """SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, cast(isodow(ts) - 1 AS integer) AS day_of_week,
+  cast(month(ts) AS integer) AS month FROM events"""
+ORACLES["adapt_daily"] = """WITH t AS (
+  SELECT date_trunc('day', l_shipdate) AS d, n_name, l_quantity AS q, l_extendedprice / nullif(l_quantity, 0) AS u
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+g AS (SELECT d, n_name, sum(q*u) AS demand, avg(u) AS price, sum(q) AS stock FROM t WHERE q > 0 AND u > 0 GROUP BY d, n_name)
+SELECT strftime(d, '%Y-%m-%d %H:%M:%S') AS date, n_name AS store_id, 'retail' AS product_category, 0 AS promotion_flag, round(price, 4) AS price,
+  round(stock, 4) AS inventory_level, round(price, 4) AS competitor_price, 0.0::DOUBLE AS temperature, cast(isodow(d) - 1 AS integer) AS day_of_week,
+  cast(month(d) AS integer) AS month, round(coalesce(lag(demand) OVER (PARTITION BY n_name ORDER BY d), 0.0), 4) AS previous_day_sales,
+  round(demand, 4) AS sales_demand FROM g"""
+ORACLES["adapt_hourly"] = """WITH h AS (SELECT date_trunc('hour', ts) AS d, count(*)::DOUBLE AS c, avg(value) AS v FROM events GROUP BY 1)
+SELECT strftime(d, '%Y-%m-%d %H:%M:%S') AS date, 'hourly' AS store_id, cast(quarter(d) AS varchar) AS product_category,
+  cast(isodow(d) >= 6 AS integer) AS promotion_flag, 1.0::DOUBLE AS price, c AS inventory_level, 1.0::DOUBLE AS competitor_price, round(v, 4) AS temperature,
+  cast(isodow(d) - 1 AS integer) AS day_of_week, cast(month(d) AS integer) AS month, coalesce(lag(c) OVER (ORDER BY d), 0.0) AS previous_day_sales,
+  c AS sales_demand FROM h"""
+ORACLES["lag_by_store"] = f"""WITH {SALES}, g AS (SELECT store_id, date, sum(sales_demand) AS demand FROM sales GROUP BY 1, 2)
+SELECT store_id, strftime(date, '%Y-%m-%d') AS date, round(demand, 4) AS demand,
+  round(coalesce(lag(demand) OVER (PARTITION BY store_id ORDER BY date), 0.0), 4) AS previous FROM g"""
+ORACLES["lag_hourly"] = "SELECT event_id, round(value, 6) AS value, round(coalesce(lag(value) OVER (ORDER BY ts), 0.0), 6) AS previous FROM events"
+
+# --- injection ---
+
+ORACLES["inject_faults"] = f"""{BAD}
+SELECT store_id, count(*) AS n_rows, count_if(price IS NULL) AS null_price, count_if(inventory_level IS NULL) AS null_inventory,
+  count_if(previous_day_sales IS NULL) AS null_previous, count_if(date IS NULL) AS null_date, count_if(price < 0) AS negative_price,
+  count_if(inventory_level < 0) AS negative_inventory, count_if(product_category = 'INVALID_CATEGORY_XYZ') AS invalid_category,
+  round(sum(CASE WHEN price < 0 THEN price END), 4) AS negative_price_sum FROM data_quality_failure GROUP BY store_id"""
+ORACLES["inject_drift"] = f"""WITH {SALES}, {scenario('severe_drift')}
+SELECT product_category, promotion_flag, count(*) AS n_rows, round(avg(price), 4) AS price, round(avg(competitor_price), 4) AS competitor_price,
+  round(avg(temperature), 4) AS temperature, round(avg(sales_demand), 4) AS demand FROM severe_drift GROUP BY 1, 2"""
+ALL_SCENARIOS = ",\n".join(scenario(name) for name in contract.SCENARIOS)
+ORACLES["scenario_gate_matrix"] = f"WITH {SALES},\n{ALL_SCENARIOS}\n" + "\nUNION ALL\n".join(report(n, n) for n in contract.SCENARIOS)
+
+# --- drift ---
+
+SIDES = f"""WITH {SALES}, ref AS (SELECT * FROM sales WHERE {split_case()} IN ('train', 'validation')),
+cur AS (SELECT * FROM sales WHERE {split_case()} = 'test')"""
+NUMERICAL = contract.DRIFT_FEATURES["numerical"]
+CATEGORICAL = contract.DRIFT_FEATURES["categorical"]
+
+
+def distances(t: str, label: str = "") -> str:
+    """CTEs ending in dist<label>(feature, n, m, ks, w) for ref against table t."""
+    x = label
+    return f"""vals{x} AS (SELECT 0 AS side, * FROM ({unpivot('ref', NUMERICAL)}) UNION ALL SELECT 1, * FROM ({unpivot(t, NUMERICAL)})),
+cnt{x} AS (SELECT feature, value, count_if(side = 0) AS r, count_if(side = 1) AS c FROM vals{x} GROUP BY 1, 2),
+cum{x} AS (SELECT feature, value, sum(r) OVER w / (sum(r) OVER p)::DOUBLE AS fr, sum(c) OVER w / (sum(c) OVER p)::DOUBLE AS fc, lead(value) OVER w AS nxt,
+  sum(r) OVER p AS n, sum(c) OVER p AS m FROM cnt{x} WINDOW w AS (PARTITION BY feature ORDER BY value), p AS (PARTITION BY feature)),
+dist{x} AS (SELECT d.feature, n, m, ks, area / greatest(s, 0.001::DOUBLE) AS w FROM (SELECT feature, max(n)::DOUBLE AS n, max(m)::DOUBLE AS m, max(abs(fr - fc)) AS ks,
+  coalesce(sum(abs(fr - fc)*(nxt - value)), 0.0) AS area FROM cum{x} GROUP BY feature) d
+  JOIN (SELECT feature, stddev_pop(value) AS s FROM vals{x} WHERE side = 0 GROUP BY feature) v ON d.feature = v.feature)"""
+
+
+def ks_p(table: str = "dist") -> str:
+    lam2 = "(ks*ks*(n*m/(n+m)))"
+    return (
+        f"CASE WHEN {lam2} < 0.04::DOUBLE THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, list_sum(list_transform(range(1, 101), "
+        f"lambda k: (CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END)::DOUBLE * exp(-2.0::DOUBLE*k*k*{lam2}))))) END"
+    )
+
+
+def gamma_tail(a: str, x: str) -> str:
+    return (
+        f"CASE WHEN {a} <= 0 OR {x} <= 0 THEN 1.0::DOUBLE WHEN {x} > {a} + 60.0::DOUBLE + 20.0::DOUBLE*sqrt({a}) THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1.0::DOUBLE - list_sum(list_transform("
+        f"range(0, 600), lambda k: exp(-({x}) + ({a} + k)*ln({x}) - lgamma({a} + k + 1.0::DOUBLE))))) END"
+    )
+
+
+def categories(t: str, label: str = "") -> str:
+    x = label
+
+    def long(source):
+        return " UNION ALL ".join(
+            f"SELECT '{c}' AS feature, cast({c} AS varchar) AS category FROM {source} WHERE {c} IS NOT NULL" for c in CATEGORICAL
+        )
+
+    return f"""cat{x} AS (SELECT feature, category, count_if(side = 0)::DOUBLE AS r, count_if(side = 1)::DOUBLE AS c
+  FROM (SELECT 0 AS side, * FROM ({long('ref')}) UNION ALL SELECT 1, * FROM ({long(t)})) GROUP BY 1, 2),
+tot{x} AS (SELECT *, sum(r) OVER (PARTITION BY feature) AS tr, sum(c) OVER (PARTITION BY feature) AS tc FROM cat{x}),
+chi{x} AS (SELECT feature, coalesce(sum(CASE WHEN r > 0 THEN (c - tc*r/tr)*(c - tc*r/tr)/(tc*r/tr) END), 0.0)::DOUBLE AS score, count(*) - 1 AS df,
+  bool_or(r = 0 AND c > 0) AS unseen FROM tot{x} GROUP BY feature)"""
+
+
+CHI_P = f"CASE WHEN unseen THEN 0.0::DOUBLE ELSE {gamma_tail('(df/2.0::DOUBLE)', '(score/2.0::DOUBLE)')} END"
+
+
+def ztest(t: str, label: str = "") -> str:
+    x = label
+    return f"""z{x} AS (SELECT 'promotion_flag' AS feature, coalesce((x/n - y/m)/nullif(sqrt((x+y)/(n+m)*(1 - (x+y)/(n+m))*(1/n + 1/m)), 0), 0.0)::DOUBLE AS score
+  FROM (SELECT (SELECT count(promotion_flag)::DOUBLE FROM ref) AS n, (SELECT count(promotion_flag)::DOUBLE FROM {t}) AS m,
+    (SELECT sum(promotion_flag)::DOUBLE FROM ref) AS x, (SELECT sum(promotion_flag)::DOUBLE FROM {t}) AS y))"""
+
+
+Z_P = gamma_tail("0.5::DOUBLE", "(score*score/2.0::DOUBLE)")
+
+
+def by_column(t: str, label: str = "") -> str:
+    """CTEs ending in scored<label>: one row per feature."""
+    x = label
+    return f"""{distances(t, x)}, {categories(t, x)}, {ztest(t, x)},
+scored{x} AS (SELECT feature, 'numerical' AS kind, 'ks' AS test, ks AS score, {ks_p()} AS p_value FROM dist{x}
+  UNION ALL SELECT feature, 'categorical', 'chisquare', score, {CHI_P} FROM chi{x}
+  UNION ALL SELECT feature, 'binary', 'z', score, {Z_P} FROM z{x})"""
+
+
+def current(name: str) -> str:
+    return f"{SIDES},\n{scenario(name, 'cur')}"
+
+
+ORACLES["drift_ks"] = f"""{current('mild_drift')}, {distances('mild_drift')}
+SELECT feature, 'numerical' AS kind, 'ks' AS test, round(ks, 6) AS score, round({ks_p()}, 6) AS p_value, {ks_p()} < 0.05::DOUBLE AS drifted FROM dist"""
+ORACLES["drift_wasserstein"] = f"""{current('mild_drift')}, {distances('mild_drift')}
+SELECT feature, 'numerical' AS kind, 'wasserstein' AS test, round(w, 5) AS score, cast(NULL AS double) AS p_value, w >= 0.1::DOUBLE AS drifted FROM dist"""
+ORACLES["drift_chi2"] = f"""{current('severe_drift')}, {categories('severe_drift')}
+SELECT feature, 'categorical' AS kind, 'chisquare' AS test, round(score, 6) AS score, round({CHI_P}, 6) AS p_value, {CHI_P} < 0.05::DOUBLE AS drifted, df FROM chi"""
+ORACLES["drift_js"] = f"""{current('severe_drift')}, {categories('severe_drift')},
+js AS (SELECT feature, sqrt(greatest(0.0::DOUBLE, sum(CASE WHEN r > 0 THEN r/tr*log2(r/tr/((r/tr + c/tc)/2)) ELSE 0 END)/2
+  + sum(CASE WHEN c > 0 THEN c/tc*log2(c/tc/((r/tr + c/tc)/2)) ELSE 0 END)/2)) AS s FROM tot GROUP BY feature)
+SELECT feature, 'categorical' AS kind, 'jensenshannon' AS test, round(s, 6) AS score, cast(NULL AS double) AS p_value, s >= 0.1::DOUBLE AS drifted FROM js"""
+ORACLES["drift_ztest"] = f"""{current('mild_drift')}, {ztest('mild_drift')}
+SELECT feature, 'binary' AS kind, 'z' AS test, round(score, 6) AS score, round({Z_P}, 6) AS p_value, {Z_P} < 0.05::DOUBLE AS drifted FROM z"""
+
+
+def summary(x: str = "", lead: str = "") -> str:
+    return (
+        f"SELECT {lead}count(*) AS n_columns, count_if(p_value < 0.05::DOUBLE) AS n_drifted, count_if(p_value < 0.05::DOUBLE) / count(*)::DOUBLE AS drift_share, "
+        f"coalesce(string_agg(CASE WHEN p_value < 0.05::DOUBLE THEN feature END, ',' ORDER BY feature), '') AS drifted_columns, "
+        f"coalesce(string_agg(CASE WHEN p_value < 0.05::DOUBLE AND feature IN ('price', 'previous_day_sales', 'promotion_flag') THEN feature END, ',' ORDER BY feature), '') AS critical_drifted "
+        f"FROM scored{x}"
+    )
+
+
+DECISION = """round(drift_share, 6) AS drift_share, drifted_columns, drift_share >= 0.3::DOUBLE AS dataset_drift"""
+DECIDED = """critical_drifted, CASE WHEN drift_share <= 0.2::DOUBLE AND critical_drifted = '' THEN 'CONTINUE' WHEN drift_share <= 0.5::DOUBLE THEN 'INVESTIGATE' ELSE 'RETRAIN_REQUIRED' END AS decision"""
+SEVERE = f"{current('severe_drift')}, {by_column('severe_drift')}"
+ORACLES["drift_summary"] = f"{SEVERE} SELECT n_columns, n_drifted, {DECISION} FROM ({summary()})"
+ORACLES["drift_decision"] = f"{SEVERE} SELECT n_columns, n_drifted, {DECISION}, {DECIDED} FROM ({summary()})"
+ORACLES["drift_report"] = f"""{current('mild_drift')}, {by_column('mild_drift')}
+SELECT feature, kind, test, round(score, 5) AS score, round(p_value, 5) AS p_value, p_value < 0.05::DOUBLE AS drifted FROM scored"""
+DRIFT_MATRIX = (
+    SIDES
+    + ",\n"
+    + ",\n".join(f"{scenario(n, 'cur')},\n{by_column(n, '_' + n)}" for n in contract.SCENARIOS)
+    + ", summaries AS ("
+    + " UNION ALL ".join(summary("_" + n, f"'{n}' AS scenario, ") for n in contract.SCENARIOS)
+    + f"), decisions AS (SELECT scenario, n_columns, n_drifted, {DECISION}, {DECIDED} FROM summaries)"
+)
+ORACLES["scenario_drift_matrix"] = f"{DRIFT_MATRIX} SELECT * FROM decisions"
+ORACLES["retrain_requests"] = f"""{DRIFT_MATRIX} SELECT scenario, drift_share, drifted_columns, 'drift above the acceptable share' AS reason,
+  'PENDING' AS status, false AS auto_trigger FROM decisions WHERE decision = 'RETRAIN_REQUIRED'"""

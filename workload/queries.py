@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicegate import contract
+from sluicegate.operators import drift, gates, inject, ordered, profile, rules, splits
 from sluicegate.operators import fingerprint as fp
-from sluicegate.operators import gates, inject, ordered, profile, rules, splits
+from sluicegate.plans import monitor, release
+from sluicegate.session import settle
+from sluicegate.sources import adapters, io, prediction_log
 from workload import tables
 from workload.tables import SCALE, sales, table
 
@@ -56,3 +59,299 @@ def validation_report(spark, sf_dir):
     clean = gates.validation_report(sales(spark, sf_dir), "clean", float_scale=SCALE)
     bad = gates.validation_report(faulty(spark, sf_dir), "data_quality_failure", float_scale=SCALE)
     return rounded(clean.unionByName(bad))
+
+
+# --- row-level verdicts, loading, logs ---
+
+
+def keyed_requests(spark, sf_dir):
+    """Faulty sales as scoring requests, keyed by row digest and copy."""
+    bad = inject.apply_scenario(sales(spark, sf_dir), "data_quality_failure", float_scale=SCALE, keep_keys=True)
+    return bad.withColumnsRenamed({inject.KEY: "row_key", inject.COPY: "copy_no"})
+
+
+@query
+def violation_cases(spark, sf_dir):
+    cases = rules.first_cases(keyed_requests(spark, sf_dir), rules.sales_rules(), ["row_key", "copy_no"])
+    number = F.round(F.expr("try_cast(failure_case AS double)"), 6)
+    return cases.withColumn("failure_case", F.coalesce(number.cast("decimal(18,6)").cast("string"), F.col("failure_case")))
+
+
+@query
+def quarantine(spark, sf_dir):
+    good, bad = rules.quarantine(keyed_requests(spark, sf_dir), rules.sales_rules())
+    accepted = good.select("row_key", "copy_no", F.lit("").alias("violations"), F.lit("accepted").alias("verdict"))
+    rejected = bad.select("row_key", "copy_no", F.array_join("violations", ",").alias("violations"), F.lit("rejected").alias("verdict"))
+    return accepted.unionByName(rejected)
+
+
+@query
+def validate_requests(spark, sf_dir):
+    judged = rules.with_violations(keyed_requests(spark, sf_dir), rules.request_rules())
+    return judged.groupBy("store_id").agg(
+        F.count_if(F.size("violations") == 0).alias("accepted"), F.count_if(F.size("violations") > 0).alias("rejected")
+    )
+
+
+@query
+def load_profile(spark, sf_dir):
+    return io.lineage(sales(spark, sf_dir), "sales", SCALE)
+
+
+@query
+def verify_load(spark, sf_dir):
+    expected = fp.fingerprint(sales(spark, sf_dir), float_scale=SCALE).first()["fingerprint"]
+    shuffled = sales(spark, sf_dir).select(*reversed(contract.SALES_COLUMNS)).repartition(7)
+    same = fp.verify(shuffled, expected, SCALE).withColumn("dataset", F.lit("reordered"))
+    other = fp.verify(faulty(spark, sf_dir), expected, SCALE).withColumn("dataset", F.lit("faulty"))
+    return same.unionByName(other)
+
+
+@query
+def log_range(spark, sf_dir):
+    log = prediction_log.in_range(table(spark, sf_dir, "events"), "ts", "2024-01-05", "2024-01-20 12:00:00")
+    return log.select("event_id", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+# --- fingerprints, profile, splits, adapters ---
+
+
+@query
+def table_fingerprint(spark, sf_dir):
+    return fp.fingerprint(sales(spark, sf_dir), float_scale=SCALE)
+
+
+@query
+def fingerprint_by_month(spark, sf_dir):
+    return fp.fingerprint(sales(spark, sf_dir), by=["month"], float_scale=SCALE)
+
+
+@query
+def profile_numeric(spark, sf_dir):
+    return rounded(profile.profile(faulty(spark, sf_dir), SCALE), 5)
+
+
+@query
+def manifest(spark, sf_dir):
+    return profile.manifest(by_date(sales(spark, sf_dir)), "sales", splits.SPLIT, float_scale=SCALE)
+
+
+@query
+def chrono_split(spark, sf_dir):
+    one = by_date(faulty(spark, sf_dir)).groupBy(F.coalesce("split", F.lit("unassigned")).alias("split"))
+    return one.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.date_format(F.min("date"), "yyyy-MM-dd").alias("first_date"),
+        F.date_format(F.max("date"), "yyyy-MM-dd").alias("last_date"),
+        F.round(F.sum("sales_demand"), 3).alias("demand"),
+    )
+
+
+@query
+def quantile_split(spark, sf_dir):
+    cut = splits.positional_split(sales(spark, sf_dir))
+    return cut.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.date_format(F.min("date"), "yyyy-MM-dd").alias("first_date"),
+        F.date_format(F.max("date"), "yyyy-MM-dd").alias("last_date"),
+    )
+
+
+@query
+def reference_baseline(spark, sf_dir):
+    baseline = splits.reference_rows(by_date(sales(spark, sf_dir)))
+    return rounded(
+        baseline.groupBy("product_category").agg(
+            F.count(F.lit(1)).alias("n_rows"), F.avg("price").alias("price"), F.avg("sales_demand").alias("demand")
+        )
+    )
+
+
+@query
+def calendar_features(spark, sf_dir):
+    one = adapters.calendar_features(table(spark, sf_dir, "events"), "ts")
+    return one.select("event_id", F.date_format("date", "yyyy-MM-dd").alias("day"), "day_of_week", "month")
+
+
+def transactions(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").withColumn("unit_price", F.try_divide("l_extendedprice", "l_quantity"))
+    suppliers = table(spark, sf_dir, "supplier").join(
+        table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
+    )
+    return lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+
+
+def shown_sales(df):
+    return rounded(df.withColumn("date", F.date_format("date", "yyyy-MM-dd HH:mm:ss")), 4)
+
+
+@query
+def adapt_daily(spark, sf_dir):
+    return shown_sales(adapters.adapt_transactions(transactions(spark, sf_dir), "l_shipdate", "n_name", "l_quantity", "unit_price"))
+
+
+def hourly_counts(spark, sf_dir):
+    """Events as an hourly table in the shape of the hourly source."""
+    hour = F.date_trunc("hour", "ts")
+    return (
+        table(spark, sf_dir, "events")
+        .groupBy(hour.alias("at"))
+        .agg(F.count(F.lit(1)).alias("cnt"), F.avg("value").alias("temp"))
+        .select(
+            F.date_format("at", "yyyy-MM-dd").alias("dteday"),
+            F.hour("at").alias("hr"),
+            F.quarter("at").alias("season"),
+            (F.weekday("at") >= 5).cast("int").alias("holiday"),
+            "temp",
+            "cnt",
+        )
+    )
+
+
+@query
+def adapt_hourly(spark, sf_dir):
+    return shown_sales(adapters.adapt_hourly(hourly_counts(spark, sf_dir), "dteday", "hr", "season", "holiday", "temp", "cnt"))
+
+
+def store_days(spark, sf_dir):
+    return sales(spark, sf_dir).groupBy("store_id", "date").agg(F.sum("sales_demand").alias("demand"))
+
+
+@query
+def lag_by_store(spark, sf_dir):
+    lagged = ordered.lag_in_order(store_days(spark, sf_dir), "demand", "date", F.year("date"), "previous", ["store_id"])
+    return rounded(lagged.withColumn("date", F.date_format("date", "yyyy-MM-dd")), 4)
+
+
+@query
+def lag_hourly(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "value")
+    lagged = ordered.lag_in_order(events, "value", "ts", F.date_trunc("day", "ts"), "previous")
+    return rounded(lagged.drop("ts"))
+
+
+# --- injection ---
+
+
+@query
+def inject_faults(spark, sf_dir):
+    return rounded(
+        faulty(spark, sf_dir).groupBy("store_id").agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            F.count_if(F.col("price").isNull()).alias("null_price"),
+            F.count_if(F.col("inventory_level").isNull()).alias("null_inventory"),
+            F.count_if(F.col("previous_day_sales").isNull()).alias("null_previous"),
+            F.count_if(F.col("date").isNull()).alias("null_date"),
+            F.count_if(F.col("price") < 0).alias("negative_price"),
+            F.count_if(F.col("inventory_level") < 0).alias("negative_inventory"),
+            F.count_if(F.col("product_category") == contract.INVALID_CATEGORY).alias("invalid_category"),
+            F.sum(F.when(F.col("price") < 0, F.col("price"))).alias("negative_price_sum"),
+        ),
+        4,
+    )
+
+
+@query
+def inject_drift(spark, sf_dir):
+    moved = inject.apply_scenario(sales(spark, sf_dir), "severe_drift", float_scale=SCALE)
+    return rounded(
+        moved.groupBy("product_category", "promotion_flag").agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            F.avg("price").alias("price"),
+            F.avg("competitor_price").alias("competitor_price"),
+            F.avg("temperature").alias("temperature"),
+            F.avg("sales_demand").alias("demand"),
+        ),
+        4,
+    )
+
+
+def scenario_tables(spark, sf_dir):
+    base = sales(spark, sf_dir)
+    return {name: inject.apply_scenario(base, name, float_scale=SCALE) for name in contract.SCENARIOS}
+
+
+@query
+def scenario_gate_matrix(spark, sf_dir):
+    return rounded(release.scenario_gates(scenario_tables(spark, sf_dir), float_scale=SCALE))
+
+
+# --- drift ---
+
+
+def drift_sides(spark, sf_dir, scenario="severe_drift"):
+    """Reference: train and validation rows. Current: test rows under a scenario."""
+    split = by_date(sales(spark, sf_dir))
+    current = split.where(F.col("split") == "test").drop("split")
+    return splits.reference_rows(split), inject.apply_scenario(current, scenario, float_scale=SCALE)
+
+
+def numeric_distances(spark, sf_dir, scenario="mild_drift"):
+    return drift.numeric_distances(*drift_sides(spark, sf_dir, scenario), contract.DRIFT_FEATURES["numerical"])
+
+
+def category_counts(spark, sf_dir, scenario="severe_drift"):
+    return drift.category_counts(*drift_sides(spark, sf_dir, scenario), contract.DRIFT_FEATURES["categorical"])
+
+
+@query
+def drift_ks(spark, sf_dir):
+    return rounded(drift.ks_test(numeric_distances(spark, sf_dir)))
+
+
+@query
+def drift_wasserstein(spark, sf_dir):
+    return rounded(drift.wasserstein_test(numeric_distances(spark, sf_dir)), 5)
+
+
+@query
+def drift_chi2(spark, sf_dir):
+    return rounded(drift.chi_square_test(category_counts(spark, sf_dir)))
+
+
+@query
+def drift_js(spark, sf_dir):
+    return rounded(drift.jensen_shannon_test(category_counts(spark, sf_dir)))
+
+
+@query
+def drift_ztest(spark, sf_dir):
+    return rounded(drift.proportion_test(*drift_sides(spark, sf_dir, "mild_drift"), ["promotion_flag"]))
+
+
+def shown_summary(df):
+    lists = {c: F.array_join(c, ",") for c in ("drifted_columns", "critical_drifted") if c in df.columns}
+    return rounded(df.withColumns(lists))
+
+
+@query
+def drift_summary(spark, sf_dir):
+    return shown_summary(drift.drift_summary(drift.drift_by_column(*drift_sides(spark, sf_dir))))
+
+
+@query
+def drift_decision(spark, sf_dir):
+    by_column = drift.drift_by_column(*drift_sides(spark, sf_dir))
+    return shown_summary(drift.drift_decision(drift.drift_summary(by_column)))
+
+
+@query
+def drift_report(spark, sf_dir):
+    return rounded(drift.drift_by_column(*drift_sides(spark, sf_dir, "mild_drift")), 5)
+
+
+def scenario_drift(spark, sf_dir):
+    split = settle(by_date(sales(spark, sf_dir)))
+    return monitor.scenario_decisions(
+        splits.reference_rows(split), split.where(F.col("split") == "test").drop("split"), contract.SCENARIOS, SCALE
+    )
+
+
+@query
+def scenario_drift_matrix(spark, sf_dir):
+    return shown_summary(scenario_drift(spark, sf_dir))
+
+
+@query
+def retrain_requests(spark, sf_dir):
+    return shown_summary(drift.retrain_requests(scenario_drift(spark, sf_dir), ["scenario"]))

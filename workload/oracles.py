@@ -184,13 +184,13 @@ ORACLES["adapt_daily"] = """WITH t AS (
   SELECT date_trunc('day', l_shipdate) AS d, n_name, l_quantity AS q, l_extendedprice / nullif(l_quantity, 0) AS u
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
 g AS (SELECT d, n_name, sum(q*u) AS demand, avg(u) AS price, sum(q) AS stock FROM t WHERE q > 0 AND u > 0 GROUP BY d, n_name)
-SELECT strftime(d, '%Y-%m-%d %H:%M:%S') AS date, n_name AS store_id, 'retail' AS product_category, 0 AS promotion_flag, round(price, 4) AS price,
-  round(stock, 4) AS inventory_level, round(price, 4) AS competitor_price, 0.0::DOUBLE AS temperature, cast(isodow(d) - 1 AS integer) AS day_of_week,
-  cast(month(d) AS integer) AS month, round(coalesce(lag(demand) OVER (PARTITION BY n_name ORDER BY d), 0.0), 4) AS previous_day_sales,
-  round(demand, 4) AS sales_demand FROM g"""
+SELECT strftime(d, '%Y-%m-%d %H:%M:%S') AS date, n_name AS store_id, 'retail' AS product_category, 0 AS promotion_flag, round(price + 3e-7::DOUBLE, 4) AS price,
+  round(stock + 3e-7::DOUBLE, 4) AS inventory_level, round(price + 3e-7::DOUBLE, 4) AS competitor_price, 0.0::DOUBLE AS temperature, cast(isodow(d) - 1 AS integer) AS day_of_week,
+  cast(month(d) AS integer) AS month, round(coalesce(lag(demand) OVER (PARTITION BY n_name ORDER BY d), 0.0) + 3e-7::DOUBLE, 4) AS previous_day_sales,
+  round(demand + 3e-7::DOUBLE, 4) AS sales_demand FROM g"""
 ORACLES["adapt_hourly"] = """WITH h AS (SELECT date_trunc('hour', ts) AS d, count(*)::DOUBLE AS c, avg(value) AS v FROM events GROUP BY 1)
 SELECT strftime(d, '%Y-%m-%d %H:%M:%S') AS date, 'hourly' AS store_id, cast(quarter(d) AS varchar) AS product_category,
-  cast(isodow(d) >= 6 AS integer) AS promotion_flag, 1.0::DOUBLE AS price, c AS inventory_level, 1.0::DOUBLE AS competitor_price, round(v, 4) AS temperature,
+  cast(isodow(d) >= 6 AS integer) AS promotion_flag, 1.0::DOUBLE AS price, c AS inventory_level, 1.0::DOUBLE AS competitor_price, round(v + 3e-7::DOUBLE, 4) AS temperature,
   cast(isodow(d) - 1 AS integer) AS day_of_week, cast(month(d) AS integer) AS month, coalesce(lag(c) OVER (ORDER BY d), 0.0) AS previous_day_sales,
   c AS sales_demand FROM h"""
 ORACLES["lag_by_store"] = f"""WITH {SALES}, g AS (SELECT store_id, date, sum(sales_demand) AS demand FROM sales GROUP BY 1, 2)
@@ -206,8 +206,8 @@ SELECT store_id, count(*) AS n_rows, count_if(price IS NULL) AS null_price, coun
   count_if(inventory_level < 0) AS negative_inventory, count_if(product_category = 'INVALID_CATEGORY_XYZ') AS invalid_category,
   round(sum(CASE WHEN price < 0 THEN price END), 4) AS negative_price_sum FROM data_quality_failure GROUP BY store_id"""
 ORACLES["inject_drift"] = f"""WITH {SALES}, {scenario('severe_drift')}
-SELECT product_category, promotion_flag, count(*) AS n_rows, round(avg(price), 4) AS price, round(avg(competitor_price), 4) AS competitor_price,
-  round(avg(temperature), 4) AS temperature, round(avg(sales_demand), 4) AS demand FROM severe_drift GROUP BY 1, 2"""
+SELECT product_category, promotion_flag, count(*) AS n_rows, round(avg(price) + 3e-7::DOUBLE, 4) AS price, round(avg(competitor_price) + 3e-7::DOUBLE, 4) AS competitor_price,
+  round(avg(temperature) + 3e-7::DOUBLE, 4) AS temperature, round(avg(sales_demand) + 3e-7::DOUBLE, 4) AS demand FROM severe_drift GROUP BY 1, 2"""
 ALL_SCENARIOS = ",\n".join(scenario(name) for name in contract.SCENARIOS)
 ORACLES["scenario_gate_matrix"] = f"WITH {SALES},\n{ALL_SCENARIOS}\n" + "\nUNION ALL\n".join(report(n, n) for n in contract.SCENARIOS)
 

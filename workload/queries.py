@@ -3,19 +3,38 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicegate import contract
-from sluicegate.operators import drift, gates, inject, ordered, profile, rules, splits
+from sluicegate.operators import (
+    boosting,
+    drift,
+    features,
+    gates,
+    inject,
+    ledger,
+    metrics,
+    ordered,
+    profile,
+    repro,
+    resample,
+    rules,
+    splits,
+)
 from sluicegate.operators import fingerprint as fp
-from sluicegate.plans import monitor, release
-from sluicegate.session import settle
+from sluicegate.plans import experiment, monitor, release
+from sluicegate.session import settle, shared_dir, small_or_lazy
 from sluicegate.sources import adapters, io, prediction_log
+from sluicegate.streaming import requests
+from sluicegate.streaming.monitor import category_windows, drift_stream, window_stats
 from workload import tables
 from workload.tables import SCALE, sales, table
 
+NUDGE = 3e-7
+ONSET = "2024-01-10"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -32,8 +51,9 @@ def by_date(df: DataFrame) -> DataFrame:
     return splits.chronological_split(df, tables.TRAIN_END, tables.VALIDATION_END, tables.TEST_END)
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+def rounded(df: DataFrame, digits: int = 6, nudge: float = 0.0) -> DataFrame:
+    """Doubles as both engines print them. They break exact ties differently; ``nudge`` avoids ties."""
+    return df.select(*[F.round(F.col(c) + nudge, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 # --- validation and gates ---
@@ -182,7 +202,7 @@ def transactions(spark, sf_dir):
 
 
 def shown_sales(df):
-    return rounded(df.withColumn("date", F.date_format("date", "yyyy-MM-dd HH:mm:ss")), 4)
+    return rounded(df.withColumn("date", F.date_format("date", "yyyy-MM-dd HH:mm:ss")), 4, NUDGE)
 
 
 @query
@@ -263,6 +283,7 @@ def inject_drift(spark, sf_dir):
             F.avg("sales_demand").alias("demand"),
         ),
         4,
+        NUDGE,
     )
 
 
@@ -355,3 +376,403 @@ def scenario_drift_matrix(spark, sf_dir):
 @query
 def retrain_requests(spark, sf_dir):
     return shown_summary(drift.retrain_requests(scenario_drift(spark, sf_dir), ["scenario"]))
+
+
+# --- features ---
+
+
+def faulty_parts(spark, sf_dir):
+    """Train and test rows of the faulty table, with row keys."""
+    split = by_date(keyed_requests(spark, sf_dir))
+    return [split.where(F.col("split") == name).drop("split") for name in ("train", "test")]
+
+
+@query
+def fit_categories(spark, sf_dir):
+    return features.fit_categories(faulty_parts(spark, sf_dir)[0], contract.CATEGORICAL_FEATURES)
+
+
+@query
+def fit_medians(spark, sf_dir):
+    return rounded(features.fit_medians(faulty_parts(spark, sf_dir)[0], contract.NUMERIC_FEATURES), 5, NUDGE)
+
+
+def fitted(spark, sf_dir):
+    train, test = faulty_parts(spark, sf_dir)
+    return features.DemandFeatures().fit(train), train, test
+
+
+@query
+def impute(spark, sf_dir):
+    train, test = faulty_parts(spark, sf_dir)
+    medians = {r["column_name"]: r["median"] for r in features.fit_medians(train, contract.NUMERIC_FEATURES).collect()}
+    return rounded(features.impute(test, medians).select("row_key", "copy_no", *contract.NUMERIC_FEATURES), 5, NUDGE)
+
+
+@query
+def encode(spark, sf_dir):
+    train, test = faulty_parts(spark, sf_dir)
+    vocabulary = small_or_lazy(features.fit_categories(train, contract.CATEGORICAL_FEATURES))
+    return features.encode(test, vocabulary, contract.CATEGORICAL_FEATURES, False).select(
+        "row_key", "copy_no", *contract.CATEGORICAL_FEATURES
+    )
+
+
+@query
+def derive_features(spark, sf_dir):
+    return rounded(features.derive(keyed_requests(spark, sf_dir)).select("row_key", "copy_no", *contract.DERIVED_FEATURES), 5, NUDGE)
+
+
+@query
+def feature_matrix(spark, sf_dir):
+    model, train, test = fitted(spark, sf_dir)
+    both = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+    matrix = model.transform(both)
+    return rounded(
+        matrix.groupBy("split").agg(
+            F.count(F.lit(1)).alias("n_rows"), *[F.avg(c).alias(c) for c in [*model.feature_names, contract.TARGET]]
+        ),
+        5,
+    )
+
+
+# --- metrics, gates, readiness ---
+
+
+def with_predictions(df):
+    """Two deterministic predictors: ``ungated`` ignores promotions, ``prediction`` knows them."""
+    carried = 0.1 * F.col("previous_day_sales")
+    return df.withColumns({"ungated": 107.5 + carried, "prediction": 100 + 30 * F.col("promotion_flag") + carried})
+
+
+@query
+def regression_metrics(spark, sf_dir):
+    return rounded(metrics.regression_metrics(with_predictions(sales(spark, sf_dir)), "sales_demand", "prediction", digits=None))
+
+
+@query
+def metrics_by_segment(spark, sf_dir):
+    scored = with_predictions(sales(spark, sf_dir))
+    return rounded(metrics.regression_metrics(scored, "sales_demand", "ungated", ["product_category", "store_id"], None))
+
+
+@query
+def latency_summary(spark, sf_dir):
+    return rounded(metrics.latency_summary(table(spark, sf_dir, "events"), "value", 100))
+
+
+def scenario_metrics(spark, sf_dir):
+    """(scenario, mae, rmse, r2, mape, ...) of the fixed predictor under each scenario."""
+    parts = [
+        metrics.regression_metrics(with_predictions(df.na.drop(subset=["previous_day_sales"])), "sales_demand", "prediction", digits=None)
+        .withColumn("scenario", F.lit(name))
+        for name, df in scenario_tables(spark, sf_dir).items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def scenario_model_gate(spark, sf_dir):
+    rows = metrics.to_metric_rows(scenario_metrics(spark, sf_dir), ["scenario"])
+    return gates.model_gate(rows, gates.threshold_table(spark), ["scenario"])
+
+
+@query
+def model_gate(spark, sf_dir):
+    return rounded(scenario_model_gate(spark, sf_dir))
+
+
+def scenario_readiness(spark, sf_dir):
+    reports = settle(release.scenario_gates(scenario_tables(spark, sf_dir), float_scale=SCALE))
+    data = reports.select("scenario", (F.col("overall_status") == "PASS").alias("passed"), F.lit("").alias("failed_rules"))
+    model = gates.gate_verdict(scenario_model_gate(spark, sf_dir), ["scenario"])
+    return gates.deployment_readiness(reports.select("scenario"), data, model, ["scenario"])
+
+
+@query
+def deployment_readiness(spark, sf_dir):
+    return scenario_readiness(spark, sf_dir)
+
+
+# --- ledger, statistics, comparison ---
+
+
+@query
+def experiment_matrix(spark, sf_dir):
+    data = fp.fingerprint(sales(spark, sf_dir), float_scale=SCALE)
+    return ledger.experiment_matrix(spark).crossJoin(data.select("n_rows", "fingerprint"))
+
+
+def run_ledger(spark, sf_dir):
+    """Metrics of both predictors under seed-dependent noise, for every variant and seed."""
+    scored = with_predictions(sales(spark, sf_dir))
+    seeds = F.explode(F.array(*[F.lit(s) for s in contract.RUN_SEEDS]))
+    noise = ((F.col("inventory_level") * F.col("seed")) % 101 - 50) / 25
+    cells = F.array(
+        F.struct(F.lit("baseline").alias("pipeline"), (F.col("ungated") + noise).alias("p")),
+        F.struct(F.lit("proposed").alias("pipeline"), (F.col("prediction") + noise).alias("p")),
+    )
+    runs = scored.select("*", seeds.alias("seed")).select("seed", "sales_demand", F.inline(cells))
+    wide = metrics.regression_metrics(runs, "sales_demand", "p", ["pipeline", "seed"], None)
+    plan = ledger.experiment_matrix(spark).select("variant", "pipeline", "seed")
+    rows = metrics.to_metric_rows(wide, ["pipeline", "seed"])
+    return plan.join(rows, ["pipeline", "seed"]).withColumn("status", F.lit("COMPLETED"))
+
+
+@query
+def run_aggregate(spark, sf_dir):
+    stats = metrics.run_statistics(run_ledger(spark, sf_dir), ["variant", "metric"])
+    shown = F.array_join(F.transform("values", lambda v: F.round(v, 6).cast("decimal(18,6)").cast("string")), ",")
+    return rounded(stats.withColumn("values", shown), 6)
+
+
+@query
+def run_wide(spark, sf_dir):
+    return rounded(ledger.run_wide(run_ledger(spark, sf_dir), ["variant", "pipeline", "seed", "status"]))
+
+
+@query
+def champion(spark, sf_dir):
+    month = F.date_trunc("month", "date")
+    scored = with_predictions(sales(spark, sf_dir)).withColumn("registered_at", month)
+    wide = metrics.regression_metrics(scored, "sales_demand", "prediction", ["product_category", "registered_at"], None)
+    runs = wide.withColumns(
+        {
+            "gates_passed": (F.col("rmse") <= 14.4) & (F.col("r2") >= 0.5),
+            "version": F.year("registered_at") * 100 + F.month("registered_at"),
+        }
+    )
+    return ledger.champion(runs, ["product_category"]).withColumn("registered_at", F.date_format("registered_at", "yyyy-MM-dd"))
+
+
+def two_runs(spark, sf_dir):
+    """The predictor on the stored table, and again on a reordered copy with a tiny disturbance."""
+    base = inject.with_row_key(with_predictions(sales(spark, sf_dir)).select(*contract.SALES_COLUMNS, "prediction"), SCALE)
+    again = base.withColumn("prediction", F.col("prediction") + F.col("temperature") * 1e-7)
+    return base, again
+
+
+def segment_metrics(df, predicted="prediction"):
+    wide = metrics.regression_metrics(df, "sales_demand", predicted, ["product_category"], None)
+    return metrics.to_metric_rows(wide, ["product_category"])
+
+
+@query
+def metric_diff(spark, sf_dir):
+    scored = with_predictions(sales(spark, sf_dir))
+    moved = scored.withColumn("other", F.col("prediction") + F.col("temperature") * 1e-2)
+    return rounded(repro.metric_diff(segment_metrics(scored), segment_metrics(moved, "other"), ["product_category"]))
+
+
+@query
+def prediction_diff(spark, sf_dir):
+    one, again = two_runs(spark, sf_dir)
+    far = one.withColumn("prediction", F.col("prediction") + F.col("temperature") * 1e-3)
+    near = repro.prediction_diff(one, again, [inject.KEY]).withColumn("pair", F.lit("near"))
+    return rounded(near.unionByName(repro.prediction_diff(one, far, [inject.KEY]).withColumn("pair", F.lit("far"))), 9)
+
+
+def store_categories(spark, sf_dir):
+    """Per store: categories sold in the training rows and in the last month of the test rows."""
+    split = by_date(sales(spark, sf_dir))
+    recent = (F.col("split") == "test") & (F.col("date") >= F.to_timestamp(F.lit("2001-11-01")))
+    return split.groupBy("store_id").agg(
+        F.collect_set(F.when(F.col("split") == "train", F.col("product_category"))).alias("f1"),
+        F.collect_set(F.when(recent, F.col("product_category"))).alias("f2"),
+    )
+
+
+@query
+def feature_diff(spark, sf_dir):
+    return repro.feature_diff(store_categories(spark, sf_dir), "f1", "f2", ["store_id"])
+
+
+@query
+def repro_report(spark, sf_dir):
+    one, again = two_runs(spark, sf_dir)
+    expected = fp.fingerprint(one.select(*contract.SALES_COLUMNS), float_scale=SCALE).first()["fingerprint"]
+    return repro.repro_report(
+        {
+            "dataset_fingerprint": fp.verify(again.select(*contract.SALES_COLUMNS), expected, SCALE),
+            "features": repro.feature_diff(store_categories(spark, sf_dir), "f1", "f2", ["store_id"]),
+            "metrics": repro.metric_diff(segment_metrics(one), segment_metrics(again), ["product_category"]),
+            "predictions": repro.prediction_diff(one, again, [inject.KEY]),
+        }
+    )
+
+
+def scenario_runs(spark, sf_dir):
+    """One row per scenario and pipeline, from gates, metrics and drift decisions."""
+    ready = scenario_readiness(spark, sf_dir)
+    drifted = scenario_drift(spark, sf_dir).select("scenario", "dataset_drift", "decision")
+    numbers = scenario_metrics(spark, sf_dir).select("scenario", *metrics.METRICS)
+    one = ready.join(drifted, "scenario").join(numbers, "scenario")
+    verdict = lambda c: F.when(F.col(c), "PASS").otherwise("FAIL")
+    return one.select(
+        F.explode(F.array(F.lit("baseline"), F.lit("proposed"))).alias("pipeline"),
+        "scenario",
+        verdict("data_validation_passed").alias("data_status"),
+        verdict("model_quality_passed").alias("model_status"),
+        F.col("deployable").alias("registered"),
+        F.col("dataset_drift").alias("drift_detected"),
+        "decision",
+        *metrics.METRICS,
+        *[F.lit(None).cast("double").alias(c) for c in ("train_seconds", "total_seconds", "latency_ms")],
+        F.lit(True).alias("reproducible"),
+    )
+
+
+@query
+def release_comparison(spark, sf_dir):
+    return rounded(ledger.release_comparison(scenario_runs(spark, sf_dir)), 5)
+
+
+@query
+def release_confusion(spark, sf_dir):
+    ready = scenario_readiness(spark, sf_dir)
+    labelled = ready.select(
+        F.explode(F.array(F.lit("baseline"), F.lit("proposed"))).alias("pipeline"),
+        F.col("scenario").isin("clean", "mild_drift").alias("valid"),
+        "deployable",
+    ).withColumn("released", (F.col("pipeline") == "baseline") | F.col("deployable"))
+    return rounded(ledger.release_confusion(labelled, ["pipeline"]))
+
+
+@query
+def drift_confusion(spark, sf_dir):
+    decided = scenario_drift(spark, sf_dir)
+    alerts = decided.select(
+        F.col("scenario").isin("mild_drift", "severe_drift", "performance_degradation").alias("drifted"),
+        (F.col("decision") != "CONTINUE").alias("alerted"),
+    )
+    return rounded(ledger.drift_confusion(alerts))
+
+
+@query
+def overhead(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    pairs = events.groupBy("user_id", F.weekday("ts").alias("day")).agg(
+        F.avg(F.when(F.col("event_type") == "view", F.col("value"))).alias("plain"),
+        F.avg(F.when(F.col("event_type") == "purchase", F.col("value"))).alias("gated"),
+    )
+    return rounded(ledger.overhead(pairs, ["day"], "plain", "gated"))
+
+
+@query
+def check_scores(spark, sf_dir):
+    return rounded(ledger.check_scores(scenario_model_gate(spark, sf_dir), ["scenario"]))
+
+
+def store_errors(spark, sf_dir, period):
+    """Mean absolute errors of both predictors per store and period."""
+    scored = with_predictions(sales(spark, sf_dir))
+    return scored.groupBy("store_id", F.date_format(F.date_trunc(period, "date"), "yyyyMMdd").alias("at")).agg(
+        F.avg(F.abs(F.col("sales_demand") - F.col("ungated"))).alias("plain"),
+        F.avg(F.abs(F.col("sales_demand") - F.col("prediction"))).alias("gated"),
+    ).select(F.concat_ws("~", "store_id", "at").alias("pair"), "plain", "gated", (F.col("plain") - F.col("gated")).alias("gain"))
+
+
+@query
+def paired_permutation(spark, sf_dir):
+    return rounded(resample.paired_permutation(store_errors(spark, sf_dir, "month"), "pair", "gain"))
+
+
+@query
+def bootstrap_ci(spark, sf_dir):
+    return rounded(resample.bootstrap_ci(store_errors(spark, sf_dir, "week"), "pair", "gain"))
+
+
+def daily_alerts(spark, sf_dir):
+    """Daily means per event type; a day alerts if it leaves the range of the days before the onset."""
+    days = window_stats(table(spark, sf_dir, "events"), "ts", "1 day", ["event_type"], "value")
+    before = days.where(F.col("window_start") < F.to_timestamp(F.lit(ONSET))).groupBy("event_type").agg(
+        F.min("mean").alias("low"), F.max("mean").alias("high")
+    )
+    return days.join(before, "event_type").withColumn("alert", (F.col("mean") < F.col("low")) | (F.col("mean") > F.col("high")))
+
+
+@query
+def detection_delay(spark, sf_dir):
+    out = ledger.detection_delay(daily_alerts(spark, sf_dir), ["event_type"], "window_start", "alert", F.to_timestamp(F.lit(ONSET)))
+    return out.withColumn("first_alert", F.date_format("first_alert", "yyyy-MM-dd"))
+
+
+# --- training, scoring ---
+
+
+def trained(spark, sf_dir, **settings):
+    split = by_date(sales(spark, sf_dir))
+    model = boosting.train(split.where(F.col("split") == "train").drop("split"), **settings)
+    return model, split.where(F.col("split") == "test").drop("split")
+
+
+@query
+def train_score(spark, sf_dir):
+    model, test = trained(spark, sf_dir)
+    return metrics.regression_metrics(boosting.score(model, test), "sales_demand", boosting.PREDICTION)
+
+
+@query
+def score_batch(spark, sf_dir):
+    model, test = trained(spark, sf_dir, maxIter=10)
+    return boosting.published(boosting.score(model, test))
+
+
+@query
+def score_log(spark, sf_dir):
+    model, test = trained(spark, sf_dir, maxIter=10)
+    keyed = inject.with_row_key(test)
+    rows = requests.log_rows(boosting.score(model, keyed), "v1", F.col(inject.KEY), F.col("date"))
+    path = shared_dir(spark)
+    prediction_log.append_predictions(rows, path)
+    return prediction_log.load_predictions(spark, path)
+
+
+@query
+def run_experiments(spark, sf_dir):
+    return experiment.run_matrix(by_date(sales(spark, sf_dir)), "clean", seeds=contract.RUN_SEEDS[:2], maxIter=10)
+
+
+# --- streams ---
+
+
+@query
+def stream_quarantine(spark, sf_dir):
+    lines = tables.stream(spark, sf_dir, "lineitem")
+    faults = {k: v for k, v in contract.SCENARIOS["data_quality_failure"]["faults"].items() if k != "impossible_dates"}
+    keyed = inject.with_row_key(sales(spark, sf_dir, lines), SCALE)
+    bad = inject.inject_faults(keyed, faults).withColumnsRenamed({inject.KEY: "row_key", inject.COPY: "copy_no"})
+    path = shared_dir(spark)
+    requests.quarantine_stream(bad, rules.request_rules(), path, shared_dir(spark)).awaitTermination()
+    judged = spark.read.parquet(path)
+    return judged.select("row_key", "copy_no", F.array_join("violations", ",").alias("violations"), "verdict")
+
+
+@query
+def stream_score(spark, sf_dir):
+    model, _ = trained(spark, sf_dir, maxIter=10)
+    incoming = inject.with_row_key(sales(spark, sf_dir, tables.stream(spark, sf_dir, "lineitem")))
+    path = shared_dir(spark)
+    requests.score_stream(incoming, model, "v1", F.col(inject.KEY), path).awaitTermination()
+    return spark.read.parquet(path)
+
+
+@query
+def window_monitor(spark, sf_dir):
+    events = tables.stream(spark, sf_dir, "events")
+    stats = window_stats(events, "ts", "1 day", ["event_type"], "value", watermark="1 hour")
+    # The sentinel closes the last windows: a stream only emits what its watermark has passed.
+    path = shared_dir(spark)
+    requests.append_files(stats, path, shared_dir(spark)).awaitTermination()
+    return rounded(spark.read.schema(stats.schema).parquet(path).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd")))
+
+
+@query
+def window_drift(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    early = events.where(F.col("ts") < F.to_timestamp(F.lit(ONSET))).groupBy(F.col("event_type").alias("category"))
+    reference = early.agg(F.count(F.lit(1)).alias("n"))
+    counts = category_windows(tables.stream(spark, sf_dir, "events"), "ts", "1 day", "event_type", watermark="1 hour")
+    path = shared_dir(spark)
+    drift_stream(counts, reference, path, shared_dir(spark)).awaitTermination()
+    found = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    return rounded(found.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sluicegate.schema import normalise
 from sluicegate.session import pin_session
+from sluicegate.streaming.requests import read_files
 
 # Digits that both engines write doubles with when rows are hashed.
 SCALE = 6
@@ -33,9 +34,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return normalise(raw)
 
 
-def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The canonical 12-column sales table, derived from line items and parts."""
-    lines = table(spark, sf_dir, "lineitem")
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table's file as a stream."""
+    pin_session(spark)
+    return normalise(read_files(spark, f"{sf_dir}/{name}*.parquet", SCHEMAS[name]))
+
+
+def sales(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    """The canonical 12-column sales table, derived from line items (or a stream of them) and parts."""
+    lines = table(spark, sf_dir, "lineitem") if lines is None else lines
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_retailprice")
     promoted = F.when(F.col("l_discount") >= 0.08, 1).otherwise(0)
     kind = F.col("p_type")

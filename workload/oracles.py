@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from sluicegate import contract
 from workload import sqltext
 from workload.sqltext import COLUMNS, SALES, SALES_TEXT, fingerprint_of, scenario, uniform, unpivot
@@ -317,14 +319,243 @@ ORACLES["drift_summary"] = f"{SEVERE} SELECT n_columns, n_drifted, {DECISION} FR
 ORACLES["drift_decision"] = f"{SEVERE} SELECT n_columns, n_drifted, {DECISION}, {DECIDED} FROM ({summary()})"
 ORACLES["drift_report"] = f"""{current('mild_drift')}, {by_column('mild_drift')}
 SELECT feature, kind, test, round(score, 5) AS score, round(p_value, 5) AS p_value, p_value < 0.05::DOUBLE AS drifted FROM scored"""
-DRIFT_MATRIX = (
-    SIDES
+DRIFT_CTES = (
+    SIDES[len(f"WITH {SALES}, ") :]
     + ",\n"
-    + ",\n".join(f"{scenario(n, 'cur')},\n{by_column(n, '_' + n)}" for n in contract.SCENARIOS)
+    + ",\n".join(
+        f"{scenario('cur_' + n, 'cur', settings)},\n{by_column('cur_' + n, '_' + n)}" for n, settings in contract.SCENARIOS.items()
+    )
     + ", summaries AS ("
     + " UNION ALL ".join(summary("_" + n, f"'{n}' AS scenario, ") for n in contract.SCENARIOS)
     + f"), decisions AS (SELECT scenario, n_columns, n_drifted, {DECISION}, {DECIDED} FROM summaries)"
 )
+DRIFT_MATRIX = f"WITH {SALES}, {DRIFT_CTES}"
 ORACLES["scenario_drift_matrix"] = f"{DRIFT_MATRIX} SELECT * FROM decisions"
 ORACLES["retrain_requests"] = f"""{DRIFT_MATRIX} SELECT scenario, drift_share, drifted_columns, 'drift above the acceptable share' AS reason,
   'PENDING' AS status, false AS auto_trigger FROM decisions WHERE decision = 'RETRAIN_REQUIRED'"""
+
+
+# --- features ---
+
+PARTS = f"""{BAD}, tr AS (SELECT * FROM data_quality_failure WHERE {split_case()} = 'train'),
+te AS (SELECT * FROM data_quality_failure WHERE {split_case()} = 'test')"""
+NUMERIC = contract.NUMERIC_FEATURES
+VOCABULARY = "voc AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, cast(v AS varchar) AS category, cast(row_number() OVER (ORDER BY v) AS integer) AS code FROM (SELECT DISTINCT {c} AS v FROM tr WHERE {c} IS NOT NULL)"
+    for c in CATEGORICAL
+) + ")"
+MEDIANS = "med AS (SELECT " + ", ".join(f"quantile_cont({c}::DOUBLE, 0.5) AS {c}" for c in NUMERIC) + " FROM tr)"
+ORACLES["fit_categories"] = f"{PARTS}, {VOCABULARY} SELECT * FROM voc"
+ORACLES["fit_medians"] = f"{PARTS}, {MEDIANS} " + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, round({c} + 3e-7::DOUBLE, 5) AS median FROM med" for c in NUMERIC
+)
+ORACLES["impute"] = f"{PARTS}, {MEDIANS} SELECT row_key, copy_no, " + ", ".join(
+    f"round(coalesce(te.{c}::DOUBLE, med.{c}) + 3e-7::DOUBLE, 5) AS {c}" for c in NUMERIC
+) + " FROM te, med"
+
+
+def code(c: str, t: str) -> str:
+    return f"coalesce((SELECT any_value(code) FROM voc WHERE column_name = '{c}' AND category = cast({t}.{c} AS varchar)), 0)"
+
+
+ORACLES["encode"] = f"{PARTS}, {VOCABULARY} SELECT row_key, copy_no, " + ", ".join(f"{code(c, 'te')} AS {c}" for c in CATEGORICAL) + " FROM te"
+ORACLES["derive_features"] = f"""{KEYED} SELECT row_key, copy_no, round(price - competitor_price + 3e-7::DOUBLE, 5) AS price_diff,
+  round(price / (competitor_price + 1e-5::DOUBLE) + 3e-7::DOUBLE, 5) AS price_ratio FROM keyed"""
+FILLED = ", ".join(f"coalesce({c}::DOUBLE, (SELECT {c} FROM med)) AS {c}" for c in NUMERIC)
+ORACLES["feature_matrix"] = f"""{PARTS}, {VOCABULARY}, {MEDIANS}, b AS (SELECT 'train' AS split, * FROM tr UNION ALL SELECT 'test', * FROM te),
+f AS (SELECT split, {', '.join(f'{code(c, "b")} AS {c}' for c in CATEGORICAL)}, {FILLED}, coalesce(sales_demand, 0.0) AS sales_demand FROM b)
+SELECT split, count(*) AS n_rows, {', '.join(f'round(avg({c}), 5) AS {c}' for c in CATEGORICAL + NUMERIC + ['sales_demand'])},
+  round(avg(price - competitor_price), 5) AS price_diff, round(avg(price / (competitor_price + 1e-5::DOUBLE)), 5) AS price_ratio FROM f GROUP BY split"""
+
+# --- metrics, gates, readiness ---
+
+PREDICTION = "(100 + 30*promotion_flag + 0.1::DOUBLE*previous_day_sales)"
+UNGATED = "(107.5::DOUBLE + 0.1::DOUBLE*previous_day_sales)"
+
+
+def measures(y: str, p: str) -> str:
+    return (
+        f"avg(abs({y} - {p})) AS mae, sqrt(avg(({y} - {p})*({y} - {p}))) AS rmse, "
+        f"1.0::DOUBLE - sum(({y} - {p})*({y} - {p})) / (var_pop({y})*count({y})) AS r2, "
+        f"avg(abs(({y} - {p})/({y} + 1e-5::DOUBLE))) AS mape, sum(abs({y} - {p}))/sum(abs({y})) AS wmape"
+    )
+
+
+def shown(names, digits=6) -> str:
+    return ", ".join(f"round({n}, {digits}) AS {n}" for n in names)
+
+
+FIVE = ["mae", "rmse", "r2", "mape", "wmape"]
+ORACLES["regression_metrics"] = f"WITH {SALES} SELECT n, {shown(FIVE)} FROM (SELECT count(*) AS n, {measures('sales_demand', PREDICTION)} FROM sales)"
+ORACLES["metrics_by_segment"] = f"""WITH {SALES} SELECT product_category, store_id, n, {shown(FIVE)} FROM (
+  SELECT product_category, store_id, count(*) AS n, {measures('sales_demand', UNGATED)} FROM sales GROUP BY 1, 2)"""
+ORACLES["latency_summary"] = """SELECT count(value) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50,
+  round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(avg(value)/100, 6) AS per_record FROM events"""
+
+SCENARIO_METRICS = "scn AS (" + " UNION ALL ".join(
+    f"SELECT '{n}' AS scenario, {measures('sales_demand', PREDICTION)} FROM {n} WHERE previous_day_sales IS NOT NULL" for n in contract.SCENARIOS
+) + ")"
+GATED = f"""WITH {SALES},
+{ALL_SCENARIOS}, {SCENARIO_METRICS},
+mg AS (SELECT scenario, 'model_quality_gate' AS gate, rule, op, threshold, actual, CASE WHEN op = '<=' THEN actual <= threshold ELSE actual >= threshold END AS passed FROM (
+  SELECT scenario, 'rmse' AS rule, '<=' AS op, 150.0::DOUBLE AS threshold, rmse AS actual FROM scn
+  UNION ALL SELECT scenario, 'mape', '<=', 0.25::DOUBLE, mape FROM scn UNION ALL SELECT scenario, 'r2', '>=', 0.5::DOUBLE, r2 FROM scn)),
+mv AS (SELECT scenario, bool_and(passed) AS model_ok, coalesce(string_agg(CASE WHEN NOT passed THEN rule END, ',' ORDER BY rule), '') AS failed FROM mg GROUP BY scenario),
+rep AS ({" UNION ALL ".join(report(n, n) for n in contract.SCENARIOS)}),
+ready AS (SELECT rep.scenario, overall_status = 'PASS' AS data_validation_passed, model_ok AS model_quality_passed, overall_status = 'PASS' AND model_ok AS deployable,
+  CASE WHEN overall_status = 'PASS' AND model_ok THEN 'APPROVED' ELSE 'REJECTED' END AS status,
+  concat_ws('; ', CASE WHEN overall_status <> 'PASS' THEN 'data validation failed' END, CASE WHEN NOT model_ok THEN concat('model gate failed: ', failed) END) AS blocking_reasons
+  FROM rep JOIN mv ON rep.scenario = mv.scenario)"""
+ORACLES["model_gate"] = f"{GATED} SELECT scenario, gate, rule, op, threshold, round(actual, 6) AS actual, passed FROM mg"
+ORACLES["deployment_readiness"] = f"{GATED} SELECT * FROM ready"
+ORACLES["check_scores"] = f"""{GATED} SELECT scenario, count_if(passed) AS n_passed, count(*) AS n_checks,
+  round(count_if(passed)/count(*)::DOUBLE, 6) AS score FROM mg GROUP BY scenario"""
+
+# --- ledger, statistics, comparison ---
+
+VARIANTS = "(VALUES " + ", ".join(f"('{v}', '{p}', '{d}')" for v, p, d in contract.RUN_VARIANTS) + ") AS v(variant, pipeline, disabled)"
+SEEDS = "(VALUES " + ", ".join(f"({s})" for s in contract.RUN_SEEDS) + ") AS s(seed)"
+HASH_TEXT = """concat('{"disabled": "', disabled, '", "seed": ', seed, ', "variant": "', variant, '"}')"""
+ORACLES["experiment_matrix"] = f"""WITH {SALES}
+SELECT variant, pipeline, disabled, cast(seed AS integer) AS seed, sha256({HASH_TEXT}) AS config_hash, n_rows, fingerprint FROM {VARIANTS}, {SEEDS}, {SALES_PRINT}"""
+NOISE = "((inventory_level*seed) % 101 - 50)/25"
+LEDGER = f"""WITH {SALES}, runs AS (
+  SELECT 'baseline' AS pipeline, seed, {measures('sales_demand', f'({UNGATED} + {NOISE})')} FROM sales, {SEEDS} GROUP BY seed
+  UNION ALL SELECT 'proposed', seed, {measures('sales_demand', f'({PREDICTION} + {NOISE})')} FROM sales, {SEEDS} GROUP BY seed),
+ledger AS (SELECT variant, v.pipeline, cast(seed AS integer) AS seed, mae, rmse, r2, mape FROM {VARIANTS} JOIN runs ON runs.pipeline = v.pipeline),
+long AS (SELECT variant, seed, metric, value FROM ledger UNPIVOT (value FOR metric IN (mae, rmse, r2, mape)))"""
+ORACLES["run_aggregate"] = f"""{LEDGER}
+SELECT variant, metric, count(*) AS n, 0::BIGINT AS n_failed, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(stddev_samp(value), 6) AS std,
+  round(min(value), 6) AS min, round(max(value), 6) AS max, string_agg(cast(cast(round(value, 6) AS decimal(18,6)) AS varchar), ',' ORDER BY seed) AS values,
+  round(avg(value) - 1.96::DOUBLE*stddev_samp(value)/sqrt(count(*)), 6) AS ci95_low, round(avg(value) + 1.96::DOUBLE*stddev_samp(value)/sqrt(count(*)), 6) AS ci95_high
+FROM long GROUP BY variant, metric"""
+ORACLES["run_wide"] = f"{LEDGER} SELECT variant, pipeline, seed, 'COMPLETED' AS status, {shown(['mae', 'mape', 'r2', 'rmse'])} FROM ledger"
+ORACLES["champion"] = f"""WITH {SALES}, g AS (SELECT product_category, date_trunc('month', date) AS ym, {measures('sales_demand', PREDICTION)} FROM sales GROUP BY 1, 2)
+SELECT product_category, cast(arg_max(year(ym)*100 + month(ym), ym) AS integer) AS version, strftime(max(ym), '%Y-%m-%d') AS registered_at
+FROM g WHERE rmse <= 14.4::DOUBLE AND r2 >= 0.5::DOUBLE GROUP BY product_category"""
+
+
+def segment_rows(p: str) -> str:
+    return f"""(SELECT * FROM (SELECT product_category, {measures('sales_demand', p)} FROM sales GROUP BY product_category)
+      UNPIVOT (value FOR metric IN (mae, rmse, r2, mape)))"""
+
+
+TOLERANCE = "(CASE WHEN a.metric IN ('r2', 'mape') THEN 0.001::DOUBLE ELSE 0.01::DOUBLE END)"
+ORACLES["metric_diff"] = f"""WITH {SALES}
+SELECT a.product_category, a.metric, round(a.value, 6) AS run1, round(b.value, 6) AS run2, round(abs(a.value - b.value), 6) AS diff, {TOLERANCE} AS tolerance,
+  abs(a.value - b.value) <= {TOLERANCE} AS matches
+FROM {segment_rows(PREDICTION)} a JOIN {segment_rows(f'({PREDICTION} + temperature*1e-2::DOUBLE)')} b ON a.product_category = b.product_category AND a.metric = b.metric"""
+
+
+def pair(name: str, step: str) -> str:
+    gap = f"abs({PREDICTION} - ({PREDICTION} + temperature*{step}::DOUBLE))"
+    return f"""SELECT count(*) AS n_run1, count(*) AS n_run2, count(*) AS n_matched, round(max({gap}), 9) AS max_diff, round(avg({gap}), 9) AS mean_diff,
+  true AS shape_matches, max({gap}) <= 1e-5::DOUBLE AS matches, '{name}' AS pair FROM sales"""
+
+
+ORACLES["prediction_diff"] = f"WITH {SALES} {pair('near', '1e-7')} UNION ALL {pair('far', '1e-3')}"
+FEATURE_SETS = f"""WITH {SALES}, x AS (SELECT DISTINCT store_id, product_category FROM sales WHERE {split_case()} = 'train'),
+y AS (SELECT DISTINCT store_id, product_category FROM sales WHERE {split_case()} = 'test' AND date >= TIMESTAMP '2001-11-01'),
+fd AS (SELECT st.store_id, (SELECT count(*) FROM x WHERE x.store_id = st.store_id) AS run1_count, (SELECT count(*) FROM y WHERE y.store_id = st.store_id) AS run2_count,
+  coalesce((SELECT string_agg(product_category, ',' ORDER BY product_category) FROM x WHERE x.store_id = st.store_id
+    AND NOT EXISTS (SELECT 1 FROM y WHERE y.store_id = x.store_id AND y.product_category = x.product_category)), '') AS missing_in_run2,
+  coalesce((SELECT string_agg(product_category, ',' ORDER BY product_category) FROM y WHERE y.store_id = st.store_id
+    AND NOT EXISTS (SELECT 1 FROM x WHERE y.store_id = x.store_id AND y.product_category = x.product_category)), '') AS extra_in_run2
+  FROM (SELECT DISTINCT store_id FROM sales) st)"""
+ORACLES["feature_diff"] = f"""{FEATURE_SETS} SELECT store_id, run1_count::INTEGER AS run1_count, run2_count::INTEGER AS run2_count, missing_in_run2, extra_in_run2,
+  missing_in_run2 = '' AND extra_in_run2 = '' AS matches FROM fd"""
+ORACLES["repro_report"] = f"""{FEATURE_SETS}, c AS (SELECT 'dataset_fingerprint' AS check_name, true AS passed
+  UNION ALL SELECT 'features', bool_and(missing_in_run2 = '' AND extra_in_run2 = '') FROM fd
+  UNION ALL SELECT 'metrics', bool_and(abs(a.value - b.value) <= {TOLERANCE}) FROM {segment_rows(PREDICTION)} a
+    JOIN {segment_rows(f'({PREDICTION} + temperature*1e-7::DOUBLE)')} b ON a.product_category = b.product_category AND a.metric = b.metric
+  UNION ALL SELECT 'predictions', max(abs(temperature*1e-7::DOUBLE)) <= 1e-5::DOUBLE FROM sales)
+SELECT check_name, passed, (SELECT bool_and(passed) FROM c) AS reproducible FROM c"""
+
+COMPARED = f"{GATED}, {DRIFT_CTES}"
+ORACLES["release_comparison"] = f"""{COMPARED}
+SELECT CASE WHEN gated THEN 'gated' ELSE 'baseline' END AS pipeline_type, r.scenario,
+  CASE WHEN gated THEN CASE WHEN data_validation_passed THEN 'PASS' ELSE 'FAIL' END ELSE 'NOT_CHECKED' END AS data_quality_gate_status,
+  CASE WHEN gated THEN CASE WHEN model_quality_passed THEN 'PASS' ELSE 'FAIL' END ELSE 'NOT_CHECKED' END AS model_quality_gate_status,
+  CASE WHEN gated AND deployable THEN 'Yes' ELSE 'No' END AS model_registered,
+  CASE WHEN NOT gated THEN 'Yes (Unverified)' WHEN deployable THEN 'Yes (Verified)' ELSE 'No (Blocked)' END AS deployable,
+  CASE WHEN NOT gated THEN 'Not Monitored' WHEN dataset_drift THEN 'Yes' ELSE 'No' END AS drift_detected,
+  CASE WHEN gated THEN decision ELSE 'N/A' END AS decision, {shown(['mae', 'rmse', 'r2', 'mape'], 5)},
+  0.0::DOUBLE AS train_duration_s, 0.0::DOUBLE AS total_duration_s, 0.0::DOUBLE AS inference_latency_ms,
+  CASE WHEN gated THEN 'Yes' ELSE 'No' END AS dataset_fingerprint_tracked, CASE WHEN gated THEN 'Yes' ELSE 'No' END AS experiment_tracking_present,
+  CASE WHEN gated THEN 'Yes' ELSE 'No' END AS reproducibility_verified,
+  CASE WHEN NOT gated THEN 'No (Gates absent)' WHEN NOT deployable THEN 'Yes' ELSE 'N/A (Valid run)' END AS invalid_release_prevented
+FROM ready r JOIN decisions d ON r.scenario = d.scenario JOIN scn ON r.scenario = scn.scenario, (VALUES (true), (false)) AS g(gated)"""
+ORACLES["release_confusion"] = f"""{GATED}, l AS (SELECT p AS pipeline, scenario IN ('clean', 'mild_drift') AS valid, p = 'baseline' OR deployable AS released
+  FROM ready, (VALUES ('baseline'), ('proposed')) AS x(p))
+SELECT pipeline, count(*) AS n, round(count_if(NOT valid AND NOT released)/nullif(count_if(NOT valid), 0)::DOUBLE, 6) AS blocked_invalid_rate,
+  round(count_if(valid AND NOT released)/nullif(count_if(valid), 0)::DOUBLE, 6) AS false_block_rate,
+  round(count_if(valid = released)/count(*)::DOUBLE, 6) AS decision_accuracy FROM l GROUP BY pipeline"""
+ORACLES["drift_confusion"] = f"""{DRIFT_MATRIX}, a AS (SELECT scenario IN ('mild_drift', 'severe_drift', 'performance_degradation') AS drifted, decision <> 'CONTINUE' AS alerted FROM decisions),
+r AS (SELECT count(*) AS n, count_if(drifted AND alerted)/nullif(count_if(alerted), 0)::DOUBLE AS precision, count_if(drifted AND alerted)/nullif(count_if(drifted), 0)::DOUBLE AS recall,
+  count_if(NOT drifted AND alerted)/nullif(count_if(NOT drifted), 0)::DOUBLE AS false_alarm_rate, count_if(drifted AND NOT alerted)/nullif(count_if(drifted), 0)::DOUBLE AS missed_rate FROM a)
+SELECT n, round(precision, 6) AS precision, round(recall, 6) AS recall, round(false_alarm_rate, 6) AS false_alarm_rate, round(missed_rate, 6) AS missed_rate,
+  round(2*precision*recall/nullif(precision + recall, 0), 6) AS f1 FROM r"""
+ORACLES["overhead"] = """WITH p AS (SELECT user_id, cast(isodow(ts) - 1 AS integer) AS day, avg(CASE WHEN event_type = 'view' THEN value END) AS a,
+  avg(CASE WHEN event_type = 'purchase' THEN value END) AS b FROM events GROUP BY 1, 2)
+SELECT day, count((b - a)/nullif(a, 0)) AS n, round(avg((b - a)/nullif(a, 0)), 6) AS mean_ratio, round(median((b - a)/nullif(a, 0)), 6) AS median_ratio FROM p GROUP BY day"""
+
+
+def errors(period: str) -> str:
+    return f"""WITH {SALES}, e AS (SELECT concat_ws('~', store_id, strftime(date_trunc('{period}', date), '%Y%m%d')) AS pair,
+  avg(abs(sales_demand - {UNGATED})) - avg(abs(sales_demand - {PREDICTION})) AS gain FROM sales GROUP BY 1)"""
+
+
+def draw(salt: str) -> str:
+    return f"((cast(concat('0x', substr(md5(concat_ws('~', pair, cast(r AS varchar), '{salt}', '42')), 1, 8)) AS bigint) + 1.0::DOUBLE)/4294967297.0::DOUBLE)"
+
+
+ORACLES["paired_permutation"] = f"""{errors('month')}, o AS (SELECT count(gain) AS n, avg(gain) AS m, stddev_samp(gain) AS s FROM e),
+rep AS (SELECT r, avg(CASE WHEN {draw('sign')} < 0.5::DOUBLE THEN -gain ELSE gain END) AS rm FROM e, range(1, 201) AS t(r) GROUP BY r),
+x AS (SELECT count_if(abs(rm) >= abs(m) - 1e-12::DOUBLE) AS c FROM rep, o)
+SELECT n, round(m, 6) AS mean_difference, round(m/s, 6) AS effect_size, c AS n_extreme, round((c + 1)/201.0::DOUBLE, 6) AS p_value FROM o, x"""
+POISSON = []
+_total = 0.0
+for _k in range(10):
+    _total += math.exp(-1) / math.factorial(_k)
+    POISSON.append(f"(CASE WHEN u > {_total!r}::DOUBLE THEN 1 ELSE 0 END)")
+ORACLES["bootstrap_ci"] = f"""{errors('week')}, d AS (SELECT r, gain, {draw('weight')} AS u FROM e, range(1, 201) AS t(r)),
+rep AS (SELECT r, sum(w*gain)/sum(w) AS rm FROM (SELECT r, gain, {' + '.join(POISSON)} AS w FROM d) GROUP BY r)
+SELECT (SELECT count(gain) FROM e) AS n, (SELECT round(avg(gain), 6) FROM e) AS mean, round(quantile_cont(rm, 0.025), 6) AS ci_low, round(quantile_cont(rm, 0.975), 6) AS ci_high FROM rep"""
+ORACLES["detection_delay"] = """WITH d AS (SELECT date_trunc('day', ts) AS day, event_type, avg(value) AS m FROM events GROUP BY 1, 2),
+b AS (SELECT event_type, min(m) AS lo, max(m) AS hi FROM d WHERE day < TIMESTAMP '2024-01-10' GROUP BY 1),
+a AS (SELECT d.event_type, day, m < lo OR m > hi AS alert FROM d JOIN b ON d.event_type = b.event_type WHERE day >= TIMESTAMP '2024-01-10'),
+f AS (SELECT event_type, min(CASE WHEN alert THEN day END) AS first_alert FROM a GROUP BY 1)
+SELECT f.event_type, strftime(first_alert, '%Y-%m-%d') AS first_alert, first_alert IS NOT NULL AS detected,
+  cast(epoch(first_alert) - epoch(TIMESTAMP '2024-01-10') AS bigint) AS delay_seconds,
+  CASE WHEN first_alert IS NOT NULL THEN (SELECT count(*) FROM a WHERE a.event_type = f.event_type AND day <= first_alert) END AS delay_observations FROM f"""
+
+# --- streams ---
+
+STREAMED = {k: v for k, v in contract.SCENARIOS["data_quality_failure"]["faults"].items() if k != "impossible_dates"}
+REQUEST_CHECKS = [(c, "not_null", f"{c} IS NULL") for c in FEATURES] + [
+    ("promotion_flag", "in_0_1", "promotion_flag NOT BETWEEN 0 AND 1"),
+    ("price", "gt_0", "price <= 0"),
+    ("inventory_level", "ge_0", "inventory_level < 0"),
+    ("competitor_price", "gt_0", "competitor_price <= 0"),
+    ("temperature", "in_-50_60", "temperature NOT BETWEEN -50 AND 60"),
+    ("day_of_week", "in_0_6", "day_of_week NOT BETWEEN 0 AND 6"),
+    ("month", "in_1_12", "month NOT BETWEEN 1 AND 12"),
+    ("previous_day_sales", "ge_0", "previous_day_sales < 0"),
+]
+ORACLES["stream_quarantine"] = f"""WITH {SALES}, {scenario('streamed', settings={'faults': STREAMED, 'drift': {}})}
+SELECT row_key, copy_no, v AS violations, CASE WHEN v = '' THEN 'accepted' ELSE 'rejected' END AS verdict
+FROM (SELECT row_key, copy_no, coalesce({named_violations(REQUEST_CHECKS)}, '') AS v FROM streamed)"""
+EVENT_CELLS = " + ".join(f"(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)" for c in ("event_id", "ts", "user_id", "event_type", "value", "props"))
+# A stream emits a day once its watermark (last event minus one hour) has passed the day's end.
+CLOSED = "date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+ORACLES["window_monitor"] = f"""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start, event_type, count(*) AS n_rows, sum({EVENT_CELLS})::BIGINT AS null_cells,
+  round(sum({EVENT_CELLS})/(count(*)*6)::DOUBLE, 6) AS missing_ratio, round(avg(value), 6) AS mean, round(min(value), 6) AS min, round(max(value), 6) AS max
+FROM events WHERE {CLOSED} GROUP BY 1, 2"""
+ORACLES["window_drift"] = f"""WITH b AS (SELECT event_type, count(*)::DOUBLE AS r FROM events WHERE ts < TIMESTAMP '2024-01-10' GROUP BY 1),
+w AS (SELECT DISTINCT date_trunc('day', ts) AS day FROM events WHERE {CLOSED}),
+c AS (SELECT date_trunc('day', ts) AS day, event_type, count(*)::DOUBLE AS c FROM events GROUP BY 1, 2),
+j AS (SELECT w.day, b.event_type, r, coalesce(c.c, 0) AS c, sum(r) OVER (PARTITION BY w.day) AS tr, sum(coalesce(c.c, 0)) OVER (PARTITION BY w.day) AS tc
+  FROM w CROSS JOIN b LEFT JOIN c ON c.day = w.day AND c.event_type = b.event_type),
+s AS (SELECT day, sum((c - tc*r/tr)*(c - tc*r/tr)/(tc*r/tr)) AS score, count(*) - 1 AS df FROM j GROUP BY day)
+SELECT strftime(day, '%Y-%m-%d') AS window_start, round(score, 6) AS score, df, round({gamma_tail('(df/2.0::DOUBLE)', '(score/2.0::DOUBLE)')}, 6) AS p_value,
+  {gamma_tail('(df/2.0::DOUBLE)', '(score/2.0::DOUBLE)')} < 0.05::DOUBLE AS drifted FROM s"""

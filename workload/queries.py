@@ -288,7 +288,7 @@ def inject_drift(spark, sf_dir):
 
 
 def scenario_tables(spark, sf_dir):
-    base = sales(spark, sf_dir)
+    base = settle(sales(spark, sf_dir))
     return {name: inject.apply_scenario(base, name, float_scale=SCALE) for name in contract.SCENARIOS}
 
 
@@ -760,7 +760,6 @@ def stream_score(spark, sf_dir):
 def window_monitor(spark, sf_dir):
     events = tables.stream(spark, sf_dir, "events")
     stats = window_stats(events, "ts", "1 day", ["event_type"], "value", watermark="1 hour")
-    # The sentinel closes the last windows: a stream only emits what its watermark has passed.
     path = shared_dir(spark)
     requests.append_files(stats, path, shared_dir(spark)).awaitTermination()
     return rounded(spark.read.schema(stats.schema).parquet(path).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd")))

@@ -14,22 +14,25 @@ LANES = 4
 LANE_HEX = 15
 
 
-def cell_text(field: T.StructField, float_scale: int | None) -> Column:
-    c = F.col(f"`{field.name}`")
+def cell_text(field: T.StructField, float_scale: int | None) -> str:
+    """SQL for one cell. Text carries its length, so that no content can pass for another cell."""
+    c = f"`{field.name}`"
     kind = field.dataType
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         if float_scale is None:
-            return c.cast("string")
-        return F.floor(c * F.lit(float(10**float_scale)) + F.lit(0.5)).cast("string")
-    if isinstance(kind, (T.TimestampType, T.DateType)):
-        return F.unix_micros(c.cast("timestamp")).cast("string")
-    if isinstance(kind, T.TimestampNTZType):
-        return F.unix_micros(c.cast("timestamp")).cast("string")
+            return f"cast({c} AS string)"
+        return f"cast(floor({c} * {10**float_scale}D + 0.5D) AS string)"
+    if isinstance(kind, (T.TimestampType, T.DateType, T.TimestampNTZType)):
+        return f"cast(unix_micros(cast({c} AS timestamp)) AS string)"
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        return f"cast({c} AS string)"
     if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
-        return F.to_json(c)
-    if isinstance(kind, T.BinaryType):
-        return F.hex(c)
-    return c.cast("string")
+        c = f"to_json({c})"
+    elif isinstance(kind, T.BinaryType):
+        c = f"hex({c})"
+    else:
+        c = f"cast({c} AS string)"
+    return f"concat(length({c}), ':', {c})"
 
 
 def row_text(
@@ -38,17 +41,13 @@ def row_text(
     float_scale: int | None = None,
     keep_column_order: bool = False,
 ) -> Column:
-    """One string per row. Each cell carries its column name and length, so no two different
-    rows share a text; a NULL has no length."""
+    """One string per row, with every cell under its column name, so no two different rows share a
+    text. A NULL is written as no number or length can be."""
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     if not keep_column_order:
         fields = sorted(fields, key=lambda f: f.name)
-    cells = []
-    for field in fields:
-        text = cell_text(field, float_scale)
-        tagged = F.concat(F.lit(f"{field.name}:"), F.length(text).cast("string"), F.lit(":"), text)
-        cells.append(F.coalesce(tagged, F.lit(f"{field.name}:~")))
-    return F.concat_ws("|", *cells)
+    cells = [f"concat('{f.name}:', coalesce({cell_text(f, float_scale)}, '~'))" for f in fields]
+    return F.expr(f"concat_ws('|', {', '.join(cells)})")
 
 
 def lane(digest: Column, i: int) -> Column:
@@ -67,15 +66,20 @@ def wide_hash(df: DataFrame, columns: list[str] | None = None) -> list[Column]:
     return [F.xxhash64(*cells).alias("hash_a"), F.xxhash64(F.lit(0x9E3779B9), *cells).alias("hash_b")]
 
 
-def uniform(key: Column, salt: str, seed: int) -> Column:
-    """A number in (0, 1] fixed by (key, salt, seed): the same under any partitioning."""
-    text = F.md5(F.concat_ws("~", key, F.lit(salt), F.lit(str(seed))))
-    return (F.conv(F.substring(text, 1, 8), 16, 10).cast("double") + 1.0) / F.lit(4294967297.0)
+def _uniform_sql(key: str, salt: str, seed: int) -> str:
+    text = f"md5(concat_ws('~', {key}, '{salt}', '{seed}'))"
+    return f"((cast(conv(substring({text}, 1, 8), 16, 10) AS double) + 1.0D) / 4294967297.0D)"
 
 
-def standard_normal(key: Column, salt: str, seed: int) -> Column:
-    """Box-Muller on two hash uniforms."""
-    import math
+def uniform(key: str, salt: str, seed: int) -> Column:
+    """A number in (0, 1] fixed by (key, salt, seed): the same under any partitioning.
 
-    radius = F.sqrt(-2.0 * F.log(uniform(key, salt + ":r", seed)))
-    return radius * F.cos(F.lit(2.0 * math.pi) * uniform(key, salt + ":a", seed))
+    ``key`` is SQL for a string.
+    """
+    return F.expr(_uniform_sql(key, salt, seed))
+
+
+def standard_normal(key: str, salt: str, seed: int) -> Column:
+    """Box-Muller on two hash uniforms."""
+    radius, angle = _uniform_sql(key, salt + ":r", seed), _uniform_sql(key, salt + ":a", seed)
+    return F.expr(f"sqrt(-2.0D * ln({radius})) * cos(2.0D * pi() * {angle})")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sluicegate import contract
 from sluicegate.functions.tails import chi_square_p, kolmogorov_p, two_sided_normal_p
-from sluicegate.operators.ordered import DEFAULT_BUCKETS, fit_cuts, prefix_sums, unpivot_values, with_buckets
+from sluicegate.operators.ordered import DEFAULT_BUCKETS, fit_cuts, prefix_sums, stored_counts, unpivot_values, with_buckets
 
 MIN_NORM = 0.001
 SCORE_COLUMNS = ["feature", "kind", "test", "score", "p_value", "drifted"]
@@ -43,8 +43,8 @@ def numeric_distances(
     reference's standard deviation."""
     columns = common_features(reference, current, features)
     values = unpivot_values(_tagged(reference, current, columns), columns, ["side"])
-    counts = values.groupBy("feature", "value").agg(*_side_counts())
-    cuts = fit_cuts(values, buckets)
+    counts = stored_counts(values, ["feature", "value"], _side_counts())
+    cuts = fit_cuts(counts, buckets)
     ranked = prefix_sums(with_buckets(counts, cuts, buckets), ["feature"], "value", ["n_ref", "n_cur"])
     share = {w: (F.col(f"before_{w}") + F.col(w)) / F.col(f"total_{w}") for w in ("n_ref", "n_cur")}
     gap = F.abs(share["n_ref"] - share["n_cur"])

@@ -21,8 +21,8 @@ def with_row_key(df: DataFrame, float_scale: int | None = None) -> DataFrame:
     return df.withColumn(KEY, F.md5(row_text(df, float_scale=float_scale)))
 
 
-def _copy_key() -> Column:
-    return F.concat_ws("~", F.col(KEY), F.col(COPY).cast("string"))
+def _copy_key() -> str:
+    return f"concat_ws('~', {KEY}, cast({COPY} AS string))"
 
 
 def _replace(df: DataFrame, column: str, hit: Column, value: Column) -> DataFrame:
@@ -39,7 +39,7 @@ def inject_faults(
     if absent.
     """
     out = keyed
-    key = F.col(KEY)
+    key = KEY
     missing = faults.get("missing_ratio", 0.0)
     if missing > 0:
         share = missing / len(contract.FAULT_COLUMNS)

@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluicegate.session import settle
+
 BUCKET = "__bucket"
 DEFAULT_BUCKETS = 256
 SKETCH_GROUPS = 64
@@ -22,12 +24,19 @@ def unpivot_values(df: DataFrame, columns: list[str], keep: list[str] | None = N
     return df.select(*(keep or []), F.inline(F.array(*cells))).where(F.col("value").isNotNull())
 
 
+def stored_counts(values: DataFrame, keys: list[str], aggregates: list[Column]) -> DataFrame:
+    """Counts per distinct value, written to shared storage: whatever made the values runs once, and
+    cut points and prefix sums read the counts."""
+    return settle(values.groupBy(*keys).agg(*aggregates))
+
+
 def fit_cuts(values: DataFrame, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Cut points per feature from a quantile sketch: a local table (feature, cuts).
 
-    The cuts only balance the work, so an approximate sketch is enough. They are fixed before the
-    plan that uses them, so a recomputed task always sees the same buckets. Sketches are merged in
-    two steps, and the driver receives ``buckets - 1`` numbers per feature.
+    ``values`` has each distinct value once, so buckets get equal numbers of rows to sort. The cuts
+    only balance that work, and an approximate sketch is enough. They are fixed before the plan that
+    uses them: a recomputed task sees the same buckets. Sketches are merged in two steps, and the
+    driver receives ``buckets - 1`` numbers per feature.
     """
     width = 2 ** int(math.log2(buckets))
     ranks = [i / width for i in range(1, width)]
@@ -100,8 +109,8 @@ def exact_quantiles(
     Works on counts per distinct value with bucketed ranks, so no task holds a whole column.
     """
     values = unpivot_values(df, columns)
-    counts = values.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranked = prefix_sums(with_buckets(counts, fit_cuts(values, buckets), buckets), ["feature"], "value", ["n"])
+    counts = stored_counts(values, ["feature", "value"], [F.count(F.lit(1)).alias("n")])
+    ranked = prefix_sums(with_buckets(counts, fit_cuts(counts, buckets), buckets), ["feature"], "value", ["n"])
     found = []
     for i, p in enumerate(probabilities):
         position = (F.col("total_n") - 1) * F.lit(float(p))

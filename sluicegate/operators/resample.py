@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluicegate import contract
@@ -19,33 +19,43 @@ def _hash_uniform(key: Column, replicate: Column, salt: str, seed: int) -> Colum
     return (F.conv(F.substring(text, 1, 8), 16, 10).cast("double") + 1.0) / F.lit(4294967297.0)
 
 
+OBSERVED = 0
+
+
 def _replicated(pairs: DataFrame, replicates: int) -> DataFrame:
-    return pairs.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    """Replicate 0 is the data as observed, so one pass yields the statistic and its replicates."""
+    return pairs.withColumn("replicate", F.explode(F.sequence(F.lit(OBSERVED), F.lit(replicates))))
+
+
+def _observed(column: str) -> Column:
+    """The observed value next to every replicate: a window over ``replicates + 1`` rows."""
+    return F.max(F.when(F.col("replicate") == OBSERVED, F.col(column))).over(Window.partitionBy(F.lit(0)))
 
 
 def paired_permutation(
     pairs: DataFrame, key: str, difference: str, replicates: int = 200, seed: int = contract.DEFAULT_SEED
 ) -> DataFrame:
-    """(n, mean_difference, effect_size, p_value) for paired differences under random sign flips.
+    """(n, mean_difference, effect_size, n_extreme, p_value) for paired differences under random signs.
 
     The effect size is the mean over the sample standard deviation.
     """
-    observed = pairs.agg(
-        F.count(difference).alias("n"), F.avg(difference).alias("mean_difference"), F.stddev_samp(difference).alias("std")
-    )
     flip = _hash_uniform(F.col(key).cast("string"), F.col("replicate"), "sign", seed) < 0.5
-    signed = F.when(flip, -F.col(difference)).otherwise(F.col(difference))
-    means = _replicated(pairs, replicates).groupBy("replicate").agg(F.avg(signed).alias("replicate_mean"))
-    # ``observed`` is one row. A replicate equal to the observed mean up to rounding counts as extreme.
-    extreme = F.abs("replicate_mean") >= F.abs("mean_difference") - 1e-12
+    signed = F.when((F.col("replicate") > OBSERVED) & flip, -F.col(difference)).otherwise(F.col(difference))
+    one = (
+        _replicated(pairs, replicates)
+        .groupBy("replicate")
+        .agg(F.count(difference).alias("n"), F.avg(signed).alias("mean"), F.stddev_samp(difference).alias("std"))
+        .withColumns({"seen": _observed("mean"), "size": _observed("n"), "spread": _observed("std")})
+    )
+    # A replicate equal to the observed mean up to rounding counts as extreme.
+    extreme = (F.col("replicate") > OBSERVED) & (F.abs("mean") >= F.abs("seen") - 1e-12)
     return (
-        means.crossJoin(observed)
-        .groupBy("n", "mean_difference", "std")
+        one.groupBy(F.col("size").alias("n"), F.col("seen").alias("mean_difference"), "spread")
         .agg(F.count_if(extreme).alias("n_extreme"))
         .select(
             "n",
             "mean_difference",
-            F.try_divide("mean_difference", "std").alias("effect_size"),
+            F.try_divide("mean_difference", "spread").alias("effect_size"),
             "n_extreme",
             ((F.col("n_extreme") + 1) / F.lit(float(replicates + 1))).alias("p_value"),
         )
@@ -65,17 +75,18 @@ def bootstrap_ci(
     rows: DataFrame, key: str, value: str, replicates: int = 200, seed: int = contract.DEFAULT_SEED, level: float = 0.95
 ) -> DataFrame:
     """(n, mean, ci_low, ci_high) of the mean, by Poisson bootstrap."""
-    weight = poisson_one(_hash_uniform(F.col(key).cast("string"), F.col("replicate"), "weight", seed))
-    weighted = _replicated(rows.where(F.col(value).isNotNull()), replicates).withColumn("weight", weight)
+    drawn = _hash_uniform(F.col(key).cast("string"), F.col("replicate"), "weight", seed)
+    replicated = _replicated(rows.where(F.col(value).isNotNull()), replicates).withColumn("u", drawn)
+    weighted = replicated.withColumn("weight", F.when(F.col("replicate") == OBSERVED, 1).otherwise(poisson_one(F.col("u"))))
     means = weighted.groupBy("replicate").agg(
-        F.try_divide(F.sum(F.col("weight") * F.col(value)), F.sum("weight").cast("double")).alias("replicate_mean")
+        F.count(value).alias("n"),
+        F.try_divide(F.sum(F.col("weight") * F.col(value)), F.sum("weight").cast("double")).alias("mean"),
     )
     tail = (1 - level) / 2
-    bounds = means.agg(
-        F.percentile("replicate_mean", tail).alias("ci_low"), F.percentile("replicate_mean", 1 - tail).alias("ci_high")
+    observed, resampled = F.col("replicate") == OBSERVED, F.when(F.col("replicate") > OBSERVED, F.col("mean"))
+    return means.agg(
+        F.coalesce(F.max(F.when(observed, F.col("n"))), F.lit(0)).alias("n"),
+        F.max(F.when(observed, F.col("mean"))).alias("mean"),
+        F.percentile(resampled, tail).alias("ci_low"),
+        F.percentile(resampled, 1 - tail).alias("ci_high"),
     )
-    observed = rows.agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
-    # One row each.
-    return observed.crossJoin(bounds)
-
-

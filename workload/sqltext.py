@@ -38,9 +38,8 @@ def row_text(kinds: dict[str, str]) -> str:
     cells = []
     for name in sorted(kinds):
         text = cell(name, kinds[name])
-        cells.append(
-            f"CASE WHEN {name} IS NULL THEN '{name}:~' ELSE concat('{name}:', length({text}), ':', {text}) END"
-        )
+        tag = f"length({text}), ':', " if kinds[name] == "string" else ""
+        cells.append(f"CASE WHEN {name} IS NULL THEN '{name}:~' ELSE concat('{name}:', {tag}{text}) END")
     return "concat_ws('|', " + ", ".join(cells) + ")"
 
 

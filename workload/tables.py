@@ -44,27 +44,19 @@ def sales(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> D
     """The canonical 12-column sales table, derived from line items (or a stream of them) and parts."""
     lines = table(spark, sf_dir, "lineitem") if lines is None else lines
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_retailprice")
-    promoted = F.when(F.col("l_discount") >= 0.08, 1).otherwise(0)
-    kind = F.col("p_type")
-    day_of_year = F.dayofyear("l_shipdate")
-    carried = F.col("l_quantity") * F.col("l_linenumber")
-    key = F.col("l_orderkey") * 7 + F.col("l_partkey") * 13 + F.col("l_linenumber") * 31
-    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.date_trunc("day", "l_shipdate").alias("date"),
-        F.concat(F.lit("store_"), F.lpad((F.col("l_suppkey") % 20).cast("string"), 3, "0")).alias("store_id"),
-        F.when(kind == "PROMO", "Electronics")
-        .when(kind == "MEDIUM", "Clothing")
-        .when(kind == "ECONOMY", "Food")
-        .when(kind == "SMALL", "Sports")
-        .otherwise("Home")
-        .alias("product_category"),
-        promoted.alias("promotion_flag"),
-        F.col("p_retailprice").alias("price"),
-        (key % 500).cast("double").alias("inventory_level"),
-        (F.col("p_retailprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("competitor_price"),
-        (15 + 15 * F.sin(2 * F.pi() * day_of_year / 365) + (F.col("l_quantity") - 25.5) / 5).alias("temperature"),
-        F.weekday("l_shipdate").cast("int").alias("day_of_week"),
-        F.month("l_shipdate").cast("int").alias("month"),
-        carried.alias("previous_day_sales"),
-        F.greatest(F.lit(0.0), 100 + 30 * promoted + (F.col("l_quantity") - 25.5) + 0.1 * carried).alias("sales_demand"),
+    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).selectExpr(
+        "date_trunc('day', l_shipdate) AS date",
+        "concat('store_', lpad(cast(l_suppkey % 20 AS string), 3, '0')) AS store_id",
+        "CASE p_type WHEN 'PROMO' THEN 'Electronics' WHEN 'MEDIUM' THEN 'Clothing' WHEN 'ECONOMY' THEN 'Food' "
+        "WHEN 'SMALL' THEN 'Sports' ELSE 'Home' END AS product_category",
+        "CASE WHEN l_discount >= 0.08D THEN 1 ELSE 0 END AS promotion_flag",
+        "p_retailprice AS price",
+        "cast((l_orderkey * 7 + l_partkey * 13 + l_linenumber * 31) % 500 AS double) AS inventory_level",
+        "p_retailprice * (1 - l_discount) * (1 + l_tax) AS competitor_price",
+        "15 + 15 * sin(2 * pi() * dayofyear(l_shipdate) / 365) + (l_quantity - 25.5D) / 5 AS temperature",
+        "cast(weekday(l_shipdate) AS int) AS day_of_week",
+        "cast(month(l_shipdate) AS int) AS month",
+        "l_quantity * l_linenumber AS previous_day_sales",
+        "greatest(0.0D, 100 + 30 * (CASE WHEN l_discount >= 0.08D THEN 1 ELSE 0 END) + (l_quantity - 25.5D) "
+        "+ 0.1D * (l_quantity * l_linenumber)) AS sales_demand",
     )

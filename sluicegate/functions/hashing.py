@@ -6,6 +6,8 @@ of that many decimals, a form other SQL engines reproduce.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,9 +68,26 @@ def wide_hash(df: DataFrame, columns: list[str] | None = None) -> list[Column]:
     return [F.xxhash64(*cells).alias("hash_a"), F.xxhash64(F.lit(0x9E3779B9), *cells).alias("hash_b")]
 
 
+DRAWS = 4294967297.0  # 2^32 + 1: eight hex digits, kept off 0
+
+
+def _draw_sql(key: str, salt: str, seed: int) -> str:
+    """Eight hex digits fixed by (key, salt, seed)."""
+    return f"substring(md5(concat_ws('~', {key}, '{salt}', '{seed}')), 1, 8)"
+
+
 def _uniform_sql(key: str, salt: str, seed: int) -> str:
-    text = f"md5(concat_ws('~', {key}, '{salt}', '{seed}'))"
-    return f"((cast(conv(substring({text}, 1, 8), 16, 10) AS double) + 1.0D) / 4294967297.0D)"
+    return f"((cast(conv({_draw_sql(key, salt, seed)}, 16, 10) AS double) + 1.0D) / {DRAWS}D)"
+
+
+def drawn_below(key: str, salt: str, seed: int, share: float) -> Column:
+    """``uniform(key, salt, seed) < share``, decided on the hex digits without converting them."""
+    limit = math.ceil(share * DRAWS - 1.0)
+    if limit <= 0:
+        return F.lit(False)
+    if limit >= 2**32:
+        return F.lit(True)
+    return F.expr(f"{_draw_sql(key, salt, seed)} < '{limit:08x}'")
 
 
 def uniform(key: str, salt: str, seed: int) -> Column:

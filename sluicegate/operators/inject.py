@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluicegate import contract
-from sluicegate.functions.hashing import row_text, standard_normal, uniform
+from sluicegate.functions.hashing import drawn_below, row_text, standard_normal, uniform
 
 KEY = "__row_key"
 COPY = "__copy"
@@ -44,11 +44,11 @@ def inject_faults(
     if missing > 0:
         share = missing / len(contract.FAULT_COLUMNS)
         for c in contract.FAULT_COLUMNS:
-            out = _replace(out, c, uniform(key, f"missing:{c}", seed) < share, F.lit(None))
+            out = _replace(out, c, drawn_below(key, f"missing:{c}", seed, share), F.lit(None))
     copies = faults.get("duplicate_ratio", 0.0)
     if copies > 0:
         # One pass: a picked row leaves as copies 0 and 1.
-        picked = uniform(key, "duplicate", seed) < copies
+        picked = drawn_below(key, "duplicate", seed, copies)
         out = out.withColumn(COPY, F.explode(F.when(picked, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     else:
         out = out.withColumn(COPY, F.lit(0))
@@ -56,20 +56,20 @@ def inject_faults(
     ratio = faults.get("negative_price_ratio", 0.0)
     if ratio > 0:
         drawn = -(1.0 + 99.0 * uniform(own, "price:value", seed))
-        out = _replace(out, "price", uniform(own, "price", seed) < ratio, drawn)
+        out = _replace(out, "price", drawn_below(own, "price", seed, ratio), drawn)
     ratio = faults.get("negative_inventory_ratio", 0.0)
     if ratio > 0:
         drawn = -(1.0 + F.floor(48.999999 * uniform(own, "inventory:value", seed)).cast("double"))
-        out = _replace(out, "inventory_level", uniform(own, "inventory", seed) < ratio, drawn)
+        out = _replace(out, "inventory_level", drawn_below(own, "inventory", seed, ratio), drawn)
     ratio = faults.get("invalid_category_ratio", 0.0)
     if ratio > 0:
-        hit = uniform(own, "category", seed) < ratio
+        hit = drawn_below(own, "category", seed, ratio)
         out = _replace(out, "product_category", hit, F.lit(contract.INVALID_CATEGORY))
     if faults.get("impossible_dates", False):
         n = keyed.count() if n_rows is None else n_rows
         wanted = min(contract.MAX_NULL_DATES, n // contract.NULL_DATE_DIVISOR)
         share = wanted / n if n else 0.0
-        out = _replace(out, contract.DATE, uniform(own, "date", seed) < share, F.lit(None).cast("timestamp"))
+        out = _replace(out, contract.DATE, drawn_below(own, "date", seed, share), F.lit(None).cast("timestamp"))
     return out
 
 
@@ -84,10 +84,10 @@ def inject_drift(faulty: DataFrame, drift: dict, seed: int = contract.DEFAULT_SE
     if boost > 0:
         n, plain = faulty.agg(F.count(F.lit(1)), F.count_if(F.col("promotion_flag") == 0)).first()
         share = min(1.0, boost * n / plain) if plain else 0.0
-        hit = (F.col("promotion_flag") == 0) & (uniform(own, "promotion", seed) < share)
+        hit = (F.col("promotion_flag") == 0) & (drawn_below(own, "promotion", seed, share))
         out = _replace(out, "promotion_flag", hit, F.lit(1))
     if drift.get("category_mix_shift", False):
-        drawn = uniform(own, "mix", seed) < 0.3
+        drawn = drawn_below(own, "mix", seed, 0.3)
         moved = (
             F.when((F.col("product_category") == "Clothing") & drawn, "Electronics")
             .when((F.col("product_category") == "Sports") & drawn, "Food")

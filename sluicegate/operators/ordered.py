@@ -101,14 +101,12 @@ def prefix_sums(df: DataFrame, keys: list[str], order: str, weights: list[str])
     return summed.drop("__next_first", *[f"__offset_{w}" for w in weights])
 
 
-def exact_quantiles(
-    df: DataFrame, columns: list[str], probabilities: list[float], buckets: int = DEFAULT_BUCKETS
-) -> DataFrame:
-    """Exact linearly interpolated quantiles: (feature, n, q_0, q_1, ...).
+def quantiles_of(values: DataFrame, probabilities: list[float], buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """Exact linearly interpolated quantiles of (feature, value) rows: (feature, n, q_0, q_1, ...).
 
-    Works on counts per distinct value with bucketed ranks, so no task holds a whole column.
+    Works on counts per distinct value with bucketed ranks, so no task holds a whole feature. The
+    number of features must be small; their cut points pass through the driver.
     """
-    values = unpivot_values(df, columns)
     counts = stored_counts(values, ["feature", "value"], [F.count(F.lit(1)).alias("n")])
     ranked = prefix_sums(with_buckets(counts, fit_cuts(counts, buckets), buckets), ["feature"], "value", ["n"])
     found = []
@@ -126,6 +124,13 @@ def exact_quantiles(
     return one.select("feature", "n", *out)
 
 
+def exact_quantiles(
+    df: DataFrame, columns: list[str], probabilities: list[float], buckets: int = DEFAULT_BUCKETS
+) -> DataFrame:
+    """:func:`quantiles_of` the named columns, NULLs left out."""
+    return quantiles_of(unpivot_values(df, columns), probabilities, buckets)
+
+
 def lag_in_order(
     df: DataFrame, value: str, order: str, bucket: Column, alias: str, keys: list[str] | None = None, first: float = 0.0
 ) -> DataFrame:

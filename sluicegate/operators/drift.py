@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sluicegate import contract
 from sluicegate.functions.tails import chi_square_p, kolmogorov_p, two_sided_normal_p
-from sluicegate.operators.ordered import DEFAULT_BUCKETS, fit_cuts, prefix_sums, stored_counts, unpivot_values, with_buckets
+from sluicegate.operators.ordered import fit_cuts, prefix_sums, stored_counts, unpivot_values, with_buckets
 
 MIN_NORM = 0.001
 SCORE_COLUMNS = ["feature", "kind", "test", "score", "p_value", "drifted"]
@@ -36,19 +36,17 @@ def _side_counts():
     ]
 
 
-def numeric_distances(
-    reference: DataFrame, current: DataFrame, features: list[str], buckets: int = DEFAULT_BUCKETS
-) -> DataFrame:
+def numeric_distances(reference: DataFrame, current: DataFrame, features: list[str]) -> DataFrame:
     """(feature, n_ref, n_cur, ks, wasserstein): exact KS distance, and Wasserstein-1 divided by the
     reference's standard deviation."""
     columns = common_features(reference, current, features)
     values = unpivot_values(_tagged(reference, current, columns), columns, ["side"])
     counts = stored_counts(values, ["feature", "value"], _side_counts())
-    cuts = fit_cuts(counts, buckets)
-    ranked = prefix_sums(with_buckets(counts, cuts, buckets), ["feature"], "value", ["n_ref", "n_cur"])
+    cuts = fit_cuts(counts)
+    ranked = prefix_sums(with_buckets(counts, cuts), ["feature"], "value", ["n_ref", "n_cur"])
     share = {w: (F.col(f"before_{w}") + F.col(w)) / F.col(f"total_{w}") for w in ("n_ref", "n_cur")}
     gap = F.abs(share["n_ref"] - share["n_cur"])
-    middle = cuts.select("feature", F.element_at("cuts", (F.size("cuts") / 2).cast("int")).alias("centre"))
+    middle = cuts.select("feature", F.element_at("cuts", F.greatest(F.lit(1), (F.size("cuts") / 2).cast("int"))).alias("centre"))
     away = F.col("value") - F.col("centre")
     # The variance is taken around a central value, so large offsets do not cancel.
     per_feature = (

@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 from sluicegate.session import settle
 
 BUCKET = "__bucket"
-DEFAULT_BUCKETS = 256
+MIN_BUCKETS = 16
+MAX_BUCKETS = 65_536
+ROWS_PER_BUCKET = 1_000_000
 SKETCH_GROUPS = 64
+SKETCH_SIZE = 4096
+CUTS = "feature string, cuts array<double>"
 
 
 def unpivot_values(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
@@ -30,41 +34,43 @@ def stored_counts(values: DataFrame, keys: list[str], aggregates: list[Column])
     return settle(values.groupBy(*keys).agg(*aggregates))
 
 
-def fit_cuts(values: DataFrame, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def fit_cuts(values: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Cut points per feature from a quantile sketch: a local table (feature, cuts).
 
-    ``values`` has each distinct value once, so buckets get equal numbers of rows to sort. The cuts
-    only balance that work, and an approximate sketch is enough. They are fixed before the plan that
-    uses them: a recomputed task sees the same buckets. Sketches are merged in two steps, and the
-    driver receives ``buckets - 1`` numbers per feature.
+    The number of buckets follows the number of rows, up to MAX_BUCKETS. The cuts only balance the
+    sorting, and an approximate sketch is enough. They are fixed before the plan that uses them: a
+    recomputed task sees the same buckets. Sketches are merged in two steps, and the driver receives
+    one sketch of bounded size per feature.
     """
-    width = 2 ** int(math.log2(buckets))
-    ranks = [i / width for i in range(1, width)]
     sketched = (
         values.groupBy("feature", F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("part"))
-        .agg(F.kll_sketch_agg_double("value").alias("sketch"))
+        .agg(F.kll_sketch_agg_double("value", F.lit(SKETCH_SIZE)).alias("sketch"))
         .groupBy("feature")
         .agg(F.kll_merge_agg_double("sketch").alias("sketch"))
     )
-    cuts = sketched.select(
-        "feature", F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit(r) for r in ranks])).alias("cuts")
-    ).collect()
-    return values.sparkSession.createDataFrame(cuts or [], "feature string, cuts array<double>")
-
-
-def bucket_of(value: Column, cuts: Column, width: int) -> Column:
-    """Number of cuts below ``value``, by binary search: log2(width) steps."""
-    steps = F.array(*[F.lit(2**i) for i in reversed(range(int(math.log2(width))))])
+    sketches = sketched.select("feature", "sketch", F.kll_sketch_get_n_double("sketch").alias("n")).collect()
+    if not sketches:
+        return values.sparkSession.createDataFrame([], CUTS)
+    wanted = max(r["n"] for r in sketches) // rows_per_bucket
+    buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, wanted))
+    ranks = ", ".join(f"{i / buckets!r}D" for i in range(1, buckets))
+    local = values.sparkSession.createDataFrame(sketches, "feature string, sketch binary, n bigint")
+    cuts = local.select("feature", F.expr(f"kll_sketch_get_quantile_double(sketch, array({ranks})) AS cuts")).collect()
+    return values.sparkSession.createDataFrame(cuts, CUTS)
+
+
+def bucket_of(value: Column, cuts: Column) -> Column:
+    """Number of cuts below ``value``, by binary search; positions past the end count as above it."""
+    steps = F.array(*[F.lit(2**i) for i in reversed(range(int(math.log2(MAX_BUCKETS))))])
     return F.aggregate(
         steps, F.lit(0), lambda at, step: at + F.when(F.get(cuts, at + step - 1) < value, step).otherwise(F.lit(0))
     )
 
 
-def with_buckets(df: DataFrame, cuts: DataFrame, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Add the bucket column. ``cuts`` is local: features × buckets numbers."""
-    width = 2 ** int(math.log2(buckets))
+def with_buckets(df: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Add the bucket column. ``cuts`` is local: at most features × MAX_BUCKETS numbers."""
     joined = df.join(F.broadcast(cuts), "feature", "left")
-    return joined.withColumn(BUCKET, bucket_of(F.col("value"), F.col("cuts"), width)).drop("cuts")
+    return joined.withColumn(BUCKET, bucket_of(F.col("value"), F.col("cuts"))).drop("cuts")
 
 
 def prefix_sums(df: DataFrame, keys: list[str], order: str, weights: list[str]) -> DataFrame:
@@ -101,14 +107,14 @@ def prefix_sums(df: DataFrame, keys: list[str], order: str, weights: list[str])
     return summed.drop("__next_first", *[f"__offset_{w}" for w in weights])
 
 
-def quantiles_of(values: DataFrame, probabilities: list[float], buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def quantiles_of(values: DataFrame, probabilities: list[float]) -> DataFrame:
     """Exact linearly interpolated quantiles of (feature, value) rows: (feature, n, q_0, q_1, ...).
 
     Works on counts per distinct value with bucketed ranks, so no task holds a whole feature. The
     number of features must be small; their cut points pass through the driver.
     """
     counts = stored_counts(values, ["feature", "value"], [F.count(F.lit(1)).alias("n")])
-    ranked = prefix_sums(with_buckets(counts, fit_cuts(counts, buckets), buckets), ["feature"], "value", ["n"])
+    ranked = prefix_sums(with_buckets(counts, fit_cuts(counts)), ["feature"], "value", ["n"])
     found = []
     for i, p in enumerate(probabilities):
         position = (F.col("total_n") - 1) * F.lit(float(p))
@@ -124,23 +130,35 @@ def quantiles_of(values: DataFrame, probabilities: list[float], buckets: int = D
     return one.select("feature", "n", *out)
 
 
-def exact_quantiles(
-    df: DataFrame, columns: list[str], probabilities: list[float], buckets: int = DEFAULT_BUCKETS
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> DataFrame:
     """:func:`quantiles_of` the named columns, NULLs left out."""
-    return quantiles_of(unpivot_values(df, columns), probabilities, buckets)
+    return quantiles_of(unpivot_values(df, columns), probabilities)
 
 
 def lag_in_order(
-    df: DataFrame, value: str, order: str, bucket: Column, alias: str, keys: list[str] | None = None, first: float = 0.0
+    df: DataFrame,
+    value: str,
+    order: str,
+    alias: str,
+    keys: list[str] | None = None,
+    first: float = 0.0,
+    bucket: Column | None = None,
 ) -> DataFrame:
-    """Add the previous existing row's ``value`` along ``order``; ``first`` where there is none.
+    """Add the previous existing row's ``value`` along the timestamp ``order``; ``first`` where there is
+    none. Times are unique within their key.
 
-    ``bucket`` rises with ``order`` and has few values (days, months): the last value of each bucket
-    is carried to the next one that exists.
+    Rows are sorted within time buckets, and the last value of each bucket is carried to the next one
+    that exists. By default buckets hold about equally many rows, so a busy hour is divided further.
+    ``bucket`` may name a fixed one that rises with time, such as the year of a daily table.
     """
     keys = keys or []
-    bucketed = df.withColumn(BUCKET, bucket)
+    if bucket is None:
+        at = F.unix_micros(order).cast("double")
+        cuts = fit_cuts(df.select(F.lit("time").alias("feature"), at.alias("value")))
+        # One row: the cut points of the time axis.
+        bucketed = df.crossJoin(F.broadcast(cuts.select("cuts"))).withColumn(BUCKET, bucket_of(at, F.col("cuts"))).drop("cuts")
+    else:
+        bucketed = df.withColumn(BUCKET, bucket)
     tails = bucketed.groupBy(*keys, BUCKET).agg(F.max_by(value, order).alias("__tail"))
     along = Window.partitionBy(*keys, *([] if keys else [F.lit(0)])).orderBy(BUCKET)
     carried = tails.select(*keys, BUCKET, F.lag("__tail").over(along).alias("__carried"))

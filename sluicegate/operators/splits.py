@@ -76,7 +76,7 @@ def positional_split(
     position = ["__day", "__start", "__cut_0", "__cut_1"]
     distinct = cut_days.groupBy(*position, *df.columns).agg(F.count(F.lit(1)).alias("n"))
     digested = distinct.withColumn("__digest", F.sha2(row_text(df), 256))
-    bucketed = digested.withColumn(BUCKET, F.conv(F.substring("__digest", 1, 3), 16, 10).cast("int"))
+    bucketed = digested.withColumn(BUCKET, F.conv(F.substring("__digest", 1, 4), 16, 10).cast("int"))
     ranked = prefix_sums(bucketed, ["__day"], "__digest", ["n"])
     low = F.col("__start") + F.col("before_n")
     high = low + F.col("n")

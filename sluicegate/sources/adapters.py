@@ -40,7 +40,9 @@ def adapt_transactions(
         F.avg(unit_price).alias("price"),
         F.sum(quantity).alias("inventory_level"),
     )
-    lagged = lag_in_order(daily, "sales_demand", "date", F.year("date"), "previous_day_sales", ["store_id"])
+    lagged = lag_in_order(
+        daily, "sales_demand", "date", "previous_day_sales", ["store_id"], bucket=F.year("date")
+    )
     return to_contract(
         calendar_features(lagged, "date").withColumns(
             {
@@ -71,7 +73,7 @@ def adapt_hourly(
     """
     at = F.timestamp_add("HOUR", F.col(hour), F.to_timestamp(F.col(day)))
     timed = df.withColumn("date", at)
-    lagged = lag_in_order(timed, count, "date", F.date_trunc("month", "date"), "previous_day_sales")
+    lagged = lag_in_order(timed, count, "date", "previous_day_sales", bucket=F.date_trunc("month", "date"))
     return to_contract(
         lagged.select(
             "date",

@@ -239,14 +239,14 @@ def store_days(spark, sf_dir):
 
 @query
 def lag_by_store(spark, sf_dir):
-    lagged = ordered.lag_in_order(store_days(spark, sf_dir), "demand", "date", F.year("date"), "previous", ["store_id"])
+    lagged = ordered.lag_in_order(store_days(spark, sf_dir), "demand", "date", "previous", ["store_id"], bucket=F.year("date"))
     return rounded(lagged.withColumn("date", F.date_format("date", "yyyy-MM-dd")), 4)
 
 
 @query
 def lag_hourly(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "ts", "value")
-    lagged = ordered.lag_in_order(events, "value", "ts", F.date_trunc("day", "ts"), "previous")
+    lagged = ordered.lag_in_order(events, "value", "ts", "previous")
     return rounded(lagged.drop("ts"))
 
 

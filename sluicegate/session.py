@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -26,9 +27,15 @@ def _local_root() -> str:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder name below the cluster's shared checkpoint folder.
 
-    Only a session that names none (a laptop, a test) gets a local one.
+    That is ``spark.checkpoint.dir``, or else the folder set with ``setCheckpointDir``. Only a session whose
+    tasks all run on this machine (a laptop, a test) may name none; it gets a temporary folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or _local_root()
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if re.fullmatch(r"local(\[[^\[\]]*\])?", context.master) is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _local_root()
     return f"{root.rstrip('/')}/sluicegate-{uuid.uuid4().hex}"
 
 

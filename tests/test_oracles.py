@@ -8,6 +8,8 @@ import pytest
 
 import __spark_entry__ as entry
 from workload.check import compare, oracle_connection
+from workload.oracles import ORACLES
+from workload.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 SLOW = {
@@ -25,7 +27,7 @@ SLOW = {
     "score_batch",
     "stream_score",
 }
-NAMES = [n for n in entry.queries() if os.environ.get("SLUICEGATE_ALL") or n not in SLOW]
+NAMES = [n for n in QUERIES if os.environ.get("SLUICEGATE_ALL") or n not in SLOW]
 
 
 @pytest.fixture(scope="module")
@@ -35,15 +37,16 @@ def oracle():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query(spark, oracle, name):
-    if name in entry.oracle_sql():
-        assert compare(spark, oracle, SMALL, entry.queries()[name], entry.oracle_sql()[name]) == ""
+    if name in ORACLES:
+        assert compare(spark, oracle, SMALL, QUERIES[name], ORACLES[name]) == ""
     else:
-        assert entry.queries()[name](spark, SMALL).take(1)
+        assert QUERIES[name](spark, SMALL).take(1)
 
 
 def test_oracles_belong_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"train_score", "score_batch", "score_log", "run_experiments", "stream_score"}
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+    assert set(QUERIES) - set(ORACLES) == {"train_score", "score_batch", "score_log", "run_experiments", "stream_score"}
 
 
 def test_entry(spark):

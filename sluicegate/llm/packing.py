@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +17,7 @@ from sluicegate.llm.ranks import number_within
 
 CAPACITY = 4096
 EOS = 1
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
 # What the vocabulary file's own splitter takes as one piece, after lower-casing.
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
@@ -96,22 +96,27 @@ def pieces(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
     """
     end = np.array([eos], dtype="<u4").tobytes()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def told(out: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        columns = zip(*out, strict=True) if out else [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = word_tokenizer(vocabulary)
         for batch in batches:
             out: list[tuple] = []
-            for key, value in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = tokens(value) + end
+            for key, value in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+                ids = tokens(value.as_py()) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
-                    out.append((key, piece, at // 4, len(own) // 4, own))
-                if len(out) > 2000:
-                    yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids"]).astype({"doc_id": "Int64"})
+                    out.append((key.as_py(), piece, at // 4, len(own) // 4, own))
+                if len(out) > 500:
+                    yield told(out)
                     out = []
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids"]).astype({"doc_id": "Int64"})
+            yield told(out)
 
     slim = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return slim.mapInPandas(cut, PIECES)
+    return slim.mapInArrow(cut, PIECES)
 
 
 def plan_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

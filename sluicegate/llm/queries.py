@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicegate.llm import packing, sharding
-from sluicegate.session import pin_session
+from sluicegate.llm import bpe, exact_index, packing, phrases, sharding, simhash, warc
+from sluicegate.llm.shipping import ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -20,8 +20,7 @@ def query(fn):
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    pin_session(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 @query
@@ -34,3 +33,39 @@ def op3_pack(spark, sf_dir):
 @query
 def op7_shards(spark, sf_dir):
     return sharding.sharded_documents(read(spark, sf_dir, "documents"))
+
+
+@query
+def op4_warc(spark, sf_dir):
+    rows = warc.with_revisits(read(spark, sf_dir, "pages"))
+    manifest = warc.write_archives(rows, warc.archive_folder(spark))
+    found = warc.read_archives(spark, manifest)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op5_exact_dedup(spark, sf_dir):
+    return exact_index.exact_groups(read(spark, sf_dir, "documents"))
+
+
+@query
+def op9_simhash(spark, sf_dir):
+    return simhash.near_groups(read(spark, sf_dir, "documents"))
+
+
+@query
+def op1_bpe(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = bpe.encode(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return bpe.decode(coded, path).select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op2_substring_dedup(spark, sf_dir):
+    found = phrases.drop_repeats(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicegate.llm import bpe, exact_index, packing, phrases, sharding, simhash, warc
+from sluicegate.llm import bpe, exact_index, neighbours, packing, phrases, quality, secrets, sharding, simhash, warc
 from sluicegate.llm.shipping import ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,19 @@ def op1_bpe(spark, sf_dir):
 def op2_substring_dedup(spark, sf_dir):
     found = phrases.drop_repeats(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op6_secrets(spark, sf_dir):
+    return secrets.secret_spans(read(spark, sf_dir, "documents"))
+
+
+@query
+def op8_neighbours(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings")
+    return neighbours.nearest(rows, rows.where(F.col("vec_id") % 20 == 0))
+
+
+@query
+def op10_quality(spark, sf_dir):
+    return quality.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -196,14 +197,12 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 def with_scores(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """All columns of ``docs`` and ``name``, the probability of good quality by the whole text."""
 
-    def judge(texts: Iterator) -> Iterator:
-        import pandas as pd
-
+    def judge(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in texts:
             x = np.array([features(t) for t in part]).reshape(-1, FEATURES)
             yield pd.Series(model.score(x))
 
-    scored = F.pandas_udf(judge, "double", F.PandasUDFType.SCALAR_ITER)
+    scored = F.pandas_udf(judge, "double")
     return docs.withColumn(name, scored(F.col(text).cast("string")))
 
 

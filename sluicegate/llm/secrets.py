@@ -24,6 +24,8 @@ SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 SIZE = len(SYMBOLS) + 1
 #: Log-likelihood ratio in nats from which a string is taken for a random one.
 THRESHOLD = 10.0
+#: Weight, in transitions, of the symbols' own frequencies.
+BACKOFF = 20.0
 SPAN = "struct<start: int, rank: int, end: int, kind: string>"
 
 
@@ -78,8 +80,8 @@ def code(symbol: Column) -> Column:
 def train(samples: DataFrame) -> list[float] | None:
     """Log ratios of transition probabilities, random over ordinary, at [previous * SIZE + next].
 
-    ``samples`` has token and label (1 random, 0 ordinary). Transitions of all samples are counted; one is
-    added to each of the SIZE * SIZE. None without samples of both kinds.
+    ``samples`` has token and label (1 random, 0 ordinary). Transitions of all samples are counted. None
+    without samples of both kinds.
     """
     pairs = F.transform(
         F.sequence(F.lit(1), F.length("token") - 1),
@@ -89,11 +91,23 @@ def train(samples: DataFrame) -> list[float] | None:
     rows = counted.collect()  # at most 2 * SIZE * SIZE
     if {r["label"] for r in rows} != {0, 1}:
         return None
-    table = [[1.0] * (SIZE * SIZE), [1.0] * (SIZE * SIZE)]
+    counts = [[0] * (SIZE * SIZE), [0] * (SIZE * SIZE)]
     for r in rows:
-        table[r["label"]][r["pair"]] += r["count"]
-    totals = [[sum(t[p * SIZE : (p + 1) * SIZE]) for p in range(SIZE)] for t in table]
-    return [log(table[1][i] / totals[1][i // SIZE]) - log(table[0][i] / totals[0][i // SIZE]) for i in range(SIZE * SIZE)]
+        counts[r["label"]][r["pair"]] = r["count"]
+    ordinary, random = map(_transitions, counts)
+    return [log(a / b) for a, b in zip(random, ordinary, strict=True)]
+
+
+def _transitions(counts: list[int]) -> list[float]:
+    """Transition probabilities; where few were seen they lean on how common the next symbol is."""
+    common = [1.0 + sum(counts[i::SIZE]) for i in range(SIZE)]
+    whole = sum(common)
+    out = []
+    for previous in range(SIZE):
+        row = counts[previous * SIZE : (previous + 1) * SIZE]
+        total = sum(row) + BACKOFF
+        out += [(n + BACKOFF * c / whole) / total for n, c in zip(row, common, strict=True)]
+    return out
 
 
 def ratio(token: Column, model: list[float]) -> Column:

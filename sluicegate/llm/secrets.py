@@ -62,13 +62,13 @@ def with_base(docs: DataFrame, text: str) -> DataFrame:
 def labelled_samples(found: DataFrame) -> DataFrame:
     """token and label from texts with their base spans: 1 for what the rules hold for secrets, 0 for other words.
 
-    Every text gives its samples; each distinct token counts once, copies first within each task.
+    Strings that the models are to judge, and that no rule has judged, have no label and are in neither. Every text gives its samples; each distinct token counts once, copies first within each task.
     """
     inside = F.transform("base", lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]))
     value = F.regexp_extract(F.col("token"), r"([A-Za-z0-9+/_.=-]+)$", 1)
     secrets = found.where(F.size("base") > 0).select(F.explode(inside).alias("token")).select(value.alias("token")).distinct()
     words = found.select(F.explode(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))).alias("token")).distinct()
-    ordinary = words.join(secrets, "token", "left_anti")
+    ordinary = words.where(~F.col("token").rlike(CANDIDATE)).join(secrets, "token", "left_anti")
     return secrets.withColumn("label", F.lit(1)).union(ordinary.withColumn("label", F.lit(0)))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -20,8 +21,11 @@ WINDOW, ANCHOR = 20, 8
 BLOCK_BYTES = 4 << 20
 #: Windows of text for each bucket of hashes, at four bytes a word.
 BUCKET_WINDOWS = 1_000_000
-#: Windows compiled into one automaton.
-SHARD_WINDOWS = 50_000
+#: Phrases compiled into one automaton, which holds at most BASE * BASE different words.
+SHARD_PHRASES, BASE = 50_000, 256
+#: What stands for a word that no window of an automaton has.
+OTHER = "\x01\x02"
+KEPT_POWERS = 1 << 18
 NO_ID = (1 << 63) - 1
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 BLOCKS = "block bigint, doc_ids binary, known binary, sizes binary, texts binary, windows bigint"
@@ -108,12 +112,23 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
+def _cumulative(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=np.uint64)
     out[:1] = 1
     return np.cumprod(out)
 
 
+@lru_cache(maxsize=4)
+def _kept_powers(base: int) -> np.ndarray:
+    return _cumulative(base, KEPT_POWERS)
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """1, base, base ** 2, ...; those of all but very long texts are computed once."""
+    return _kept_powers(int(base))[:n] if n <= KEPT_POWERS else _cumulative(int(base), n)
+
+
+@lru_cache(maxsize=4)
 def _inverse(base: np.uint64) -> np.uint64:
     return np.uint64(pow(int(base), -1, 1 << 64))
 
@@ -281,50 +296,117 @@ def confirm(candidates: DataFrame) -> DataFrame:
     return candidates.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(resolve, PLACES)
 
 
-def compile_shards(block: Block, words: list[list[bytes]], places: list[tuple[int, int, bool]], window: int, shard: int) -> Iterator[tuple]:
-    """Automata over numbered words, each of at most ``shard`` confirmed windows; a window's value is where it stands first.
+class Confirmed:
+    """The recurring windows of one block, each at its first place in it, and phrases that find them.
+
+    A window's phrase is its anchor: neighbouring windows share it, so there are far fewer phrases.
+    """
 
-    Words are numbered per automaton, so a match is a match of words, not of hashes.
+    def __init__(self, block: Block, rows: list[dict], window: int, anchor: int):
+        columns = [np.concatenate([np.frombuffer(r[c], t) for r in rows] or [np.zeros(0, t)]) for c, t in (("rows", "u4"), ("starts", "u4"), ("kept", bool))]
+        order = np.lexsort((columns[1], columns[0]))
+        doc, start, first = (c[order] for c in columns)
+        doc, start = doc.astype(np.int64), start.astype(np.int64)
+        hashes, self.phrases = [np.zeros(0, dtype=np.uint64)], []
+        span = np.arange(window - anchor + 1)
+        for i, a, b in _slices(doc):
+            own = word_hashes(block.texts[i])
+            hashes.append(_runs(own, window, P2)[start[a:b]])
+            least = _runs(own, anchor, P2)[start[a:b, None] + span].argmin(axis=1)
+            self.phrases += [(i, p) for p in np.unique(start[a:b] + least).tolist()]
+        whole = np.concatenate(hashes)
+        by_hash = np.argsort(whole, kind="stable")
+        self.hashes, self.doc, self.start, self.first = whole[by_hash], doc[by_hash], start[by_hash], first[by_hash]
+
+
+def compile_shards(words: list[list[bytes]], phrases: list[tuple[int, int]], anchor: int, shard: int) -> Iterator[tuple]:
+    """Automata over numbered words, each of at most ``shard`` phrases.
+
+    Words are numbered per automaton, so a match is a match of words, not of hashes. A number is two letters
+    of two alphabets: nodes have few children, and matches begin and end at words.
     """
-    for at in range(0, len(places), shard):
-        number: dict[bytes, int] = {}
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for doc, start, kept in places[at : at + shard]:
-            phrase = words[doc][start : start + window]
-            automaton.add_word(tuple([number.setdefault(w, len(number) + 1) for w in phrase]), (int(block.ids[doc]), start) if kept else None)
+    number: dict[bytes, str] = {}
+    automaton, held = ahocorasick.Automaton(), 0
+    for doc, start in phrases:
+        if held == shard or len(number) > BASE * BASE - anchor:
+            automaton.make_automaton()
+            yield number, automaton
+            number, automaton, held = {}, ahocorasick.Automaton(), 0
+        letters = ""
+        for word in words[doc][start : start + anchor]:
+            own = number.get(word)
+            if own is None:
+                high, low = divmod(len(number), BASE)
+                own = number[word] = chr(0x100 + high) + chr(0x400 + low)
+            letters += own
+        automaton.add_word(letters, anchor)
+        held += 1
+    if held:
         automaton.make_automaton()
         yield number, automaton
 
 
-def mark(block: Block, rows: list[dict], window: int = WINDOW, shard: int = SHARD_WINDOWS) -> Iterator[tuple]:
-    """Streams a block's documents through its automata: (doc_id, n_words, n_removed, kept) of each."""
+class _Letters(dict):
+    def __missing__(self, word: bytes) -> str:
+        return OTHER
+
+
+def _equal(words: list[list[bytes]], doc: int, at: np.ndarray, found: Confirmed, which: np.ndarray, window: int) -> np.ndarray:
+    """Of windows with equal hashes the confirmed one with equal words, or -1. Neighbours are compared together."""
+    out = which.copy()
+    other, start = found.doc[which], found.start[which]
+    cuts = np.flatnonzero((np.diff(at) != 1) | (np.diff(start) != 1) | (np.diff(other) != 0)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)], strict=True):
+        here, there, n = int(at[a]), int(start[a]), b - a + window - 1
+        if words[doc][here : here + n] == words[other[a]][there : there + n]:
+            continue
+        for j in range(a, b):
+            own, w = words[doc][at[j] : at[j] + window], int(which[j])
+            h = found.hashes[w]
+            while w < len(found.hashes) and found.hashes[w] == h and words[found.doc[w]][found.start[w] : found.start[w] + window] != own:
+                w += 1
+            out[j] = w if w < len(found.hashes) and found.hashes[w] == h else -1
+    return out
+
+
+def mark(block: Block, rows: list[dict], window: int = WINDOW, anchor: int = ANCHOR, shard: int = SHARD_PHRASES) -> Iterator[tuple]:
+    """Streams a block's documents through its automata: (doc_id, n_words, n_removed, kept) of each.
+
+    Around every phrase that an automaton finds, the windows that can hold it are compared with the confirmed ones.
+    """
     words = [t.split() for t in block.texts]
-    places = []
-    for row in rows:
-        columns = (np.frombuffer(row[c], t).tolist() for c, t in (("rows", "u4"), ("starts", "u4"), ("kept", bool)))
-        places += zip(*columns, strict=True)
-    places.sort()
-    removed = [None] * len(words)
-    for number, automaton in compile_shards(block, words, places, window, shard):
-        get = number.get
+    found = Confirmed(block, rows, window, anchor)
+    near = [[] for _ in words]
+    for number, automaton in compile_shards(words, found.phrases, anchor, shard):
+        letter = _Letters(number).__getitem__
         for i, own in enumerate(words):
-            if len(own) < window:
-                continue
-            key = int(block.ids[i])
-            stream = tuple([get(w, 0) for w in own])
-            for end, first in automaton.iter(stream):
-                start = end - window + 1
-                if first != (key, start):
-                    if removed[i] is None:
-                        removed[i] = np.zeros(len(own) + 1, dtype=np.int64)
-                    removed[i][start] += 1
-                    removed[i][end + 1] -= 1
-    for key, known, own, delta in zip(block.ids.tolist(), block.known.tolist(), words, removed, strict=True):
-        left = own if delta is None else [own[j] for j in np.flatnonzero(np.cumsum(delta[:-1]) == 0).tolist()]
-        yield key if known else None, len(own), len(own) - len(left), b" ".join(left)
-
-
-def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, block_bytes: int = BLOCK_BYTES, bucket_windows: int = BUCKET_WINDOWS, shard: int = SHARD_WINDOWS) -> DataFrame:
+            if len(own) >= window:
+                near[i] += [end // 2 for end, _ in automaton.iter("".join(map(letter, own)))]
+    for i, own in enumerate(words):
+        left = own
+        if near[i]:
+            last = np.array(near[i])  # the phrase's last word
+            n = len(own) - window + 1
+            reach = np.zeros(n + 1, dtype=np.int64)
+            np.add.at(reach, np.clip(last - window + 1, 0, n), 1)
+            np.add.at(reach, np.clip(last - anchor + 2, 0, n), -1)
+            at = np.flatnonzero(np.cumsum(reach[:-1]) > 0)
+            hashes = _runs(word_hashes(block.texts[i]), window, P2)[at]
+            which = np.minimum(np.searchsorted(found.hashes, hashes), len(found.hashes) - 1)
+            some = found.hashes[which] == hashes
+            at, which = at[some], which[some]
+            if len(at):
+                which = _equal(words, i, at, found, which, window)
+                at, which = at[which >= 0], which[which >= 0]
+                first = found.first[which] & (found.start[which] == at) & (block.ids[found.doc[which]] == block.ids[i])
+                delta = np.zeros(len(own) + 1, dtype=np.int64)
+                np.add.at(delta, at[~first], 1)
+                np.add.at(delta, at[~first] + window, -1)
+                left = [own[j] for j in np.flatnonzero(np.cumsum(delta[:-1]) == 0).tolist()]
+        yield int(block.ids[i]) if block.known[i] else None, len(own), len(own) - len(left), b" ".join(left)
+
+
+def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, block_bytes: int = BLOCK_BYTES, bucket_windows: int = BUCKET_WINDOWS, shard: int = SHARD_PHRASES) -> DataFrame:
     """doc_id, n_words, n_removed and kept (UTF-8 bytes of the kept words joined by spaces) of every row.
 
     A word goes if a window of ``window`` words covers it whose words also start earlier: in a smaller doc_id,
@@ -333,8 +415,9 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     Other columns are ignored. ``docs`` should be a stored table: blocks are numbered by scan task.
 
     Equal windows have the same least anchor (a run of ``anchor`` words), so only windows whose anchor recurs
-    are candidates. Those that recur are confirmed with the place where each stands first, and every block's
-    documents are streamed through automata of the confirmed windows that the block holds.
+    are candidates. Those that recur are confirmed with the place where each stands first. Every block's
+    documents are streamed through automata of the anchors of its confirmed windows, and what stands around
+    a match is compared with the confirmed windows word by word.
     """
     blocks = settle(to_blocks(docs, doc_id, text, block_bytes))
     total = blocks.agg(F.sum("windows")).first()[0] or 0
@@ -347,7 +430,7 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
         for batch in batches:
             for row in batch.to_pylist():
                 out, held = [], 0
-                for made in mark(Block(row), row["places"] or [], window, shard):
+                for made in mark(Block(row), row["places"] or [], window, anchor, shard):
                     out.append(made)
                     held += len(made[-1])
                     if held > 4 << 20:

@@ -129,6 +129,6 @@ RUN_VARIANTS = [
 ]
 
 # Boosting settings that carry over to level-wise trees.
-BOOSTING = {"maxIter": 100, "stepSize": 0.05, "maxDepth": 5, "minInstancesPerNode": 20, "subsamplingRate": 0.8}
+BOOSTING = {"maxIter": 100, "stepSize": 0.05, "maxDepth": 5, "minInstancesPerNode": 20, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
 DEFAULT_SEED = 42
 # --- End of fixed values. ---

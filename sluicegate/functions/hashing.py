@@ -7,6 +7,7 @@ of that many decimals, a form other SQL engines reproduce.
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,9 +17,19 @@ LANES = 4
 LANE_HEX = 15
 
 
+def quoted(name: str) -> str:
+    """A column name in SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(text: str) -> str:
+    """A string in SQL text."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def cell_text(field: T.StructField, float_scale: int | None) -> str:
     """SQL for one cell. Text carries its length, so that no content can pass for another cell."""
-    c = f"`{field.name}`"
+    c = quoted(field.name)
     kind = field.dataType
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         if float_scale is None:
@@ -48,7 +59,7 @@ def row_text(
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     if not keep_column_order:
         fields = sorted(fields, key=lambda f: f.name)
-    cells = [f"concat('{f.name}:', coalesce({cell_text(f, float_scale)}, '~'))" for f in fields]
+    cells = [f"concat({literal(f.name + ':')}, coalesce({cell_text(f, float_scale)}, '~'))" for f in fields]
     return F.expr(f"concat_ws('|', {', '.join(cells)})")
 
 
@@ -63,31 +74,31 @@ def wide_hash(df: DataFrame, columns: list[str] | None = None) -> list[Column]:
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     cells = []
     for field in fields:
-        c = F.col(f"`{field.name}`")
+        c = F.col(quoted(field.name))
         cells += [c.isNull(), F.to_json(c) if isinstance(field.dataType, T.MapType) else c]
     return [F.xxhash64(*cells).alias("hash_a"), F.xxhash64(F.lit(0x9E3779B9), *cells).alias("hash_b")]
 
 
-DRAWS = 4294967297.0  # 2^32 + 1: eight hex digits, kept off 0
+DRAWS = 1 << 60  # fifteen hex digits
 
 
 def _draw_sql(key: str, salt: str, seed: int) -> str:
-    """Eight hex digits fixed by (key, salt, seed)."""
-    return f"substring(md5(concat_ws('~', {key}, '{salt}', '{seed}')), 1, 8)"
+    """Fifteen hex digits fixed by (key, salt, seed)."""
+    return f"substring(md5(concat_ws('~', {key}, {literal(salt)}, '{seed}')), 1, 15)"
 
 
 def _uniform_sql(key: str, salt: str, seed: int) -> str:
-    return f"((cast(conv({_draw_sql(key, salt, seed)}, 16, 10) AS double) + 1.0D) / {DRAWS}D)"
+    return f"((cast(conv({_draw_sql(key, salt, seed)}, 16, 10) AS double) + 1.0D) / {float(DRAWS)!r}D)"
 
 
 def drawn_below(key: str, salt: str, seed: int, share: float) -> Column:
     """``uniform(key, salt, seed) < share``, decided on the hex digits without converting them."""
-    limit = math.ceil(share * DRAWS - 1.0)
+    limit = math.ceil(Fraction(share) * DRAWS - 1)
     if limit <= 0:
         return F.lit(False)
-    if limit >= 2**32:
+    if limit >= DRAWS:
         return F.lit(True)
-    return F.expr(f"{_draw_sql(key, salt, seed)} < '{limit:08x}'")
+    return F.expr(f"{_draw_sql(key, salt, seed)} < '{limit:015x}'")
 
 
 def uniform(key: str, salt: str, seed: int) -> Column:

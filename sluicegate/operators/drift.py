@@ -7,7 +7,7 @@ exact cumulative shares from bucketed prefix sums.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluicegate import contract
@@ -29,6 +29,11 @@ def _tagged(reference: DataFrame, current: DataFrame, columns: list[str]) -> Dat
     return sides[0].unionByName(sides[1])
 
 
+def _drifted(found: Column) -> Column:
+    """A column that has values on one side only has no score, and has drifted."""
+    return F.coalesce(found, F.lit(True))
+
+
 def _side_counts():
     return [
         F.count_if(F.col("side") == 0).alias("n_ref"),
@@ -38,13 +43,13 @@ def _side_counts():
 
 def numeric_distances(reference: DataFrame, current: DataFrame, features: list[str]) -> DataFrame:
     """(feature, n_ref, n_cur, ks, wasserstein): exact KS distance, and Wasserstein-1 divided by the
-    reference's standard deviation."""
+    reference's standard deviation. Both are NULL where only one side has values."""
     columns = common_features(reference, current, features)
     values = unpivot_values(_tagged(reference, current, columns), columns, ["side"])
     counts = stored_counts(values, ["feature", "value"], _side_counts())
     cuts = fit_cuts(counts)
     ranked = prefix_sums(with_buckets(counts, cuts), ["feature"], "value", ["n_ref", "n_cur"])
-    share = {w: (F.col(f"before_{w}") + F.col(w)) / F.col(f"total_{w}") for w in ("n_ref", "n_cur")}
+    share = {w: F.try_divide(F.col(f"before_{w}") + F.col(w), F.col(f"total_{w}")) for w in ("n_ref", "n_cur")}
     gap = F.abs(share["n_ref"] - share["n_cur"])
     middle = cuts.select("feature", F.element_at("cuts", F.greatest(F.lit(1), (F.size("cuts") / 2).cast("int"))).alias("centre"))
     away = F.col("value") - F.col("centre")
@@ -57,18 +62,19 @@ def numeric_distances(reference: DataFrame, current: DataFrame, features: list[s
             F.max("total_n_cur").alias("n_cur"),
             F.max(gap).alias("ks"),
             F.sum(gap * (F.col("next_order") - F.col("value"))).alias("area"),
-            (F.sum(F.col("n_ref") * away) / F.max("total_n_ref")).alias("m1"),
-            (F.sum(F.col("n_ref") * away * away) / F.max("total_n_ref")).alias("m2"),
+            F.try_divide(F.sum(F.col("n_ref") * away), F.max("total_n_ref")).alias("m1"),
+            F.try_divide(F.sum(F.col("n_ref") * away * away), F.max("total_n_ref")).alias("m2"),
         )
     )
     spread = F.sqrt(F.greatest(F.lit(0.0), F.col("m2") - F.col("m1") * F.col("m1")))
-    distance = F.coalesce("area", F.lit(0.0)) / F.greatest(spread, F.lit(MIN_NORM))
+    both = (F.col("n_ref") > 0) & (F.col("n_cur") > 0)
+    distance = F.when(both, F.coalesce("area", F.lit(0.0)) / F.greatest(spread, F.lit(MIN_NORM)))
     return per_feature.select("feature", "n_ref", "n_cur", "ks", distance.alias("wasserstein"))
 
 
 def ks_test(distances: DataFrame, alpha: float = contract.SIGNIFICANCE) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov from :func:`numeric_distances`."""
-    p = kolmogorov_p(F.col("ks"), F.col("n_ref"), F.col("n_cur"))
+    p = F.when(F.col("ks").isNotNull(), kolmogorov_p(F.col("ks"), F.col("n_ref"), F.col("n_cur")))
     scored = distances.withColumn("p_value", p)
     return scored.select(
         "feature",
@@ -76,7 +82,7 @@ def ks_test(distances: DataFrame, alpha: float = contract.SIGNIFICANCE) -> DataF
         F.lit("ks").alias("test"),
         F.col("ks").alias("score"),
         "p_value",
-        (F.col("p_value") < alpha).alias("drifted"),
+        _drifted(F.col("p_value") < alpha).alias("drifted"),
     )
 
 
@@ -87,7 +93,7 @@ def wasserstein_test(distances: DataFrame, threshold: float = contract.DISTANCE_
         F.lit("wasserstein").alias("test"),
         F.col("wasserstein").alias("score"),
         F.lit(None).cast("double").alias("p_value"),
-        (F.col("wasserstein") >= threshold).alias("drifted"),
+        _drifted(F.col("wasserstein") >= threshold).alias("drifted"),
     )
 
 
@@ -107,27 +113,32 @@ def _with_totals(counts: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(totals), "feature")
 
 
+def _both_sides() -> Column:
+    return (F.max("total_ref") > 0) & (F.max("total_cur") > 0)
+
+
 def chi_square_test(counts: DataFrame, alpha: float = contract.SIGNIFICANCE) -> DataFrame:
     """Current counts against the reference's shares. A category the reference lacks is drift."""
-    expected = F.col("total_cur") * F.col("n_ref") / F.col("total_ref")
+    expected = F.try_divide(F.col("total_cur") * F.col("n_ref"), F.col("total_ref"))
     part = F.when(expected > 0, (F.col("n_cur") - expected) * (F.col("n_cur") - expected) / expected)
     one = (
         _with_totals(counts)
         .groupBy("feature")
         .agg(
-            F.coalesce(F.sum(part), F.lit(0.0)).alias("score"),
+            F.when(_both_sides(), F.coalesce(F.sum(part), F.lit(0.0))).alias("score"),
             (F.max("k") - 1).alias("df"),
             F.bool_or((F.col("n_ref") == 0) & (F.col("n_cur") > 0)).alias("unseen"),
         )
     )
-    p = F.when(F.col("unseen"), F.lit(0.0)).otherwise(chi_square_p(F.col("score"), F.col("df")))
+    seen = F.when(F.col("unseen"), F.lit(0.0)).otherwise(chi_square_p(F.col("score"), F.col("df")))
+    p = F.when(F.col("score").isNotNull(), seen)
     return one.withColumn("p_value", p).select(
         "feature",
         F.lit("categorical").alias("kind"),
         F.lit("chisquare").alias("test"),
         "score",
         "p_value",
-        (F.col("p_value") < alpha).alias("drifted"),
+        _drifted(F.col("p_value") < alpha).alias("drifted"),
         "df",
     )
 
@@ -141,14 +152,16 @@ def jensen_shannon_test(counts: DataFrame, threshold: float = contract.DISTANCE_
     def part(x):
         return F.when(x > 0, x * F.log2(x / half)).otherwise(F.lit(0.0))
 
-    one = _with_totals(counts).groupBy("feature").agg((F.sum(part(r)) / 2 + F.sum(part(c)) / 2).alias("js2"))
+    js2 = F.when(_both_sides(), F.sum(part(r)) / 2 + F.sum(part(c)) / 2)
+    one = _with_totals(counts).groupBy("feature").agg(js2.alias("js2"))
+    score = F.when(F.col("js2").isNotNull(), F.sqrt(F.greatest(F.lit(0.0), F.col("js2"))))
     return one.select(
         "feature",
         F.lit("categorical").alias("kind"),
         F.lit("jensenshannon").alias("test"),
-        F.sqrt(F.greatest(F.lit(0.0), F.col("js2"))).alias("score"),
+        score.alias("score"),
         F.lit(None).cast("double").alias("p_value"),
-        (F.sqrt(F.greatest(F.lit(0.0), F.col("js2"))) >= threshold).alias("drifted"),
+        _drifted(score >= threshold).alias("drifted"),
     )
 
 
@@ -164,17 +177,33 @@ def proportion_test(
         F.sum(F.when(F.col("side") == 0, F.col("value")).otherwise(0.0)).alias("x"),
         F.sum(F.when(F.col("side") == 1, F.col("value")).otherwise(0.0)).alias("y"),
     )
-    pooled = (F.col("x") + F.col("y")) / (F.col("n") + F.col("m"))
-    error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("n") + 1 / F.col("m")))
-    z = F.coalesce(F.try_divide(F.col("x") / F.col("n") - F.col("y") / F.col("m"), error), F.lit(0.0))
-    usable = one.where((F.col("n") > 0) & (F.col("m") > 0)).withColumn("score", z)
-    return usable.withColumn("p_value", two_sided_normal_p(F.col("score"))).select(
+    pooled = F.try_divide(F.col("x") + F.col("y"), F.col("n") + F.col("m"))
+    shares = F.try_divide("x", "n"), F.try_divide("y", "m")
+    error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), "n") + F.try_divide(F.lit(1), "m")))
+    z = F.coalesce(F.try_divide(shares[0] - shares[1], error), F.lit(0.0))
+    both = (F.col("n") > 0) & (F.col("m") > 0)
+    scored = one.withColumn("score", F.when(both, z))
+    return scored.withColumn("p_value", F.when(both, two_sided_normal_p(F.col("score")))).select(
         "feature",
         F.lit("binary").alias("kind"),
         F.lit("z").alias("test"),
         "score",
         "p_value",
-        (F.col("p_value") < alpha).alias("drifted"),
+        _drifted(F.col("p_value") < alpha).alias("drifted"),
+    )
+
+
+def _listed(scored: DataFrame, features: list[str], kind: str, test: str) -> DataFrame:
+    """A row for every feature: one without a value on either side has no score and has not drifted."""
+    names = scored.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    found = scored.select(*SCORE_COLUMNS)
+    return names.join(found, "feature", "left").select(
+        "feature",
+        F.lit(kind).alias("kind"),
+        F.lit(test).alias("test"),
+        "score",
+        "p_value",
+        F.coalesce("drifted", F.lit(False)).alias("drifted"),
     )
 
 
@@ -185,19 +214,25 @@ def drift_by_column(
     numerical_test: str = "ks",
     categorical_test: str = "chisquare",
 ) -> DataFrame:
-    """One row per feature: (feature, kind, test, score, p_value, drifted)."""
+    """One row per feature: (feature, kind, test, score, p_value, drifted).
+
+    A feature with values on one side only has no score and has drifted; one without any has not.
+    """
     kinds = features or contract.DRIFT_FEATURES
     parts = []
     if kinds.get("numerical"):
-        distances = numeric_distances(reference, current, kinds["numerical"])
-        parts.append({"ks": ks_test, "wasserstein": wasserstein_test}[numerical_test](distances))
+        columns = common_features(reference, current, kinds["numerical"])
+        distances = numeric_distances(reference, current, columns)
+        scored = {"ks": ks_test, "wasserstein": wasserstein_test}[numerical_test](distances)
+        parts.append(_listed(scored, columns, "numerical", numerical_test))
     if kinds.get("categorical"):
-        counts = category_counts(reference, current, kinds["categorical"])
+        columns = common_features(reference, current, kinds["categorical"])
+        counts = category_counts(reference, current, columns)
         test = {"chisquare": chi_square_test, "jensenshannon": jensen_shannon_test}[categorical_test]
-        parts.append(test(counts))
+        parts.append(_listed(test(counts), columns, "categorical", categorical_test))
     if kinds.get("binary"):
-        parts.append(proportion_test(reference, current, kinds["binary"]))
-    parts = [p.select(*SCORE_COLUMNS) for p in parts]
+        columns = common_features(reference, current, kinds["binary"])
+        parts.append(_listed(proportion_test(reference, current, columns), columns, "binary", "z"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -1,8 +1,8 @@
 """Feature preparation as a ``pyspark.ml`` Estimator and Model.
 
 ``fit`` learns category codes (1..k by sorted value, 0 for unknown or missing) and exact medians.
-``transform`` fills, encodes and derives. A vocabulary is inlined and broadcast while it is small; a
-larger one lives in the shared folder and is joined by shuffle.
+``transform`` fills, encodes and derives. The vocabulary is a stored table that the planner joins by its
+size; a saved model holds it in its own folder.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import json
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasOutputCol
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +21,7 @@ from sluicegate import contract
 from sluicegate.operators.ordered import exact_quantiles
 from sluicegate.session import settle
 
-MAX_INLINE_CATEGORIES = 20_000
+VOCABULARY_FOLDER = "vocabulary"
 VOCABULARY = T.StructType(
     [T.StructField("column_name", T.StringType()), T.StructField("category", T.StringType()), T.StructField("code", T.IntegerType())]
 )
@@ -36,8 +36,18 @@ def fit_categories(df: DataFrame, columns: list[str]) -> DataFrame:
         rank = F.col(c).cast("double") if numeric else F.lit(None).cast("double")
         cells.append(F.struct(F.lit(c).alias("column_name"), rank.alias("rank"), F.col(c).cast("string").alias("category")))
     values = df.select(F.inline(F.array(*cells))).where(F.col("category").isNotNull()).distinct()
-    order = Window.partitionBy("column_name").orderBy("rank", "category")
-    return values.select("column_name", "category", F.row_number().over(order).alias("code"))
+    # Ranges of values are numbered where they lie, and moved on by the counts of the ranges before them.
+    ranged = values.repartitionByRange("column_name", "rank", "category").withColumn("part", F.spark_partition_id())
+    stored = settle(ranged)
+    ahead = Window.partitionBy("column_name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = (
+        stored.groupBy("column_name", "part")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select("column_name", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    )
+    inside = Window.partitionBy("column_name", "part").orderBy("rank", "category")
+    numbered = stored.withColumn("nth", F.row_number().over(inside)).join(firsts, ["column_name", "part"])
+    return numbered.select("column_name", "category", (F.col("before") + F.col("nth")).cast("int").alias("code"))
 
 
 def fit_medians(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -60,7 +70,7 @@ def impute(df: DataFrame, medians: dict[str, float]) -> DataFrame:
     return df.withColumns(filled)
 
 
-def encode(df: DataFrame, vocabulary: DataFrame, columns: list[str], broadcast: bool) -> DataFrame:
+def encode(df: DataFrame, vocabulary: DataFrame, columns: list[str]) -> DataFrame:
     """Replace categories by their codes, 0 where unknown; an absent column becomes 0."""
     out = df
     for c in columns:
@@ -70,7 +80,7 @@ def encode(df: DataFrame, vocabulary: DataFrame, columns: list[str], broadcast:
         codes = vocabulary.where(F.col("column_name") == c).select(
             F.col("category").alias(f"__category_{c}"), F.col("code").alias(f"__code_{c}")
         )
-        joined = out.join(F.broadcast(codes) if broadcast else codes, F.col(c).cast("string") == F.col(f"__category_{c}"), "left")
+        joined = out.join(codes, F.col(c).cast("string") == F.col(f"__category_{c}"), "left")
         out = joined.withColumn(c, F.coalesce(f"__code_{c}", F.lit(0))).drop(f"__category_{c}", f"__code_{c}")
     return out
 
@@ -113,8 +123,6 @@ class DemandFeatures(Estimator, _FeatureParams, DefaultParamsReadable, DefaultPa
 
     def _fit(self, dataset: DataFrame) -> DemandFeaturesModel:
         vocabulary = settle(fit_categories(dataset, self.getOrDefault(self.categorical)).select(*VOCABULARY.names))
-        rows = vocabulary.limit(MAX_INLINE_CATEGORIES + 1).collect()
-        small = len(rows) <= MAX_INLINE_CATEGORIES
         medians = fit_medians(dataset, self.getOrDefault(self.numeric)).collect()
         model = DemandFeaturesModel()
         model._set(
@@ -122,33 +130,53 @@ class DemandFeatures(Estimator, _FeatureParams, DefaultParamsReadable, DefaultPa
             numeric=self.getOrDefault(self.numeric),
             target=self.getOrDefault(self.target),
             medians=json.dumps({r["column_name"]: r["median"] for r in medians}),
-            vocabulary=json.dumps([list(r) for r in rows] if small else []),
-            vocabularyPath="" if small else vocabulary.inputFiles()[0].rsplit("/", 1)[0],
+            vocabularyPath=stored_path(vocabulary),
         )
         return model
 
 
+def stored_path(df: DataFrame) -> str:
+    return df.inputFiles()[0].rsplit("/", 1)[0]
+
+
+class _FeatureWriter(DefaultParamsWriter):
+    """Saves the parameters, and the vocabulary in the model's own folder."""
+
+    def saveImpl(self, path: str) -> None:
+        super().saveImpl(path)
+        self.instance.vocabulary_table(self.sparkSession).write.parquet(f"{path}/{VOCABULARY_FOLDER}")
+
+
+class _FeatureReader(DefaultParamsReader):
+    def load(self, path: str) -> DemandFeaturesModel:
+        model = super().load(path)
+        model._set(vocabularyPath=f"{path}/{VOCABULARY_FOLDER}")
+        return model
+
+
 class DemandFeaturesModel(Model, _FeatureParams, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """Applies learned codes and medians. Without having been fitted it has neither, so it raises."""
 
     medians = Param(Params._dummy(), "medians", "JSON: column to median", TypeConverters.toString)
-    vocabulary = Param(Params._dummy(), "vocabulary", "JSON: rows of column, category, code", TypeConverters.toString)
-    vocabularyPath = Param(Params._dummy(), "vocabularyPath", "stored vocabulary, if large", TypeConverters.toString)
+    vocabularyPath = Param(Params._dummy(), "vocabularyPath", "folder of the vocabulary", TypeConverters.toString)
+
+    def vocabulary_table(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(VOCABULARY).parquet(self.getOrDefault(self.vocabularyPath))
+
+    def write(self) -> _FeatureWriter:
+        return _FeatureWriter(self)
 
-    def vocabulary_table(self, spark: SparkSession) -> tuple[DataFrame, bool]:
-        """The code table, and whether it is small enough to broadcast."""
-        path = self.getOrDefault(self.vocabularyPath)
-        if path:
-            return spark.read.schema(VOCABULARY).parquet(path), False
-        return spark.createDataFrame(json.loads(self.getOrDefault(self.vocabulary)), VOCABULARY), True
+    @classmethod
+    def read(cls) -> _FeatureReader:
+        return _FeatureReader(cls)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         if not self.isSet(self.medians):
             raise RuntimeError("the feature model has not been fitted")
         medians = json.loads(self.getOrDefault(self.medians))
         fills = {c: medians.get(c, 0.0) for c in self.getOrDefault(self.numeric)}
-        vocabulary, small = self.vocabulary_table(dataset.sparkSession)
-        out = encode(impute(dataset, fills), vocabulary, self.getOrDefault(self.categorical), small)
+        vocabulary = self.vocabulary_table(dataset.sparkSession)
+        out = encode(impute(dataset, fills), vocabulary, self.getOrDefault(self.categorical))
         if set(contract.DERIVED_FEATURES) <= set(self.feature_names):
             out = derive(out)
         target = self.getOrDefault(self.target)

@@ -6,8 +6,6 @@ it, and the rows themselves are only ever sorted within their bucket.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +13,6 @@ from sluicegate.session import settle
 
 BUCKET = "__bucket"
 MIN_BUCKETS = 16
-MAX_BUCKETS = 65_536
 ROWS_PER_BUCKET = 1_000_000
 SKETCH_GROUPS = 64
 SKETCH_SIZE = 4096
@@ -37,7 +34,7 @@ def stored_counts(values: DataFrame, keys: list[str], aggregates: list[Column])
 def fit_cuts(values: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Cut points per feature from a quantile sketch: a local table (feature, cuts).
 
-    The number of buckets follows the number of rows, up to MAX_BUCKETS. The cuts only balance the
+    The number of buckets follows the number of rows. The cuts only balance the
     sorting, and an approximate sketch is enough. They are fixed before the plan that uses them: a
     recomputed task sees the same buckets. Sketches are merged in two steps, and the driver receives
     one sketch of bounded size per feature.
@@ -52,7 +49,7 @@ def fit_cuts(values: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataF
     if not sketches:
         return values.sparkSession.createDataFrame([], CUTS)
     wanted = max(r["n"] for r in sketches) // rows_per_bucket
-    buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, wanted))
+    buckets = max(MIN_BUCKETS, wanted)
     ranks = ", ".join(f"{i / buckets!r}D" for i in range(1, buckets))
     local = values.sparkSession.createDataFrame(sketches, "feature string, sketch binary, n bigint")
     cuts = local.select("feature", F.expr(f"kll_sketch_get_quantile_double(sketch, array({ranks})) AS cuts")).collect()
@@ -61,15 +58,16 @@ def fit_cuts(values: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataF
 
 def bucket_of(value: Column, cuts: Column) -> Column:
     """Number of cuts below ``value``, by binary search; positions past the end count as above it."""
-    steps = F.array(*[F.lit(2**i) for i in reversed(range(int(math.log2(MAX_BUCKETS))))])
+    highest = F.floor(F.log2(F.greatest(F.size(cuts), F.lit(1)))).cast("int")
+    steps = F.transform(F.sequence(highest, F.lit(0), F.lit(-1)), lambda i: F.pow(F.lit(2), i).cast("int"))
     return F.aggregate(
         steps, F.lit(0), lambda at, step: at + F.when(F.get(cuts, at + step - 1) < value, step).otherwise(F.lit(0))
     )
 
 
 def with_buckets(df: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Add the bucket column. ``cuts`` is local: at most features × MAX_BUCKETS numbers."""
-    joined = df.join(F.broadcast(cuts), "feature", "left")
+    """Add the bucket column. ``cuts`` is local: one number per feature and ROWS_PER_BUCKET distinct values."""
+    joined = df.join(cuts, "feature", "left")
     return joined.withColumn(BUCKET, bucket_of(F.col("value"), F.col("cuts"))).drop("cuts")
 
 
@@ -78,7 +76,7 @@ def prefix_sums(df: DataFrame, keys: list[str], order: str, weights: list[str])
     and add ``next_order``, the following row's order value.
 
     ``df`` carries BUCKET, a number that rises with ``order``. The carried table has one row per key
-    and bucket; callers fix both, so it is broadcast.
+    and bucket.
     """
     per_bucket = df.groupBy(*keys, BUCKET).agg(
         *[F.sum(w).alias(f"__sum_{w}") for w in weights], F.min(order).alias("__first")
@@ -95,7 +93,7 @@ def prefix_sums(df: DataFrame, keys: list[str], order: str, weights: list[str])
     )
     inside = Window.partitionBy(*keys, BUCKET).orderBy(order)
     inside_earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
-    summed = df.join(F.broadcast(carried), [*keys, BUCKET]).withColumns(
+    summed = df.join(carried, [*keys, BUCKET]).withColumns(
         {
             **{
                 f"before_{w}": F.coalesce(F.sum(w).over(inside_earlier), F.lit(0)) + F.col(f"__offset_{w}")
@@ -154,15 +152,17 @@ def lag_in_order(
     keys = keys or []
     if bucket is None:
         at = F.unix_micros(order).cast("double")
-        cuts = fit_cuts(df.select(F.lit("time").alias("feature"), at.alias("value")))
-        # One row: the cut points of the time axis.
-        bucketed = df.crossJoin(F.broadcast(cuts.select("cuts"))).withColumn(BUCKET, bucket_of(at, F.col("cuts"))).drop("cuts")
+        timed = df.where(F.col(order).isNotNull()).select(F.lit("time").alias("feature"), at.alias("value"))
+        found = fit_cuts(timed).first()
+        points = F.array(*[F.lit(c) for c in found["cuts"]] if found else []).cast("array<double>")
+        bucketed = df.withColumn(BUCKET, bucket_of(at, points))
     else:
         bucketed = df.withColumn(BUCKET, bucket)
     tails = bucketed.groupBy(*keys, BUCKET).agg(F.max_by(value, order).alias("__tail"))
     along = Window.partitionBy(*keys, *([] if keys else [F.lit(0)])).orderBy(BUCKET)
     carried = tails.select(*keys, BUCKET, F.lag("__tail").over(along).alias("__carried"))
     inside = Window.partitionBy(*keys, BUCKET).orderBy(order)
-    joined = bucketed.join(carried, [*keys, BUCKET])
+    same = [bucketed[c].eqNullSafe(carried[c]) for c in [*keys, BUCKET]]
+    joined = bucketed.join(carried, same, "left").drop(*[carried[c] for c in [*keys, BUCKET]])
     previous = F.when(F.row_number().over(inside) == 1, F.col("__carried")).otherwise(F.lag(value).over(inside))
     return joined.withColumn(alias, F.coalesce(previous, F.lit(first))).select(*df.columns, alias)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluicegate import contract
@@ -34,12 +34,14 @@ def prediction_diff(
 ) -> DataFrame:
     """(n_run1, n_run2, n_matched, max_diff, mean_diff, matches) over predictions joined on their row key.
 
-    The key must be unique per run. A row that only one run has is a shape mismatch.
+    Rows that repeat a key are paired in the order of their predictions. A row that only one run has is a
+    shape mismatch.
     """
-    left = run1.select(*key, F.col("prediction").alias("p1"), F.lit(1).alias("in1"))
-    right = run2.select(*key, F.col("prediction").alias("p2"), F.lit(1).alias("in2"))
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("prediction")).alias("__nth")
+    left = run1.select(*key, nth, F.col("prediction").alias("p1"), F.lit(1).alias("in1"))
+    right = run2.select(*key, nth, F.col("prediction").alias("p2"), F.lit(1).alias("in2"))
     gap = F.abs(F.col("p1") - F.col("p2"))
-    one = left.join(right, key, "full").agg(
+    one = left.join(right, [*key, "__nth"], "full").agg(
         F.count("in1").alias("n_run1"),
         F.count("in2").alias("n_run2"),
         F.count(gap).alias("n_matched"),
@@ -87,7 +89,3 @@ def row_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     columns = left.columns
     only_left = left.exceptAll(right.select(*columns)).withColumn("side", F.lit("left"))
     return only_left.unionByName(right.select(*columns).exceptAll(left).withColumn("side", F.lit("right")))
-
-
-def fingerprints_equal(a: Column, b: Column) -> Column:
-    return F.coalesce(a == b, F.lit(False))

@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluicegate import contract
+from sluicegate.functions.hashing import DRAWS
 
 
 def _hash_uniform(key: Column, replicate: Column, salt: str, seed: int) -> Column:
     text = F.md5(F.concat_ws("~", key, replicate.cast("string"), F.lit(salt), F.lit(str(seed))))
-    return (F.conv(F.substring(text, 1, 8), 16, 10).cast("double") + 1.0) / F.lit(4294967297.0)
+    return (F.conv(F.substring(text, 1, 15), 16, 10).cast("double") + 1.0) / F.lit(float(DRAWS))
 
 
 OBSERVED = 0
@@ -62,12 +63,14 @@ def paired_permutation(
     )
 
 
-def poisson_one(u: Column, terms: int = 10) -> Column:
-    """A Poisson(1) count from a uniform, by its cumulative probabilities."""
-    total, cumulative = 0.0, []
-    for k in range(terms):
+def poisson_one(u: Column) -> Column:
+    """A Poisson(1) count from a uniform, by its cumulative probabilities down to the resolution of the draws."""
+    total, cumulative, term, k = 0.0, [], math.exp(-1), 0
+    while term * DRAWS > 1:
         total += math.exp(-1) / math.factorial(k)
         cumulative.append(total)
+        k += 1
+        term /= k
     return sum(((u > F.lit(c)).cast("int") for c in cumulative), F.lit(0))
 
 

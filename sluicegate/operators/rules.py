@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluicegate import contract
+from sluicegate.functions.hashing import literal, quoted
 
 MISSING_COLUMN = "column_present"
 
@@ -29,7 +30,7 @@ class Rule:
     @property
     def violation(self) -> str:
         """The condition, as SQL, that is true on a violation and never NULL."""
-        raw = f"`{self.column}`"
+        raw = quoted(self.column)
         value = f"try_cast({raw} AS {self.data_type})"
         if self.check == "not_null":
             return f"{raw} IS NULL"
@@ -39,7 +40,7 @@ class Rule:
 
 
 def _literal(value) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(value, str) else repr(value)
+    return literal(value) if isinstance(value, str) else repr(value)
 
 
 def not_null(column: str) -> Rule:
@@ -136,7 +137,7 @@ def counts_to_rows(counted: DataFrame, df: DataFrame, rules: list[Rule], keep: l
     found = [(r.column, r.check, f"rule_{i}") for i, r in enumerate(present)]
     found += [(c, MISSING_COLUMN, "1L") for c in absent]
     rows = ", ".join(
-        f"named_struct('rule', '{c}:{k}', 'column_name', '{c}', 'check_name', '{k}', 'n_violations', {n})"
+        f"named_struct('rule', {literal(f'{c}:{k}')}, 'column_name', {literal(c)}, 'check_name', {literal(k)}, 'n_violations', {n})"
         for c, k, n in found
     )
     return counted.select(*keep, "n_rows", F.expr(f"inline(array({rows}))")).select(
@@ -158,8 +159,8 @@ def violation_counts(df: DataFrame, rules: list[Rule]) -> DataFrame:
 def with_violations(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """Add ``violations``: the names of the rules this row breaks, in rule order."""
     present, absent = _split_by_presence(df, rules)
-    checks = [f"CASE WHEN {r.violation} THEN '{r.name}' END" for r in present]
-    checks += [f"'{c}:{MISSING_COLUMN}'" for c in absent]
+    checks = [f"CASE WHEN {r.violation} THEN {literal(r.name)} END" for r in present]
+    checks += [literal(f"{c}:{MISSING_COLUMN}") for c in absent]
     return df.withColumn("violations", F.expr(f"array_compact(array({', '.join(checks)}))"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sluicegate import contract
 from sluicegate.functions.hashing import row_text
 from sluicegate.operators.ordered import BUCKET, prefix_sums
-from sluicegate.session import small_or_lazy
+from sluicegate.session import settle
 
 SPLIT = "split"
 NAMES = ("train", "validation", "test")
@@ -68,7 +68,7 @@ def positional_split(
         .when((start >= first) & (end <= second), NAMES[1])
         .when(start >= second, NAMES[2])
     )
-    days = small_or_lazy(days.withColumn(SPLIT, label))
+    days = settle(days.withColumn(SPLIT, label))
     labelled = keyed.join(days, "__day")
     whole_days = labelled.where(F.col(SPLIT).isNotNull()).select(*df.columns, SPLIT)
 

@@ -8,7 +8,6 @@ import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def pin_session(spark: SparkSession) -> SparkSession:
@@ -52,15 +51,3 @@ def settle(df: DataFrame) -> DataFrame:
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small_or_lazy(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
-    """Turn a fitted table into a local one marked for broadcast, if it has at most ``max_rows``.
-
-    A larger one is settled and stays an ordinary distributed table, joined by shuffle.
-    """
-    settled = settle(df)
-    rows = settled.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return settled
-    return F.broadcast(df.sparkSession.createDataFrame(rows, schema=df.schema))

@@ -40,6 +40,11 @@ def load_dataset(
     return df
 
 
+def load_text(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file with every cell as text, for rules that judge whether cells convert; ``schema.conform`` types it."""
+    return spark.read.format("csv").option("header", "true").load(path)
+
+
 def lineage(df: DataFrame, source: str, float_scale: int | None = None) -> DataFrame:
     """(source, n_rows, n_columns, column_names, fingerprint)."""
     return fp.fingerprint(df, float_scale=float_scale).select(
@@ -56,16 +61,15 @@ def save_dataset(df: DataFrame, path: str, partition_by: list[str] | None = None
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    if _format_of(path) == "csv":
-        writer.option("header", "true").csv(path)
-    else:
-        writer.parquet(path)
-    return lineage(df, path)
+    fmt = _format_of(path)
+    writer.option("header", "true").format(fmt).save(path)
+    written = df.sparkSession.read.schema(df.schema).format(fmt).option("header", "true").load(path)
+    return lineage(written.select(*df.columns), path)
 
 
 def save_result_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A small result table as one CSV file, with its columns in name order."""
-    df.select(*sorted(df.columns)).coalesce(1).write.mode(mode).option("header", "true").csv(path)
+    df.select(*sorted(df.columns)).repartition(1).write.mode(mode).option("header", "true").csv(path)
 
 
 def save_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from sluicegate import contract
 
+CORRUPT = "__corrupt"
 LOG_SCHEMA = T.StructType(
     [
         T.StructField("timestamp", T.TimestampType()),
@@ -40,13 +41,21 @@ def in_range(df: DataFrame, timestamp: str, start: str | None = None, end: str |
 def load_predictions(
     spark: SparkSession, path: str, start: str | None = None, end: str | None = None, fmt: str = "json"
 ) -> DataFrame:
-    """The log in a time range. A log that does not exist yet is empty; blank lines are skipped."""
+    """The log in a time range. A log that does not exist yet is empty; blank lines are skipped.
+
+    A line that is not JSON fails the read; :func:`corrupt_lines` lists them.
+    """
     try:
-        log = spark.read.schema(LOG_SCHEMA).format(fmt).load(path)
+        log = spark.read.schema(LOG_SCHEMA).format(fmt).option("mode", "FAILFAST").load(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], LOG_SCHEMA)
-    if fmt == "json":
-        log = log.where(F.coalesce(*[F.col(c).cast("string") for c in LOG_SCHEMA.fieldNames()]).isNotNull())
     return in_range(log, "timestamp", start, end)
+
+
+def corrupt_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line) of a JSON log: the lines that do not parse, blank ones left out."""
+    lines = spark.read.text(path).withColumnRenamed("value", "line")
+    parsed = F.from_json("line", T.StructType([*LOG_SCHEMA, T.StructField(CORRUPT, T.StringType())]), {"columnNameOfCorruptRecord": CORRUPT})
+    return lines.where((F.trim("line") != "") & parsed[CORRUPT].isNotNull())

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import shutil
 
 import pytest
 from pyspark.ml import PipelineModel
@@ -57,13 +58,16 @@ def test_categories_medians_and_encoding(spark, sales):
     assert row["price_diff"] == pytest.approx(row["price"] - row["competitor_price"])
 
 
-def test_large_vocabulary_is_joined_not_broadcast(spark, sales, monkeypatch):
-    monkeypatch.setattr(features, "MAX_INLINE_CATEGORIES", 3)
-    large = features.DemandFeatures().fit(sales)
-    monkeypatch.undo()
-    assert large.getOrDefault(large.vocabularyPath)
-    small = features.DemandFeatures().fit(sales)
-    assert large.transform(sales).exceptAll(small.transform(sales)).count() == 0
+def test_saved_model_holds_its_vocabulary(spark, sales, tmp_path):
+    rows = spark.range(25_000).selectExpr("concat('c', id) AS store_id", "cast(id AS double) AS price", "1.0D AS sales_demand")
+    model = features.DemandFeatures(categorical=["store_id"], numeric=["price"]).fit(rows)
+    model.write().save(f"{tmp_path}/here")
+    shutil.move(f"{tmp_path}/here", f"{tmp_path}/there")
+    again = features.DemandFeaturesModel.load(f"{tmp_path}/there")
+    assert again.getOrDefault(again.vocabularyPath).startswith(f"{tmp_path}/there")
+    coded = again.transform(rows)
+    assert coded.agg(F.countDistinct("store_id"), F.min("store_id"), F.max("store_id")).first() == (25_000, 1, 25_000)
+    assert coded.exceptAll(model.transform(rows)).count() == 0
 
 
 def test_median_of_an_all_null_column_is_zero(spark):

@@ -392,8 +392,9 @@ ORACLES["metrics_by_segment"] = f"""WITH {SALES} SELECT product_category, store_
 ORACLES["latency_summary"] = """SELECT count(value) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50,
   round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(avg(value)/100, 6) AS per_record FROM events"""
 
+FILLED = "(SELECT * REPLACE (coalesce(previous_day_sales, (SELECT median(previous_day_sales) FROM sales WHERE date <= TIMESTAMP '1999-06-30')) AS previous_day_sales) FROM {n})"
 SCENARIO_METRICS = "scn AS (" + " UNION ALL ".join(
-    f"SELECT '{n}' AS scenario, {measures('sales_demand', PREDICTION)} FROM {n} WHERE previous_day_sales IS NOT NULL" for n in contract.SCENARIOS
+    f"SELECT '{n}' AS scenario, {measures('sales_demand', PREDICTION)} FROM {FILLED.format(n=n)}" for n in contract.SCENARIOS
 ) + ")"
 GATED = f"""WITH {SALES},
 {ALL_SCENARIOS}, {SCENARIO_METRICS},
@@ -506,7 +507,7 @@ def errors(period: str) -> str:
 
 
 def draw(salt: str) -> str:
-    return f"((cast(concat('0x', substr(md5(concat_ws('~', pair, cast(r AS varchar), '{salt}', '42')), 1, 8)) AS bigint) + 1.0::DOUBLE)/4294967297.0::DOUBLE)"
+    return f"((cast(concat('0x', substr(md5(concat_ws('~', pair, cast(r AS varchar), '{salt}', '42')), 1, 15)) AS bigint) + 1.0::DOUBLE)/1152921504606846976.0::DOUBLE)"
 
 
 ORACLES["paired_permutation"] = f"""{errors('month')}, o AS (SELECT count(gain) AS n, avg(gain) AS m, stddev_samp(gain) AS s FROM e),
@@ -515,7 +516,7 @@ x AS (SELECT count_if(abs(rm) >= abs(m) - 1e-12::DOUBLE) AS c FROM rep, o)
 SELECT n, round(m, 6) AS mean_difference, round(m/s, 6) AS effect_size, c AS n_extreme, round((c + 1)/201.0::DOUBLE, 6) AS p_value FROM o, x"""
 POISSON = []
 _total = 0.0
-for _k in range(10):
+for _k in range(20):
     _total += math.exp(-1) / math.factorial(_k)
     POISSON.append(f"(CASE WHEN u > {_total!r}::DOUBLE THEN 1 ELSE 0 END)")
 ORACLES["bootstrap_ci"] = f"""{errors('week')}, d AS (SELECT r, gain, {draw('weight')} AS u FROM e, range(1, 201) AS t(r)),
@@ -531,7 +532,7 @@ SELECT f.event_type, strftime(first_alert, '%Y-%m-%d') AS first_alert, first_ale
 
 # --- streams ---
 
-STREAMED = {k: v for k, v in contract.SCENARIOS["data_quality_failure"]["faults"].items() if k != "impossible_dates"}
+STREAMED = contract.SCENARIOS["data_quality_failure"]["faults"]
 REQUEST_CHECKS = [(c, "not_null", f"{c} IS NULL") for c in FEATURES] + [
     ("promotion_flag", "in_0_1", "promotion_flag NOT BETWEEN 0 AND 1"),
     ("price", "gt_0", "price <= 0"),
@@ -546,16 +547,28 @@ ORACLES["stream_quarantine"] = f"""WITH {SALES}, {scenario('streamed', settings=
 SELECT row_key, copy_no, v AS violations, CASE WHEN v = '' THEN 'accepted' ELSE 'rejected' END AS verdict
 FROM (SELECT row_key, copy_no, coalesce({named_violations(REQUEST_CHECKS)}, '') AS v FROM streamed)"""
 EVENT_CELLS = " + ".join(f"(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)" for c in ("event_id", "ts", "user_id", "event_type", "value", "props"))
-# A stream emits a day once its watermark (last event minus one hour) has passed the day's end.
-CLOSED = "date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
 ORACLES["window_monitor"] = f"""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start, event_type, count(*) AS n_rows, sum({EVENT_CELLS})::BIGINT AS null_cells,
   round(sum({EVENT_CELLS})/(count(*)*6)::DOUBLE, 6) AS missing_ratio, round(avg(value), 6) AS mean, round(min(value), 6) AS min, round(max(value), 6) AS max
-FROM events WHERE {CLOSED} GROUP BY 1, 2"""
+FROM events GROUP BY 1, 2"""
 ORACLES["window_drift"] = f"""WITH b AS (SELECT event_type, count(*)::DOUBLE AS r FROM events WHERE ts < TIMESTAMP '2024-01-10' GROUP BY 1),
-w AS (SELECT DISTINCT date_trunc('day', ts) AS day FROM events WHERE {CLOSED}),
+w AS (SELECT DISTINCT date_trunc('day', ts) AS day FROM events),
 c AS (SELECT date_trunc('day', ts) AS day, event_type, count(*)::DOUBLE AS c FROM events GROUP BY 1, 2),
 j AS (SELECT w.day, b.event_type, r, coalesce(c.c, 0) AS c, sum(r) OVER (PARTITION BY w.day) AS tr, sum(coalesce(c.c, 0)) OVER (PARTITION BY w.day) AS tc
   FROM w CROSS JOIN b LEFT JOIN c ON c.day = w.day AND c.event_type = b.event_type),
 s AS (SELECT day, sum((c - tc*r/tr)*(c - tc*r/tr)/(tc*r/tr)) AS score, count(*) - 1 AS df FROM j GROUP BY day)
 SELECT strftime(day, '%Y-%m-%d') AS window_start, round(score, 6) AS score, df, round({gamma_tail('(df/2.0::DOUBLE)', '(score/2.0::DOUBLE)')}, 6) AS p_value,
   {gamma_tail('(df/2.0::DOUBLE)', '(score/2.0::DOUBLE)')} < 0.05::DOUBLE AS drifted FROM s"""
+
+# --- training: what SQL can decide of a model's output ---
+
+KEYED = f"{SALES}, keyed AS (SELECT *, md5({SALES_TEXT}) AS row_key FROM sales)"
+TEST = "date > TIMESTAMP '2000-06-30' AND date <= TIMESTAMP '2001-12-31'"
+ORACLES["train_score"] = f"WITH {SALES} SELECT count(*) AS n, true AS beats_mean FROM sales WHERE {TEST}"
+ORACLES["score_batch"] = f"WITH {KEYED} SELECT row_key, store_id, product_category, true AS valid FROM keyed WHERE {TEST}"
+LOGGED = "row_key AS request_id, 'v1' AS model_version, store_id, product_category, promotion_flag, month, true AS valid"
+ORACLES["score_log"] = f"WITH {KEYED} SELECT {LOGGED}, strftime(date, '%Y-%m-%d') AS \"timestamp\" FROM keyed WHERE {TEST}"
+ORACLES["stream_score"] = f"WITH {KEYED} SELECT {LOGGED} FROM keyed"
+ORACLES["run_experiments"] = f"""SELECT v.variant, v.pipeline, s.seed::INTEGER AS seed, 'COMPLETED' AS status, m.metric, '' AS error, true AS measured
+FROM (VALUES {', '.join(f"('{name}', '{kind}')" for name, kind, _ in contract.RUN_VARIANTS)}) AS v(variant, pipeline),
+  (VALUES {', '.join(f"({seed})" for seed in contract.RUN_SEEDS)}) AS s(seed),
+  (VALUES ('mae'), ('rmse'), ('r2'), ('mape'), ('validation_mae'), ('validation_rmse'), ('validation_r2'), ('validation_mape')) AS m(metric)"""

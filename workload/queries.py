@@ -26,10 +26,11 @@ from sluicegate.operators import (
 )
 from sluicegate.operators import fingerprint as fp
 from sluicegate.plans import experiment, monitor, release
-from sluicegate.session import settle, shared_dir, small_or_lazy
+from sluicegate.session import settle, shared_dir
 from sluicegate.sources import adapters, io, prediction_log
 from sluicegate.streaming import requests
-from sluicegate.streaming.monitor import category_windows, drift_stream, window_stats
+from sluicegate.streaming.monitor import category_windows, latest_windows, update_files, window_stats
+from sluicegate.streaming.monitor import window_drift as category_drift
 from workload import tables
 from workload.tables import SCALE, sales, table
 
@@ -412,8 +413,8 @@ def impute(spark, sf_dir):
 @query
 def encode(spark, sf_dir):
     train, test = faulty_parts(spark, sf_dir)
-    vocabulary = small_or_lazy(features.fit_categories(train, contract.CATEGORICAL_FEATURES))
-    return features.encode(test, vocabulary, contract.CATEGORICAL_FEATURES, False).select(
+    vocabulary = settle(features.fit_categories(train, contract.CATEGORICAL_FEATURES))
+    return features.encode(test, vocabulary, contract.CATEGORICAL_FEATURES).select(
         "row_key", "copy_no", *contract.CATEGORICAL_FEATURES
     )
 
@@ -462,9 +463,12 @@ def latency_summary(spark, sf_dir):
 
 
 def scenario_metrics(spark, sf_dir):
-    """(scenario, mae, rmse, r2, mape, ...) of the fixed predictor under each scenario."""
+    """(scenario, mae, rmse, r2, mape, ...) of the fixed predictor under each scenario, gaps filled with the
+    median of the clean training rows."""
+    train = by_date(sales(spark, sf_dir)).where(F.col("split") == "train")
+    medians = {r["column_name"]: r["median"] for r in features.fit_medians(train, ["previous_day_sales"]).collect()}
     parts = [
-        metrics.regression_metrics(with_predictions(df.na.drop(subset=["previous_day_sales"])), "sales_demand", "prediction", digits=None)
+        metrics.regression_metrics(with_predictions(features.impute(df, medians)), "sales_demand", "prediction", digits=None)
         .withColumn("scenario", F.lit(name))
         for name, df in scenario_tables(spark, sf_dir).items()
     ]
@@ -699,37 +703,60 @@ def detection_delay(spark, sf_dir):
 # --- training, scoring ---
 
 
-def trained(spark, sf_dir, **settings):
+def trained(spark, sf_dir):
     split = by_date(sales(spark, sf_dir))
-    model = boosting.train(split.where(F.col("split") == "train").drop("split"), **settings)
+    model = boosting.train(split.where(F.col("split") == "train").drop("split"))
     return model, split.where(F.col("split") == "test").drop("split")
 
 
+def better_than_mean(scored):
+    """(n, beats_mean): whether the model's squared error on the test rows is below half of that of their mean."""
+    wide = metrics.regression_metrics(scored, "sales_demand", boosting.PREDICTION, digits=None)
+    return wide.select("n", (F.col("r2") > 0.5).alias("beats_mean"))
+
+
 @query
 def train_score(spark, sf_dir):
     model, test = trained(spark, sf_dir)
-    return metrics.regression_metrics(boosting.score(model, test), "sales_demand", boosting.PREDICTION)
+    return better_than_mean(boosting.score(model, test))
+
+
+def checked_predictions(df, published):
+    """The prediction as what SQL can decide of it: present, not negative, and as published."""
+    p = F.col("prediction")
+    right = p.isNotNull() & ~F.isnan(p) & (p >= 0)
+    return df.withColumn("valid", right & (F.round(p, 2) == p) if published else right).drop("prediction")
 
 
 @query
 def score_batch(spark, sf_dir):
-    model, test = trained(spark, sf_dir, maxIter=10)
-    return boosting.published(boosting.score(model, test))
+    model, test = trained(spark, sf_dir)
+    keyed = inject.with_row_key(test, SCALE).withColumnRenamed(inject.KEY, "row_key")
+    scored = boosting.published(boosting.score(model, keyed))
+    return checked_predictions(scored.select("row_key", "store_id", "product_category", "prediction"), True)
+
+
+def logged(rows):
+    shown = rows.select("request_id", "model_version", "store_id", "product_category", "promotion_flag", "month", "prediction")
+    return checked_predictions(shown, False)
 
 
 @query
 def score_log(spark, sf_dir):
-    model, test = trained(spark, sf_dir, maxIter=10)
-    keyed = inject.with_row_key(test)
+    model, test = trained(spark, sf_dir)
+    keyed = inject.with_row_key(test, SCALE)
     rows = requests.log_rows(boosting.score(model, keyed), "v1", F.col(inject.KEY), F.col("date"))
     path = shared_dir(spark)
     prediction_log.append_predictions(rows, path)
-    return prediction_log.load_predictions(spark, path)
+    found = prediction_log.load_predictions(spark, path)
+    return logged(found).withColumn("timestamp", F.date_format(found["timestamp"], "yyyy-MM-dd"))
 
 
 @query
 def run_experiments(spark, sf_dir):
-    return experiment.run_matrix(by_date(sales(spark, sf_dir)), "clean", seeds=contract.RUN_SEEDS[:2], maxIter=10)
+    ledger = experiment.run_matrix(by_date(sales(spark, sf_dir)), "clean")
+    finite = F.col("value").isNotNull() & ~F.isnan("value")
+    return ledger.select("variant", "pipeline", "seed", "status", "metric", "error", finite.alias("measured"))
 
 
 # --- streams ---
@@ -738,9 +765,10 @@ def run_experiments(spark, sf_dir):
 @query
 def stream_quarantine(spark, sf_dir):
     lines = tables.stream(spark, sf_dir, "lineitem")
-    faults = {k: v for k, v in contract.SCENARIOS["data_quality_failure"]["faults"].items() if k != "impossible_dates"}
     keyed = inject.with_row_key(sales(spark, sf_dir, lines), SCALE)
-    bad = inject.inject_faults(keyed, faults).withColumnsRenamed({inject.KEY: "row_key", inject.COPY: "copy_no"})
+    n_rows = sales(spark, sf_dir).count()  # a stream cannot count itself
+    faults = contract.SCENARIOS["data_quality_failure"]["faults"]
+    bad = inject.inject_faults(keyed, faults, n_rows=n_rows).withColumnsRenamed({inject.KEY: "row_key", inject.COPY: "copy_no"})
     path = shared_dir(spark)
     requests.quarantine_stream(bad, rules.request_rules(), path, shared_dir(spark)).awaitTermination()
     judged = spark.read.parquet(path)
@@ -749,11 +777,11 @@ def stream_quarantine(spark, sf_dir):
 
 @query
 def stream_score(spark, sf_dir):
-    model, _ = trained(spark, sf_dir, maxIter=10)
-    incoming = inject.with_row_key(sales(spark, sf_dir, tables.stream(spark, sf_dir, "lineitem")))
+    model, _ = trained(spark, sf_dir)
+    incoming = inject.with_row_key(sales(spark, sf_dir, tables.stream(spark, sf_dir, "lineitem")), SCALE)
     path = shared_dir(spark)
     requests.score_stream(incoming, model, "v1", F.col(inject.KEY), path).awaitTermination()
-    return spark.read.parquet(path)
+    return logged(spark.read.parquet(path))
 
 
 @query
@@ -761,8 +789,9 @@ def window_monitor(spark, sf_dir):
     events = tables.stream(spark, sf_dir, "events")
     stats = window_stats(events, "ts", "1 day", ["event_type"], "value", watermark="1 hour")
     path = shared_dir(spark)
-    requests.append_files(stats, path, shared_dir(spark)).awaitTermination()
-    return rounded(spark.read.schema(stats.schema).parquet(path).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd")))
+    update_files(stats, path, shared_dir(spark)).awaitTermination()
+    found = latest_windows(spark, path, stats.schema, ["window_start", "event_type"])
+    return rounded(found.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd")))
 
 
 @query
@@ -772,6 +801,6 @@ def window_drift(spark, sf_dir):
     reference = early.agg(F.count(F.lit(1)).alias("n"))
     counts = category_windows(tables.stream(spark, sf_dir, "events"), "ts", "1 day", "event_type", watermark="1 hour")
     path = shared_dir(spark)
-    drift_stream(counts, reference, path, shared_dir(spark)).awaitTermination()
-    found = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    update_files(counts, path, shared_dir(spark)).awaitTermination()
+    found = category_drift(latest_windows(spark, path, counts.schema, ["window_start", "category"]), reference)
     return rounded(found.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd")))

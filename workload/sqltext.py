@@ -56,8 +56,8 @@ def fingerprint_of(digest: str) -> str:
 
 
 def uniform(key: str, salt: str, seed: int = contract.DEFAULT_SEED) -> str:
-    hexed = f"substr(md5(concat_ws('~', {key}, '{salt}', '{seed}')), 1, 8)"
-    return f"((cast(concat('0x', {hexed}) AS bigint) + 1.0::DOUBLE) / 4294967297.0::DOUBLE)"
+    hexed = f"substr(md5(concat_ws('~', {key}, '{salt}', '{seed}')), 1, 15)"
+    return f"((cast(concat('0x', {hexed}) AS bigint) + 1.0::DOUBLE) / 1152921504606846976.0::DOUBLE)"
 
 
 def normal(key: str, salt: str) -> str:

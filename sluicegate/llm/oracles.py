@@ -1,5 +1,28 @@
-"""Oracle SQL (DuckDB) of the queries that SQL can express."""
+"""Oracle SQL (DuckDB) of the queries that SQL can express.
+
+The others need a tokenizer, XXH64, a trained model or an approximate search, which are not SQL; tests hold them
+against brute force.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLES: dict[str, str] = {
+    "op2_substring_dedup": r"""WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda w: w <> '') AS words FROM documents),
+windows AS (SELECT doc_id, s, array_to_string(words[s:s + 19], ' ') AS phrase FROM d, unnest(generate_series(1, len(words) - 19)) AS t(s)),
+later AS (SELECT doc_id, s FROM windows QUALIFY row_number() OVER (PARTITION BY phrase ORDER BY doc_id, s) > 1),
+gone AS (SELECT DISTINCT doc_id, p FROM later, unnest(generate_series(s, s + 19)) AS t(p)),
+placed AS (SELECT doc_id, p, words[p] AS word FROM d, unnest(generate_series(1, len(words))) AS t(p)),
+kept AS (SELECT placed.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS joined FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(joined, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
+    "op4_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS payload, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages),
+r AS (SELECT *, strlen(payload) >= 1000 AND page_id <> last AS again FROM p)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, sha1(payload) AS payload_digest,
+  CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN last END AS refers_to FROM r""",
+    "op5_exact_dedup": f"""WITH n AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS norm FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
+FROM n WINDOW w AS (PARTITION BY norm)""",
+}

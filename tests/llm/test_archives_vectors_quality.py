@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from sluicegate.llm import neighbours, quality, warc
+from sluicegate.llm.oracles import ORACLES
+from sluicegate.llm.queries import QUERIES
 from sluicegate.session import settle
+from workload.check import compare, oracle_connection
 
 SMALL = "/root/testdata/sf0.001"
 GZIP = "\x1f\x8b\x08"
@@ -204,3 +207,18 @@ def test_pipeline_takes_odd_documents(llm, documents):
         for _, stage in corpus_pipeline.STAGES:
             df = settle(stage(llm, df, SMALL))
         assert "sequence_id" in df.columns
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_equal_their_oracles(llm, name):
+    assert compare(llm, oracle_connection(SMALL), SMALL, QUERIES[name], ORACLES[name]) == ""
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_queries_give_all_rows(llm, name):
+    found = QUERIES[name](llm, SMALL)
+    docs = llm.read.parquet(f"{SMALL}/documents.parquet").count()
+    if name == "op8_neighbours":
+        assert found.count() == 25 * 20
+    else:
+        assert found.select("doc_id").distinct().count() == docs

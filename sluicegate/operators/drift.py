@@ -265,7 +265,7 @@ def drift_decision(
     continue_max: float = contract.CONTINUE_MAX_SHARE,
     investigate_max: float = contract.INVESTIGATE_MAX_SHARE,
 ) -> DataFrame:
-    """Add ``critical_drifted`` and ``decision`` to a summary; both limits are inclusive."""
+    """Add ``critical_drifted``, ``decision`` and its ``reason`` with the limits; both limits are inclusive."""
     listed = F.array(*[F.lit(c) for c in (contract.CRITICAL_FEATURES if critical is None else critical)])
     hit = F.array_sort(F.array_intersect("drifted_columns", listed.cast("array<string>")))
     share = F.col("drift_share")
@@ -274,7 +274,14 @@ def drift_decision(
         .when(share <= investigate_max, "INVESTIGATE")
         .otherwise("RETRAIN_REQUIRED")
     )
-    return summary.withColumn("critical_drifted", hit).withColumn("decision", decision)
+    percent = F.format_number(share * 100, 1)
+    reason = (
+        F.when(F.col("decision") == "CONTINUE", F.concat(percent, F.lit(f"% of columns drifted, at most {continue_max:.0%}")))
+        .when((share <= continue_max) & (F.size("critical_drifted") > 0), F.concat(F.lit("critical columns drifted: "), F.array_join("critical_drifted", ", ")))
+        .when(F.col("decision") == "INVESTIGATE", F.concat(percent, F.lit(f"% of columns drifted, above {continue_max:.0%} and at most {investigate_max:.0%}")))
+        .otherwise(F.concat(percent, F.lit(f"% of columns drifted, above {investigate_max:.0%}")))
+    )
+    return summary.withColumn("critical_drifted", hit).withColumn("decision", decision).withColumn("reason", reason)
 
 
 def retrain_requests(decisions: DataFrame, keep: list[str], auto_trigger: bool = False) -> DataFrame:

@@ -18,6 +18,9 @@ def pin_session(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_GIVEN: dict[str, list[str]] = {}
+
+
 @lru_cache(maxsize=1)
 def _local_root() -> str:
     return tempfile.mkdtemp(prefix="sluicegate-")
@@ -35,7 +38,21 @@ def shared_dir(spark: SparkSession) -> str:
         if re.fullmatch(r"local(\[[^\[\]]*\])?", context.master) is None:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = _local_root()
-    return f"{root.rstrip('/')}/sluicegate-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/sluicegate-{uuid.uuid4().hex}"
+    _GIVEN.setdefault(context.applicationId, []).append(folder)
+    return folder
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Delete every folder that :func:`shared_dir` has named in this application; the number deleted.
+
+    Results that still read them must have been written or collected.
+    """
+    files, conf, dropped = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration(), 0
+    for folder in _GIVEN.pop(spark.sparkContext.applicationId, []):
+        path = files.Path(folder)
+        dropped += bool(path.getFileSystem(conf).delete(path, True))
+    return dropped
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:

@@ -115,3 +115,39 @@ def test_monitor_end_to_end(sales):
     assert {"price", "temperature", "promotion_flag", "product_category"} <= set(row["drifted_columns"])
     same = monitor.monitor(sales, sales, "clean")["decision"].first()
     assert (same["n_drifted"], same["decision"]) == (0, "CONTINUE")
+
+
+def test_columns_without_values(spark):
+    schema = "price double, temperature double, promotion_flag int, store_id string, month string, day_of_week string"
+    full = spark.createDataFrame([(float(i), float(i), i % 2, f"s{i % 3}", "1", "a") for i in range(60)], schema)
+    kinds = {"numerical": ["price", "temperature"], "binary": ["promotion_flag"], "categorical": ["store_id", "month"]}
+    empty = full.withColumns({c: F.lit(None).cast(t) for c, t in full.dtypes if c in ("price", "promotion_flag", "store_id")})
+    none = full.withColumns({c: F.lit(None).cast(t) for c, t in full.dtypes})
+    for tests in ({}, {"numerical_test": "wasserstein", "categorical_test": "jensenshannon"}):
+        for a, b in ((full, empty), (empty, full)):
+            rows = {r["feature"]: r for r in drift.drift_by_column(a, b, kinds, **tests).collect()}
+            assert set(rows) == {"price", "temperature", "promotion_flag", "store_id", "month"}
+            assert all(rows[c]["drifted"] and rows[c]["score"] is None for c in ("price", "promotion_flag", "store_id"))
+            assert not rows["temperature"]["drifted"] and not rows["month"]["drifted"]
+        rows = drift.drift_by_column(none, none, kinds, **tests).collect()
+        assert len(rows) == 5 and not any(r["drifted"] for r in rows)
+
+
+def test_chi_square_tail_for_all_sizes(spark):
+    # Reference values: upper tails of the chi-square distribution.
+    known = [(3.841458820694124, 1, 0.05), (1.0, 2, math.exp(-0.5)), (40.0, 2, math.exp(-20.0)), (100.0, 100, 0.481191684527957)]
+    df = spark.createDataFrame(known, "x double, df int, p double").withColumn("found", chi_square_p(F.col("x"), F.col("df")))
+    assert all(r["found"] == pytest.approx(r["p"], rel=1e-9) for r in df.collect())
+    # Both methods, where one takes over from the other, against the series summed in Python.
+    def tail(x, d):
+        term = total = 1.0
+        for k in range(1, 2000):
+            term *= x / 2 / (d / 2 + k)
+            total += term
+        return 1 - total * math.exp(-x / 2 + d / 2 * math.log(x / 2) - math.lgamma(d / 2 + 1))
+
+    near = spark.createDataFrame([(x, d) for d in (399, 400, 401, 402) for x in (350.0, 400.0, 450.0)], "x double, df int")
+    for r in near.withColumn("p", chi_square_p(F.col("x"), F.col("df"))).collect():
+        assert r["p"] == pytest.approx(tail(r["x"], r["df"]), abs=1e-8)
+    big = spark.range(1).select(chi_square_p(F.lit(1e8), F.lit(100_000_000))).first()[0]
+    assert big == pytest.approx(0.5, abs=1e-4)

@@ -192,3 +192,31 @@ def test_permutation_and_bootstrap(spark):
     ci = resample.bootstrap_ci(df, "id", "gain", 99).first()
     assert ci["ci_low"] < ci["mean"] < ci["ci_high"]
     assert ci["mean"] == pytest.approx(1.2)
+
+
+def test_stored_folders_are_deleted_on_demand(spark, sales):
+    from pathlib import Path
+
+    from sluicegate.session import drop_stored, settle
+
+    path = Path(settle(sales.limit(5)).inputFiles()[0].removeprefix("file://")).parent
+    assert path.exists() and drop_stored(spark) >= 1 and not path.exists()
+
+
+def test_matrix_fails_as_rows_when_preparation_raises(split_sales):
+    broken = split_sales.drop("sales_demand")
+    runs = experiment.run_matrix(broken, "clean", [("proposed", "proposed", ""), ("baseline", "baseline", "")], [1, 2]).collect()
+    assert len(runs) == 4 and {r["status"] for r in runs} == {"FAILED"} and all(r["error"] for r in runs)
+
+
+def test_missing_predictions_count_in_no_term(spark):
+    rows = frame(spark, [(1.0, 1.5), (2.0, 2.5), (30.0, None), (None, 4.0)], "y double, p double")
+    some = metrics.regression_metrics(rows, "y", "p").first()
+    whole = metrics.regression_metrics(rows.where("y IS NOT NULL AND p IS NOT NULL"), "y", "p").first()
+    assert some == whole and some["n"] == 2
+
+
+def test_repeated_keys_are_paired(spark):
+    run = frame(spark, [(1, 0.5), (1, 0.7), (2, 0.1)], "k int, prediction double")
+    same = repro.prediction_diff(run, run, ["k"]).first()
+    assert (same["n_matched"], same["matches"]) == (3, True)

@@ -208,8 +208,8 @@ SELECT store_id, count(*) AS n_rows, count_if(price IS NULL) AS null_price, coun
   count_if(inventory_level < 0) AS negative_inventory, count_if(product_category = 'INVALID_CATEGORY_XYZ') AS invalid_category,
   round(sum(CASE WHEN price < 0 THEN price END), 4) AS negative_price_sum FROM data_quality_failure GROUP BY store_id"""
 ORACLES["inject_drift"] = f"""WITH {SALES}, {scenario('severe_drift')}
-SELECT product_category, promotion_flag, count(*) AS n_rows, round(avg(price) + 3e-7::DOUBLE, 4) AS price, round(avg(competitor_price) + 3e-7::DOUBLE, 4) AS competitor_price,
-  round(avg(temperature) + 3e-7::DOUBLE, 4) AS temperature, round(avg(sales_demand) + 3e-7::DOUBLE, 4) AS demand FROM severe_drift GROUP BY 1, 2"""
+SELECT product_category, promotion_flag, count(*) AS n_rows, round(avg(price), 6) AS price, round(avg(competitor_price), 6) AS competitor_price,
+  round(avg(temperature), 6) AS temperature, round(avg(sales_demand), 6) AS demand FROM severe_drift GROUP BY 1, 2"""
 ALL_SCENARIOS = ",\n".join(scenario(name) for name in contract.SCENARIOS)
 ORACLES["scenario_gate_matrix"] = f"WITH {SALES},\n{ALL_SCENARIOS}\n" + "\nUNION ALL\n".join(report(n, n) for n in contract.SCENARIOS)
 
@@ -347,10 +347,10 @@ VOCABULARY = "voc AS (" + " UNION ALL ".join(
 MEDIANS = "med AS (SELECT " + ", ".join(f"quantile_cont({c}::DOUBLE, 0.5) AS {c}" for c in NUMERIC) + " FROM tr)"
 ORACLES["fit_categories"] = f"{PARTS}, {VOCABULARY} SELECT * FROM voc"
 ORACLES["fit_medians"] = f"{PARTS}, {MEDIANS} " + " UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, round({c} + 3e-7::DOUBLE, 5) AS median FROM med" for c in NUMERIC
+    f"SELECT '{c}' AS column_name, round({c}, 9) AS median FROM med" for c in NUMERIC
 )
 ORACLES["impute"] = f"{PARTS}, {MEDIANS} SELECT row_key, copy_no, " + ", ".join(
-    f"round(coalesce(te.{c}::DOUBLE, med.{c}) + 3e-7::DOUBLE, 5) AS {c}" for c in NUMERIC
+    f"round(coalesce(te.{c}::DOUBLE, med.{c}), 9) AS {c}" for c in NUMERIC
 ) + " FROM te, med"
 
 
@@ -359,8 +359,8 @@ def code(c: str, t: str) -> str:
 
 
 ORACLES["encode"] = f"{PARTS}, {VOCABULARY} SELECT row_key, copy_no, " + ", ".join(f"{code(c, 'te')} AS {c}" for c in CATEGORICAL) + " FROM te"
-ORACLES["derive_features"] = f"""{KEYED} SELECT row_key, copy_no, round(price - competitor_price + 3e-7::DOUBLE, 5) AS price_diff,
-  round(price / (competitor_price + 1e-5::DOUBLE) + 3e-7::DOUBLE, 5) AS price_ratio FROM keyed"""
+ORACLES["derive_features"] = f"""{KEYED} SELECT row_key, copy_no, round(price - competitor_price, 9) AS price_diff,
+  round(price / (competitor_price + 1e-5::DOUBLE), 9) AS price_ratio FROM keyed"""
 FILLED = ", ".join(f"coalesce({c}::DOUBLE, (SELECT {c} FROM med)) AS {c}" for c in NUMERIC)
 ORACLES["feature_matrix"] = f"""{PARTS}, {VOCABULARY}, {MEDIANS}, b AS (SELECT 'train' AS split, * FROM tr UNION ALL SELECT 'test', * FROM te),
 f AS (SELECT split, {', '.join(f'{code(c, "b")} AS {c}' for c in CATEGORICAL)}, {FILLED}, coalesce(sales_demand, 0.0) AS sales_demand FROM b)

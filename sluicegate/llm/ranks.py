@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,19 +22,28 @@ def number_within(df: DataFrame, key: str, name: str) -> DataFrame:
 
     No group meets in one task. Each task numbers its own rows per key and the numbered rows are stored; the
     counts per task and key give every task its first number. The order within a key is that of the tasks.
-    The columns ``rank_part`` and ``rank_local`` are used on the way and must be free.
+    A null key is an error. The columns ``rank_part`` and ``rank_local`` are used on the way and must be free.
     """
     schema = T.StructType([*df.schema.fields, T.StructField(PART, T.IntegerType()), T.StructField(LOCAL, T.LongType())])
 
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
-            local = batch.groupby(key, sort=False).cumcount() + batch[key].map(lambda k: seen[k])
-            for k, n in batch[key].value_counts().items():
-                seen[k] += int(n)
-            yield batch.assign(**{PART: part, LOCAL: local.astype("int64")})
-
-    stored = settle(df.mapInPandas(number, schema))
+            column = batch.column(key)
+            if column.null_count:
+                raise ValueError(f"a null {key} cannot be numbered")
+            values = column.to_numpy(zero_copy_only=False)
+            order = np.argsort(values, kind="stable")
+            found, first, sizes = np.unique(values[order], return_index=True, return_counts=True)
+            local = np.empty(len(values), dtype=np.int64)
+            local[order] = np.arange(len(values)) - np.repeat(first, sizes) + np.repeat([seen[k] for k in found.tolist()], sizes)
+            for k, n in zip(found.tolist(), sizes.tolist(), strict=True):
+                seen[k] += n
+            parts = pa.array(np.full(len(values), part, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns, parts, pa.array(local)], names)
+
+    names = [f.name for f in schema.fields]
+    stored = settle(df.mapInArrow(number, schema))
     ahead = Window.partitionBy(key).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     firsts = (
         stored.groupBy(key, PART)

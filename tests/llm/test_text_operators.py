@@ -13,10 +13,11 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sluicegate.llm import bpe, exact_index, packing, phrases, secrets, sharding, simhash
+from sluicegate.llm import bpe, exact_index, packing, phrases, ranks, secrets, sharding, simhash
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 RANKS, WORD_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
@@ -118,6 +119,15 @@ def test_packing_of_nothing_and_of_wrong_lengths(llm):
     assert packing.pack(empty).count() == 0
     with pytest.raises(ValueError):
         packing.pack(llm.createDataFrame([(1, 5000)], "id bigint, length bigint"))
+    with pytest.raises(PythonException):
+        packing.pack(llm.createDataFrame([(1, None)], "id bigint, length bigint"))
+
+
+def test_numbers_keep_all_other_values(llm):
+    rows = [(2**62 + i if i % 3 else None, i % 4, f"t{i}") for i in range(40)]
+    found = ranks.number_within(llm.createDataFrame(rows, "id bigint, k int, t string").repartition(3), "k", "n").collect()
+    assert Counter((r["id"], r["k"], r["t"]) for r in found) == Counter(rows)
+    assert all(sorted(r["n"] for r in found if r["k"] == k) == list(range(10)) for k in range(4))
 
 
 def test_sequences_join_their_pieces(documents):

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +25,8 @@ SHARD_PHRASES, BASE = 50_000, 256
 #: What stands for a word that no window of an automaton has.
 OTHER = "\x01\x02"
 KEPT_POWERS = 1 << 18
+#: Of what moves between tasks, hashes aside, which do not shrink.
+LEVEL = 6
 NO_ID = (1 << 63) - 1
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 BLOCKS = "block bigint, doc_ids binary, known binary, sizes binary, texts binary, windows bigint"
@@ -48,7 +49,7 @@ def to_blocks(docs: DataFrame, doc_id: str, text: str, block_bytes: int = BLOCK_
             known = np.array([k is not None for k in keys], dtype=np.uint8)
             sizes = np.array([len(t) for t in texts], dtype="<i8")
             n = sum(len(t) // 4 for t in texts)
-            row = (part + block, ids.tobytes(), known.tobytes(), sizes.tobytes(), zlib.compress(b"".join(texts), 1), n)
+            row = (part + block, ids.tobytes(), known.tobytes(), sizes.tobytes(), squeeze(b"".join(texts)), n)
             return pa.RecordBatch.from_arrays([pa.array([v]) for v in row], [x.split()[0] for x in BLOCKS.split(", ")])
 
         for batch in batches:
@@ -67,6 +68,14 @@ def to_blocks(docs: DataFrame, doc_id: str, text: str, block_bytes: int = BLOCK_
     return slim.mapInArrow(gather, BLOCKS)
 
 
+def squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=LEVEL).compress(data)
+
+
+def restore(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 class Block:
     """One block's documents, in the order of their doc_ids."""
 
@@ -75,7 +84,7 @@ class Block:
         ids = np.frombuffer(row["doc_ids"], "<i8")
         known = np.frombuffer(row["known"], np.uint8)
         sizes = np.frombuffer(row["sizes"], "<i8")
-        joined = zlib.decompress(row["texts"])
+        joined = restore(row["texts"])
         ends = np.cumsum(sizes)
         order = np.argsort(ids, kind="stable")
         self.ids, self.known = ids[order], known[order]
@@ -195,7 +204,9 @@ def anchors(blocks: DataFrame, buckets: int, window: int = WINDOW, anchor: int =
         for batch in batches:
             for row in batch.to_pylist():
                 seen, times = Block(row).anchors(window, anchor)
-                homes = _homes(seen, buckets)
+                homes = _homes(_mix(seen), buckets)  # least hashes are small ones: mixed, they spread evenly
+                order = np.argsort(homes, kind="stable")
+                seen, times, homes = seen[order], times[order], homes[order]
                 yield _batch([(h, row["block"], seen[a:b].tobytes(), (times[a:b] > 1).tobytes()) for h, a, b in _slices(homes)], HASHES)
 
     return blocks.mapInArrow(find, HASHES)
@@ -253,7 +264,7 @@ def candidate_windows(blocks: DataFrame, recurring: DataFrame, buckets: int, win
                 for home, a, b in _slices(homes):
                     own = firsts[a:b]
                     columns = (hashes[own], checks[own], block.ids[docs[own]], docs[own].astype("<u4"), starts[own].astype("<u4"), size[a:b] > 1)
-                    out.append((home, row["block"], *(c.tobytes() for c in columns)))
+                    out.append((home, row["block"], columns[0].tobytes(), columns[1].tobytes(), *(squeeze(c.tobytes()) for c in columns[2:])))
                 yield _batch(out, FIRSTS)
 
     lists = recurring.groupBy("block").agg(F.collect_list("hashes").alias("recurring"))
@@ -269,6 +280,7 @@ def confirm(candidates: DataFrame) -> DataFrame:
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_key(batches, "bucket"):
+            rows = [r | {c: restore(r[c]) for c in ("docs", "rows", "starts", "again")} for r in rows]
             hashes, checks, docs, places, starts, again = (
                 np.concatenate([np.frombuffer(r[c], t) for r in rows])
                 for c, t in (("hashes", "u8"), ("checks", "u4"), ("docs", "i8"), ("rows", "u4"), ("starts", "u4"), ("again", bool))
@@ -289,7 +301,7 @@ def confirm(candidates: DataFrame) -> DataFrame:
                 end = at + len(row["again"])
                 own = at + np.flatnonzero(flags[0, at:end])
                 if len(own):
-                    out.append((row["block"], places[own].tobytes(), starts[own].tobytes(), flags[1, own].tobytes()))
+                    out.append((row["block"], *(squeeze(c.tobytes()) for c in (places[own], starts[own], flags[1, own]))))
                 at = end
             yield _batch(out, PLACES)
 
@@ -303,7 +315,7 @@ class Confirmed:
     """
 
     def __init__(self, block: Block, rows: list[dict], window: int, anchor: int):
-        columns = [np.concatenate([np.frombuffer(r[c], t) for r in rows] or [np.zeros(0, t)]) for c, t in (("rows", "u4"), ("starts", "u4"), ("kept", bool))]
+        columns = [np.concatenate([np.frombuffer(restore(r[c]), t) for r in rows] or [np.zeros(0, t)]) for c, t in (("rows", "u4"), ("starts", "u4"), ("kept", bool))]
         order = np.lexsort((columns[1], columns[0]))
         doc, start, first = (c[order] for c in columns)
         doc, start = doc.astype(np.int64), start.astype(np.int64)

@@ -6,7 +6,7 @@ import math
 
 from sluicegate import contract
 from workload import sqltext
-from workload.sqltext import COLUMNS, SALES, SALES_TEXT, fingerprint_of, scenario, uniform, unpivot
+from workload.sqltext import COLUMNS, SALES, SALES_TEXT, fingerprint_of, scenario, unpivot
 
 ORACLES: dict[str, str] = {}
 

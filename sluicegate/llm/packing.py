@@ -17,7 +17,7 @@ from sluicegate.llm.ranks import number_within
 
 CAPACITY = 4096
 EOS = 1
-CACHED_WORDS = 100_000
+CACHED_WORDS = 150_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
 # What the vocabulary file's own splitter takes as one piece, after lower-casing.
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")

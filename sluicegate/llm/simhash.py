@@ -23,6 +23,9 @@ LEAST_LEVELS, MOST_LEVELS = 3, 10
 SAMPLE, CANDIDATES = 4096, 32
 CELL = BITS + 1
 PAIRS = 1 << 21
+#: Members of a cell that one task compares with each other; a cell with more is split into blocks.
+MOST_MEMBERS = 16_384
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -100,15 +103,26 @@ def offsets(levels: int, radius: int = RADIUS) -> np.ndarray:
     return np.array([(0,) * levels, *sorted(forward)], dtype=np.int64)
 
 
-def to_shards(prints: DataFrame, points: list[tuple[int, int]], radius: int = RADIUS) -> DataFrame:
-    """cell, asks and fp: every fingerprint once as a member of its home shard, and as a query to those it overlaps."""
+def to_shards(prints: DataFrame, points: list[tuple[int, int]], radius: int = RADIUS, blocks: dict[int, int] | None = None, deal: str = "fp") -> DataFrame:
+    """cell, block, asks and the columns of ``prints``: every row once as a member of its home shard, and as a query to those it overlaps.
+
+    A cell that ``blocks`` names is that many shards: its members are dealt by a hash of ``deal``, go as
+    queries to the later blocks of their cell, and queries from elsewhere go to each block.
+    """
     around = offsets(len(points), radius)
     scale = np.array([CELL**i for i in range(len(points))], dtype=np.int64)
     widths = np.array([mask.bit_count() for mask, _ in points], dtype=np.int64)
+    split = np.array(sorted((blocks or {}).items()), dtype=np.int64).reshape(-1, 2)
+
+    def parts_of(cell: np.ndarray) -> np.ndarray:
+        if not len(split):
+            return np.ones(len(cell), dtype=np.int64)
+        at = np.minimum(np.searchsorted(split[:, 0], cell), len(split) - 1)
+        return np.where(split[at, 0] == cell, split[at, 1], 1)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole = batch.column("fp").to_numpy(zero_copy_only=False).view("u8")
+            whole, dealt = (batch.column(c).to_numpy(zero_copy_only=False).view("u8") for c in ("fp", deal))
             for at in range(0, len(whole), 4096):
                 fp = whole[at : at + 4096]
                 home = np.stack([np.bitwise_count((fp ^ np.uint64(p)) & np.uint64(m)).astype(np.int64) for m, p in points], axis=1)
@@ -116,9 +130,30 @@ def to_shards(prints: DataFrame, points: list[tuple[int, int]], radius: int = RA
                 inside = ((targets >= 0) & (targets <= widths)).all(axis=2)
                 row, which = np.nonzero(inside)
                 cell = (targets[row, which] * scale).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(which > 0), pa.array(fp[row].view("i8"))], ["cell", "asks", "fp"])
+                parts = parts_of(cell)
+                row, which, cell = (np.repeat(x, parts) for x in (row, which, cell))
+                block = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+                own = ((dealt[at : at + 4096][row] * SPREAD) >> np.uint64(32)).astype(np.int64) % np.repeat(parts, parts)
+                sent = (which > 0) | (block >= own)
+                asks = (which > 0) | (block > own)
+                carried = batch.slice(at, len(fp)).take(pa.array(row[sent]))
+                marks = [pa.array(cell[sent]), pa.array(block[sent]), pa.array(asks[sent])]
+                yield pa.RecordBatch.from_arrays([*marks, *carried.columns], ["cell", "block", "asks", *carried.schema.names])
+
+    carried = ", ".join(f"{c} {kind}" for c, kind in prints.dtypes)
+    return prints.mapInArrow(route, f"cell bigint, block bigint, asks boolean, {carried}")
+
+
+def vantage_points(prints: DataFrame, levels: int) -> list[tuple[int, int]]:
+    """Vantage points for the fingerprints in column fp, chosen on the first of them by hash."""
+    sample = prints.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
+    return choose_vantage_points(np.array([r["fp"] for r in sample], dtype="i8").view("u8"), levels)
+
 
-    return prints.mapInArrow(route, "cell bigint, asks boolean, fp bigint")
+def overfull(prints: DataFrame, points: list[tuple[int, int]], most: int = MOST_MEMBERS) -> dict[int, int]:
+    """The cells with more than ``most`` members, and into how many blocks each is split."""
+    members = to_shards(prints, points, 0).groupBy("cell").count().where(F.col("count") > most)
+    return {r["cell"]: -(-r["count"] // most) for r in members.collect()}
 
 
 def _grow(members: np.ndarray, radius: int) -> np.ndarray:
@@ -150,7 +185,7 @@ class _Shard:
     def __init__(self, radius: int):
         self.radius, self.cell, self.held, self.members, self.label = radius, None, [], None, None
 
-    def add(self, cell: int, asks: bool, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def add(self, cell: tuple[int, int], asks: bool, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if cell != self.cell:
             yield from self.close()
             self.cell = cell
@@ -187,9 +222,7 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     streams the queries in blocks. Within a shard a component is given as a tree, and a query is linked
     once to each component of members it is near, so dense groups do not turn into all their pairs.
     """
-    sample = prints.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
-    taken = np.array([r["fp"] for r in sample], dtype="i8").view("u8")
-    points = choose_vantage_points(taken, levels_for(prints.count()))
+    points = vantage_points(prints, levels_for(prints.count()))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = _Shard(radius)
@@ -199,16 +232,15 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a.view("i8")), pa.array(b.view("i8"))], ["a", "b"])
 
         for batch in batches:
-            cell = batch.column("cell").to_numpy(zero_copy_only=False)
-            asks = batch.column("asks").to_numpy(zero_copy_only=False)
+            cell, block, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "block", "asks"))
             fp = batch.column("fp").to_numpy(zero_copy_only=False).view("u8")
-            cuts = np.flatnonzero((cell[1:] != cell[:-1]) | (asks[1:] != asks[:-1])) + 1
+            cuts = np.flatnonzero((cell[1:] != cell[:-1]) | (block[1:] != block[:-1]) | (asks[1:] != asks[:-1])) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(cell)], strict=True):
                 if hi > lo:
-                    yield from told(shard.add(int(cell[lo]), bool(asks[lo]), fp[lo:hi]))
+                    yield from told(shard.add((int(cell[lo]), int(block[lo])), bool(asks[lo]), fp[lo:hi]))
         yield from told(shard.close())
 
-    dealt = to_shards(prints, points, radius).repartition("cell").sortWithinPartitions("cell", "asks")
+    dealt = to_shards(prints, points, radius).repartition("cell", "block").sortWithinPartitions("cell", "block", "asks")
     return dealt.mapInArrow(compare, "a bigint, b bigint")
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from itertools import combinations
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from sluicegate.llm import near_copies, simhash
+from sluicegate.llm import near_copies, quality, simhash
+from sluicegate.session import settle
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -69,3 +71,23 @@ def test_near_copies_take_odd_documents(llm, documents):
     kept = near_copies.keep_one(documents)
     assert kept.columns == documents.columns and kept.where("doc_id IS NULL").count() == 2
     assert {r[0] for r in kept.select("doc_id").collect()} == {None, 1, 3, 6, 8, 9, 10, 11}
+
+
+def test_the_near_copy_stage_keeps_what_all_pairs_keep(llm):
+    docs = llm.read.parquet(f"{SMALL}/documents.parquet")
+    for stage in (corpus_pipeline.keep_quality, corpus_pipeline.drop_exact_copies):
+        docs = settle(stage(llm, docs, SMALL))
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(llm, docs, SMALL).select("doc_id").collect()}
+    assert kept == kept_by_all_pairs([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_the_quality_stage_keeps_what_a_directly_fitted_model_accepts(llm):
+    docs, labels = (llm.read.parquet(f"{SMALL}/{t}.parquet").collect() for t in ("documents", "labels"))
+    learnt = lambda i: zlib.crc32(str(i).encode()) % 3 != 1
+    x = {r["doc_id"]: quality.features(r["text"]) for r in docs}
+    good = {r["doc_id"] for r in labels if r["quality"] == 1}
+    p, u = (np.array([x[i] for i in x if learnt(i) and (every or i in good)]) for every in (False, True))
+    model = quality.fit(p[np.lexsort(p.T)], u[np.lexsort(u.T)])
+    wanted = {i for i, v in x.items() if model.score(v[None])[0] >= 0.5}
+    kept = corpus_pipeline.keep_quality(llm, llm.read.parquet(f"{SMALL}/documents.parquet"), SMALL)
+    assert 0 < len(wanted) < len(x) and {r["doc_id"] for r in kept.collect()} == wanted

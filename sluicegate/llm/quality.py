@@ -186,7 +186,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             found = [features(t.as_py()).astype("<f8").tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("side"), pa.array(found, pa.binary())], ["side", "x"])
 
-    rows = body.join(F.broadcast(wanted), "key").select("side", "text").mapInArrow(measure, "side string, x binary").collect()
+    # One row of each sampled doc_id, the first by hash of its text, however many repeat it.
+    first_text = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one")
+    sampled = body.join(F.broadcast(wanted), "key").groupBy("side", "key").agg(first_text)
+    rows = sampled.select("side", "one.text").mapInArrow(measure, "side string, x binary").collect()
     sides = {s: [np.frombuffer(r["x"], "<f8") for r in rows if r["side"] == s] for s in "pu"}
     arrays = {s: np.array(x).reshape(-1, FEATURES) for s, x in sides.items()}
     # Rows arrive in any order; the fit must not depend on it.

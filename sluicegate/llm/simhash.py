@@ -214,15 +214,17 @@ class _Shard:
                 yield self.members[moved], self.members[self.label[moved]]
 
 
-def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+def links(prints: DataFrame, radius: int = RADIUS, most: int = MOST_MEMBERS) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp) that connect exactly those within ``radius``.
 
     Every pair within the radius meets in one shard: the tree of vantage points sends each fingerprint to
     its home shard, and to the shards that its ball overlaps. A shard holds its members (8 bytes each) and
     streams the queries in blocks. Within a shard a component is given as a tree, and a query is linked
-    once to each component of members it is near, so dense groups do not turn into all their pairs.
+    once to each component of members it is near, so dense groups do not turn into all their pairs. A cell
+    of more than ``most`` members is split into blocks that are shards of their own and meet as queries.
     """
     points = vantage_points(prints, levels_for(prints.count()))
+    blocks = overfull(prints, points, most)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = _Shard(radius)
@@ -240,7 +242,7 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
                     yield from told(shard.add((int(cell[lo]), int(block[lo])), bool(asks[lo]), fp[lo:hi]))
         yield from told(shard.close())
 
-    dealt = to_shards(prints, points, radius).repartition("cell", "block").sortWithinPartitions("cell", "block", "asks")
+    dealt = to_shards(prints, points, radius, blocks).repartition("cell", "block").sortWithinPartitions("cell", "block", "asks")
     return dealt.mapInArrow(compare, "a bigint, b bigint")
 
 

@@ -2,9 +2,27 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from sluicegate.llm import quality
+from sluicegate.llm import quality, simhash
+from sluicegate.llm.components import components
+
+
+def test_an_overfull_cell_is_shared_and_loses_no_link(llm):
+    rng = np.random.default_rng(3)
+    prints = {0}
+    for _ in range(400):  # one dense group a few bits wide
+        prints.add(sum(1 << int(b) for b in rng.choice(12, rng.integers(1, 5), replace=False)))
+    prints = sorted(prints)
+    df = llm.createDataFrame([(p,) for p in prints], "fp bigint").repartition(3)
+    points = simhash.vantage_points(df, 3)
+    blocks = simhash.overfull(df, points, 20)
+    members = simhash.to_shards(df, points, simhash.RADIUS, blocks).where("NOT asks").groupBy("cell", "block").count()
+    assert blocks and members.agg(F.sum("count")).first()[0] == len(prints) and members.agg(F.max("count")).first()[0] < 60
+    roots = {r["node"]: r["root"] for r in components(simhash.links(df, most=20)).collect()}
+    whole = {r["node"]: r["root"] for r in components(simhash.links(df)).collect()}
+    assert roots == whole and len(whole) > 200
 
 
 def test_rows_that_repeat_a_sampled_document_are_not_collected(llm, monkeypatch):

@@ -8,8 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicegate.llm import bpe, exact_index, neighbours, packing, phrases, quality, secrets, sharding, simhash, warc
+from sluicegate.llm import (
+    bpe,
+    exact_index,
+    fill_middle,
+    neighbours,
+    packing,
+    phrases,
+    quality,
+    secrets,
+    sharding,
+    simhash,
+    token_files,
+    warc,
+    whitening,
+)
 from sluicegate.llm.shipping import ready
+from sluicegate.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -85,3 +100,35 @@ def op8_neighbours(spark, sf_dir):
 @query
 def op10_quality(spark, sf_dir):
     return quality.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op11_token_files(spark, sf_dir):
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    manifest = token_files.write_tokens(read(spark, sf_dir, "documents"), vocabulary, token_files.token_folder(shared_dir(spark)))
+    found = token_files.read_tokens(spark, manifest)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op12_whitening(spark, sf_dir):
+    """``deviation`` is null where it passes a long's range; ``deviation_exact`` has it all the same."""
+    found = whitening.whiten(read(spark, sf_dir, "embeddings"))
+    exact = F.col("deviation")
+    return found.select(
+        "vec_id", "component", "n", exact.try_cast("bigint").alias("deviation"), "whitened", "explained", "identity_error", exact.alias("deviation_exact")
+    )
+
+
+@query
+def op13_fill_middle(spark, sf_dir):
+    found = fill_middle.fill_in_middle(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )

@@ -9,10 +9,11 @@ import numpy as np
 
 from sluicegate.llm.bpe import pack_varints, unpack_varints
 
-#: A lane's state lies in [LOW, LOW << 32); it gives and takes words of 32 bits.
-LOW = np.uint64(1 << 31)
+#: A lane's state lies in [LOW, LOW << 32), all of it exact as a double; it gives and takes words of 32 bits.
+LOW_BITS = 21
+LOW = np.uint64(1 << LOW_BITS)
 WORD = np.uint64(32)
-LANES, LANE_TOKENS = 1024, 64
+LANES, LANE_TOKENS = 4096, 64
 #: Steps between two checkpoints: all lanes' states, from which decoding can start.
 CHECKPOINT_STEPS = 128
 
@@ -29,6 +30,10 @@ class Table:
     def of_counts(cls, symbols: np.ndarray, counts: np.ndarray) -> Table:
         """Every symbol gets one slot, the others are dealt in proportion, the rest goes to the most frequent one."""
         bits = max(12, len(symbols).bit_length() + 4)
+        if bits > LOW_BITS:
+            bits = max(LOW_BITS, len(symbols).bit_length())
+        if bits > LOW_BITS:
+            raise ValueError(f"more than {1 << LOW_BITS} distinct ids share a table")
         spare, total = (1 << bits) - len(symbols), int(counts.sum())
         dealt = np.array([1 + c * spare // total for c in counts.tolist()], dtype=np.uint64)
         if len(dealt):
@@ -71,8 +76,9 @@ def encode(places: np.ndarray, table: Table) -> tuple[np.ndarray, np.ndarray, np
     n, lanes = len(places), lanes_for(len(places))
     steps = -(-n // lanes)
     own, first = table.frequencies[places], table.starts[places]
-    full = own << np.uint64(63 - table.bits)
+    full = own << np.uint64(LOW_BITS + 32 - table.bits)
     bits = np.uint64(table.bits)
+    divisor = own.astype(np.float64)
     state = np.full(lanes, LOW, dtype=np.uint64)
     out: list[np.ndarray] = []
     marks, given, words = [], [], 0
@@ -84,7 +90,8 @@ def encode(places: np.ndarray, table: Table) -> tuple[np.ndarray, np.ndarray, np
             out.append((x[over] & np.uint64(0xFFFFFFFF)).astype("<u4"))
             x[over] >>= WORD
             words += len(over)
-        quotient = x // f
+        # Both are below 2 ** 53, so the rounded quotient never reaches the next integer.
+        quotient = (x / divisor[at:end]).astype(np.uint64)
         x[:] = (quotient << bits) + (x - quotient * f) + first[at:end]
         if step % CHECKPOINT_STEPS == 0:
             marks.append(state.copy())

@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyarrow import fs
@@ -31,11 +32,11 @@ from sluicegate.session import settle
 MAGIC, MARK = b"TOKRANS1", b"BLOK"
 #: mark, payload bytes, tokens, lanes, checkpoints, documents, directory bytes, crc32 of the payload, file's tokens before
 HEAD = struct.Struct("<4sQIIIIIIQ")
-BLOCK_TOKENS, FILE_TOKENS, SPLIT_BLOCKS = 1 << 18, 1 << 24, 8
+BLOCK_TOKENS, FILE_TOKENS, SPLIT_BLOCKS = 1 << 20, 1 << 24, 2
 #: Text of one writing task, and of the documents that are split into words together.
-PART_BYTES, GROUP_BYTES = 32 << 20, 4 << 20
+PART_BYTES, GROUP_BYTES = 32 << 20, 16 << 20
 MANIFEST = "part int, file int, path string, block int, at bigint, tokens bigint, documents bigint"
-READ = "doc_id bigint, part int, file int, place bigint, n_tokens bigint, ids binary"
+READ = "doc_id bigint, start bigint, n_tokens bigint, ids binary"
 # What byte-level files split texts by.
 SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # The same for ASCII texts, for the faster of two engines.
@@ -44,6 +45,12 @@ ASCII_SPLITTER = r" ?[A-Za-z]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\sA-Za-z0-9]+|\
 SETTLED = re.compile("[\t-\r -~¡-ȳͰ-ώА-ԏ‐-‧‰-⁞ぁ-んァ-ヺ一-龥가-힣]*")
 
 
+# White space before a space: such texts are split by the pattern itself.
+SPACES = re.compile("[\t-\r ] ")
+# The letter that byte-level files write a space with.
+SPACE = "\u0120"
+
+
 class ByteTokenizer:
     """Ids of texts by a byte-level BPE ``tokenizers`` file, each distinct pre-token of a group of texts once.
 
@@ -69,37 +76,51 @@ class ByteTokenizer:
     def _simple(self, text: str) -> bool:
         return self.plain and not any(a in text for a in self.added) and SETTLED.fullmatch(text) is not None
 
+    def _ids(self, text: str, known: dict[str, list[int]]) -> list[int]:
+        """The ids of a simple text, pre-token by pre-token."""
+        out: list[int] = []
+        for own in self.find_ascii(text) if text.isascii() else self.find(text):
+            ids = known.get(own)
+            if ids is None:
+                mapped = own.encode().decode("latin-1").translate(self.letters)
+                ids = known[own] = [t.id for t in self.whole.model.tokenize(mapped)]
+            out += ids
+        return out
+
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one text after the other, and the number of each."""
-        index: dict[str, int] = {}
-        codes: list[int] = []
-        counts = np.zeros(len(texts), dtype=np.int64)
-        odd = []
-        for i, text in enumerate(texts):
-            if not self._simple(text):
-                # A text with others is a word of its own, behind a mark that no pre-token begins with.
-                odd.append(text)
-                found = [f"\0{len(odd) - 1}"]
-            else:
-                found = self.find_ascii(text) if text.isascii() else self.find(text)
-            counts[i] = len(found)
-            codes.extend([index.setdefault(w, len(index)) for w in found])
-        model, letters = self.whole.model.tokenize, self.letters
-        whole = iter([e.ids for e in self.whole.encode_batch_fast(odd, add_special_tokens=False)])
+        """The ids of all texts, one text after the other, and the number of each.
+
+        A space behind anything but white space begins a pre-token, so simple texts are cut before each, and each
+        distinct part is encoded once; the first part of a text has no space. Texts with other spaces are taken
+        pre-token by pre-token.
+        """
+        simple = [self._simple(t) for t in texts]
+        cut = [ok and SPACES.search(t) is None for ok, t in zip(simple, texts, strict=True)]
+        split = pc.split_pattern(pa.array([t if ok else "" for ok, t in zip(cut, texts, strict=True)], pa.large_string()), " ")
+        offsets = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        code = coded.indices.to_numpy().astype(np.int64)
+        words = coded.dictionary.to_pylist()
+        model, letters, known = self.whole.model.tokenize, self.letters, {}
+        whole = iter([e.ids for e in self.whole.encode_batch_fast([t for ok, t in zip(simple, texts, strict=True) if not ok], add_special_tokens=False)])
         flat: list[int] = []
-        sizes = np.empty(len(index), dtype=np.int64)
-        for i, word in enumerate(index):
-            if word[0] == "\0" and word[1:]:
-                ids = next(whole)
+        ends: list[int] = []
+        for word in words:
+            if word.isalpha():
+                mapped = word if word.isascii() else word.encode().decode("latin-1").translate(letters)
+                flat += [t.id for t in model(SPACE + mapped)]
             else:
-                ids = [t.id for t in model(word.encode().decode("latin-1").translate(letters))]
-            flat += ids
-            sizes[i] = len(ids)
-        code = np.array(codes, dtype=np.int64)
-        lengths = sizes[code]
-        ids = np.array(flat, dtype="<u4")[ragged((np.cumsum(sizes) - sizes)[code], lengths)]
-        ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(counts)))]
-        return ids, np.diff(ends)
+                flat += self._ids(" " + word, known)
+            ends.append(len(flat))
+        # The first part of every text, by itself.
+        code[offsets[:-1]] = np.arange(len(texts)) + len(words)
+        for i, text in enumerate(texts):
+            flat += self._ids(text.partition(" ")[0] if cut[i] else text, known) if simple[i] else next(whole)
+            ends.append(len(flat))
+        firsts = np.array([0, *ends], dtype=np.int64)
+        lengths = np.diff(firsts)[code]
+        ids = np.array(flat, dtype="<u4")[ragged(firsts[code], lengths)]
+        return ids, np.diff(np.concatenate(([0], np.cumsum(lengths)))[offsets])
 
 
 @lru_cache(maxsize=1)
@@ -320,8 +341,9 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, split_blocks: int = SP
     """
     split = F.floor(F.col("block") / split_blocks)
     splits = manifest.groupBy("path", "part", "file", split.alias("split")).agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("blocks"))
+    placed = splits.join(file_starts(manifest), ["part", "file"])
     count = splits.count()
-    spread = splits.repartition(max(1, -(-count // 4)), "path", "split")
+    spread = placed.repartition(max(1, -(-count // 4)), "path", "split").select("path", "at", "blocks", "first")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,16 +352,14 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, split_blocks: int = SP
                 out, held = [], 0
                 with store.open_input_file(path) as source:
                     for key, place, ids in _File(source).documents(row["at"], row["blocks"]):
-                        out.append((key, row["part"], row["file"], place, len(ids), ids.tobytes()))
+                        out.append((key, row["first"] + place, len(ids), ids.tobytes()))
                         held += 4 * len(ids) + 64
                         if held > 4 << 20:
                             yield _table(out, READ)
                             out, held = [], 0
                 yield _table(out, READ)
 
-    # A file has at most one row of starts, and the join is left to the planner.
-    found = spread.mapInArrow(scan, READ).join(file_starts(manifest), ["part", "file"])
-    return found.select("doc_id", (F.col("first") + F.col("place")).alias("start"), "n_tokens", "ids")
+    return spread.mapInArrow(scan, READ)
 
 
 def token_folder(folder: str) -> str:

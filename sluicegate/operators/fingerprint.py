@@ -13,15 +13,36 @@ from sluicegate.functions.hashing import LANES, lane, row_text
 
 _DIGEST = "__digest"
 _HALF = 30
+_PART, _PARTS = 20, 3
 
 
 def lane_sums() -> list[Column]:
-    """Aggregates for a table that carries a row digest; decimals, so no row count overflows them."""
-    return [F.sum(lane(F.col(_DIGEST), i).cast("decimal(20,0)")).alias(f"lane_{i}") for i in range(LANES)]
+    """Aggregates for a table that carries a row digest: each lane in parts, which add up in plain longs.
+
+    Parts of 20 bits overflow no long below 2 ** 43 rows, and beyond that the sum is an error.
+    """
+    mask = F.lit(2**_PART - 1)
+    return [
+        F.sum(F.shiftright(lane(F.col(_DIGEST), i), _PART * part).bitwiseAND(mask)).alias(f"lane_{i}_{part}")
+        for i in range(LANES)
+        for part in range(_PARTS)
+    ]
+
+
+def lane_totals() -> list[Column]:
+    """The lanes' sums as decimals, from the columns of :func:`lane_sums`."""
+    out = []
+    for i in range(LANES):
+        parts = [F.coalesce(F.col(f"lane_{i}_{part}"), F.lit(0)).cast("decimal(20,0)") for part in range(_PARTS)]
+        whole = sum((p * F.lit(2 ** (_PART * n)).cast("decimal(13,0)") for n, p in enumerate(parts[1:], 1)), parts[0])
+        out.append(whole.cast("decimal(38,0)").alias(f"lane_{i}"))
+    return out
 
 
-def combine(n_rows: Column) -> Column:
-    parts = [F.coalesce(F.col(f"lane_{i}").cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")) for i in range(LANES)]
+def combine(n_rows: Column, lanes: list[Column] | None = None) -> Column:
+    """The table's hash from its row count and the lanes' sums (by default the columns ``lane_0`` and on)."""
+    found = [F.col(f"lane_{i}") for i in range(LANES)] if lanes is None else lanes
+    parts = [F.coalesce(c.cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")) for c in found]
     return F.sha2(F.concat_ws("~", n_rows.cast("string"), *[p.cast("string") for p in parts]), 256)
 
 

@@ -174,8 +174,8 @@ def failure_cases(df: DataFrame, rules: list[Rule], key: list[str]) -> DataFrame
     """One row per broken rule and data row: key, rule, column_name, check_name, failure_case."""
     present, _ = _split_by_presence(df, rules)
     cases = ", ".join(
-        f"CASE WHEN {r.violation} THEN named_struct('rule', '{r.name}', 'column_name', '{r.column}', "
-        f"'check_name', '{r.check}', 'failure_case', cast(`{r.column}` AS string)) END"
+        f"CASE WHEN {r.violation} THEN named_struct('rule', {literal(r.name)}, 'column_name', {literal(r.column)}, "
+        f"'check_name', {literal(r.check)}, 'failure_case', cast({quoted(r.column)} AS string)) END"
         for r in present
     )
     return df.select(*key, F.expr(f"inline(array_compact(array({cases})))"))

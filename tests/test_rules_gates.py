@@ -128,3 +128,10 @@ def test_readiness_treats_an_absent_gate_as_passed(spark):
     out = {r["run"]: r for r in gates.deployment_readiness(runs, data, model, ["run"]).collect()}
     assert [out[k]["status"] for k in "abc"] == ["REJECTED", "APPROVED", "APPROVED"]
     assert out["a"]["blocking_reasons"] == "data validation failed; model gate failed: r2"
+
+
+def test_failure_cases_of_quoted_names(spark):
+    name = "it's `x` \\"
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id int, x string").withColumnRenamed("x", name)
+    found = rules.failure_cases(df, [rules.not_null(name), rules.one_of(name, ["b"])], ["id"]).collect()
+    assert {(r["id"], r["column_name"], r["check_name"], r["failure_case"]) for r in found} == {(1, name, "one_of", "a"), (2, name, "not_null", None)}

@@ -313,7 +313,11 @@ def summary(x: str = "", lead: str = "") -> str:
 
 
 DECISION = """round(drift_share, 6) AS drift_share, drifted_columns, drift_share >= 0.3::DOUBLE AS dataset_drift"""
-DECIDED = """critical_drifted, CASE WHEN drift_share <= 0.2::DOUBLE AND critical_drifted = '' THEN 'CONTINUE' WHEN drift_share <= 0.5::DOUBLE THEN 'INVESTIGATE' ELSE 'RETRAIN_REQUIRED' END AS decision"""
+DECIDED = """critical_drifted, CASE WHEN drift_share <= 0.2::DOUBLE AND critical_drifted = '' THEN 'CONTINUE' WHEN drift_share <= 0.5::DOUBLE THEN 'INVESTIGATE' ELSE 'RETRAIN_REQUIRED' END AS decision,
+  CASE WHEN drift_share <= 0.2::DOUBLE AND critical_drifted = '' THEN printf('%.1f%% of columns drifted, at most 20%%', drift_share * 100)
+    WHEN drift_share <= 0.2::DOUBLE THEN concat('critical columns drifted: ', replace(critical_drifted, ',', ', '))
+    WHEN drift_share <= 0.5::DOUBLE THEN printf('%.1f%% of columns drifted, above 20%% and at most 50%%', drift_share * 100)
+    ELSE printf('%.1f%% of columns drifted, above 50%%', drift_share * 100) END AS reason"""
 SEVERE = f"{current('severe_drift')}, {by_column('severe_drift')}"
 ORACLES["drift_summary"] = f"{SEVERE} SELECT n_columns, n_drifted, {DECISION} FROM ({summary()})"
 ORACLES["drift_decision"] = f"{SEVERE} SELECT n_columns, n_drifted, {DECISION}, {DECIDED} FROM ({summary()})"
@@ -338,7 +342,7 @@ ORACLES["retrain_requests"] = f"""{DRIFT_MATRIX} SELECT scenario, drift_share, d
 # --- features ---
 
 PARTS = f"""{BAD}, tr AS (SELECT * FROM data_quality_failure WHERE {split_case()} = 'train'),
-te AS (SELECT * FROM data_quality_failure WHERE {split_case()} = 'test')"""
+pt AS (SELECT {split_case()} AS split, * FROM data_quality_failure WHERE {split_case()} IS NOT NULL)"""
 NUMERIC = contract.NUMERIC_FEATURES
 VOCABULARY = "voc AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, cast(v AS varchar) AS category, cast(row_number() OVER (ORDER BY v) AS integer) AS code FROM (SELECT DISTINCT {c} AS v FROM tr WHERE {c} IS NOT NULL)"
@@ -349,21 +353,21 @@ ORACLES["fit_categories"] = f"{PARTS}, {VOCABULARY} SELECT * FROM voc"
 ORACLES["fit_medians"] = f"{PARTS}, {MEDIANS} " + " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, round({c}, 9) AS median FROM med" for c in NUMERIC
 )
-ORACLES["impute"] = f"{PARTS}, {MEDIANS} SELECT row_key, copy_no, " + ", ".join(
-    f"round(coalesce(te.{c}::DOUBLE, med.{c}), 9) AS {c}" for c in NUMERIC
-) + " FROM te, med"
+ORACLES["impute"] = f"{PARTS}, {MEDIANS} SELECT split, row_key, copy_no, " + ", ".join(
+    f"round(coalesce(pt.{c}::DOUBLE, med.{c}), 9) AS {c}" for c in NUMERIC
+) + " FROM pt, med"
 
 
 def code(c: str, t: str) -> str:
     return f"coalesce((SELECT any_value(code) FROM voc WHERE column_name = '{c}' AND category = cast({t}.{c} AS varchar)), 0)"
 
 
-ORACLES["encode"] = f"{PARTS}, {VOCABULARY} SELECT row_key, copy_no, " + ", ".join(f"{code(c, 'te')} AS {c}" for c in CATEGORICAL) + " FROM te"
+ORACLES["encode"] = f"{PARTS}, {VOCABULARY} SELECT split, row_key, copy_no, " + ", ".join(f"{code(c, 'pt')} AS {c}" for c in CATEGORICAL) + " FROM pt"
 ORACLES["derive_features"] = f"""{KEYED} SELECT row_key, copy_no, round(price - competitor_price, 9) AS price_diff,
   round(price / (competitor_price + 1e-5::DOUBLE), 9) AS price_ratio FROM keyed"""
 FILLED = ", ".join(f"coalesce({c}::DOUBLE, (SELECT {c} FROM med)) AS {c}" for c in NUMERIC)
-ORACLES["feature_matrix"] = f"""{PARTS}, {VOCABULARY}, {MEDIANS}, b AS (SELECT 'train' AS split, * FROM tr UNION ALL SELECT 'test', * FROM te),
-f AS (SELECT split, {', '.join(f'{code(c, "b")} AS {c}' for c in CATEGORICAL)}, {FILLED}, coalesce(sales_demand, 0.0) AS sales_demand FROM b)
+ORACLES["feature_matrix"] = f"""{PARTS}, {VOCABULARY}, {MEDIANS},
+f AS (SELECT split, {', '.join(f'{code(c, "pt")} AS {c}' for c in CATEGORICAL)}, {FILLED}, coalesce(sales_demand, 0.0) AS sales_demand FROM pt)
 SELECT split, count(*) AS n_rows, {', '.join(f'round(avg({c}), 5) AS {c}' for c in CATEGORICAL + NUMERIC + ['sales_demand'])},
   round(avg(price - competitor_price), 5) AS price_diff, round(avg(price / (competitor_price + 1e-5::DOUBLE)), 5) AS price_ratio FROM f GROUP BY split"""
 
@@ -574,3 +578,28 @@ ORACLES["run_experiments"] = f"""SELECT v.variant, v.pipeline, s.seed::INTEGER A
 FROM (VALUES {', '.join(f"('{name}', '{kind}')" for name, kind, _ in contract.RUN_VARIANTS)}) AS v(variant, pipeline),
   (VALUES {', '.join(f"({seed})" for seed in contract.RUN_SEEDS)}) AS s(seed),
   (VALUES ('mae'), ('rmse'), ('r2'), ('mape'), ('validation_mae'), ('validation_rmse'), ('validation_r2'), ('validation_mape')) AS m(metric)"""
+
+POINTS = ", ".join(f"{i / 32!r}" for i in range(33))
+NUMBERS = f"""WITH e AS (SELECT ts, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, hour(ts)::DOUBLE AS hour, user_id::DOUBLE AS "user" FROM events),
+v AS ({unpivot('e', ['value', 'k', 'hour', '"user"'], 'ts').replace("""'"user"'""", "'user'")}), r AS (SELECT feature, value FROM v WHERE ts < TIMESTAMP '2024-01-10'),
+q AS (SELECT feature, list_sort(list_distinct(quantile_cont(value, [{POINTS}]))) AS cuts, stddev_pop(value) AS spread, count(*) AS nr FROM r GROUP BY feature),
+rb AS (SELECT feature, len(list_filter(cuts, lambda c: c < value)) AS b, count(*) AS n, sum(value) AS t FROM r JOIN q USING (feature) GROUP BY 1, 2),
+wb AS (SELECT date_trunc('day', ts) AS w, feature, len(list_filter(cuts, lambda c: c < value)) AS b, count(*) AS n, sum(value) AS t FROM v JOIN q USING (feature) GROUP BY 1, 2, 3),
+bins AS (SELECT feature, b, CASE WHEN b > 0 THEN cuts[b] END AS lo, CASE WHEN b < len(cuts) THEN cuts[b + 1] END AS hi, spread, nr
+  FROM q, unnest(range(0, len(cuts) + 1)) AS x(b)),
+filled AS (SELECT g.w, bins.*, coalesce(rb.n, 0) AS rn, coalesce(rb.t, 0.0) AS rt, coalesce(wb.n, 0) AS n, coalesce(wb.t, 0.0) AS t
+  FROM (SELECT DISTINCT w, feature FROM wb) g JOIN bins ON g.feature = bins.feature
+  LEFT JOIN rb ON rb.feature = bins.feature AND rb.b = bins.b LEFT JOIN wb ON wb.w = g.w AND wb.feature = bins.feature AND wb.b = bins.b),
+cum AS (SELECT *, sum(n) OVER p AS m, sum(n) OVER o / (sum(n) OVER p)::DOUBLE AS f, sum(rn) OVER o / nr::DOUBLE AS fr FROM filled
+  WINDOW p AS (PARTITION BY w, feature), o AS (PARTITION BY w, feature ORDER BY b ROWS UNBOUNDED PRECEDING)),
+parts AS (SELECT *, f - n / m::DOUBLE AS f0, fr - rn / nr::DOUBLE AS fr0, hi - lo AS width FROM cum),
+bounds AS (SELECT *, CASE WHEN lo IS NULL THEN f ELSE greatest(abs(fr - f0), abs(fr0 - f)) END AS inside,
+  CASE WHEN lo IS NULL THEN (n * hi - t) / m WHEN hi IS NULL THEN (t - n * lo) / m ELSE abs(width * (fr0 - f0) + (rn * hi - rt) / nr - (n * hi - t) / m) END AS area FROM parts),
+d AS (SELECT w, feature, max(m)::DOUBLE AS m, max(nr)::DOUBLE AS n, max(abs(fr - f)) AS ks, max(inside) AS inside, sum(area) AS area,
+  sum(CASE WHEN width IS NULL THEN area ELSE greatest(area, width * inside) END) AS high, greatest(max(spread), 0.001::DOUBLE) AS norm FROM bounds GROUP BY 1, 2)"""
+ORACLES["window_numeric_drift"] = f"""{NUMBERS} SELECT strftime(w, '%Y-%m-%d') AS window_start, feature, m::BIGINT AS n_cur, round(ks, 6) AS ks, round(greatest(ks, inside), 6) AS ks_high,
+  round({ks_p()}, 6) AS p_value, {ks_p()} < 0.05::DOUBLE AS ks_drifted, round(area / norm, 6) AS wasserstein, round(high / norm, 6) AS wasserstein_high,
+  area / norm >= 0.1::DOUBLE AS wasserstein_drifted FROM d"""
+EVENT_KINDS = {"event_id": "bigint", "ts": "timestamp", "user_id": "bigint", "event_type": "string", "value": "double", "props": "string"}
+ORACLES["window_fingerprint"] = f"""WITH e AS (SELECT date_trunc('day', ts) AS w, sha256({sqltext.row_text(EVENT_KINDS)}) AS h FROM events)
+SELECT strftime(w, '%Y-%m-%d') AS window_start, count(*) AS n_rows, {fingerprint_of('h')} AS fingerprint FROM e GROUP BY w"""

@@ -31,6 +31,7 @@ from sluicegate.sources import adapters, io, prediction_log
 from sluicegate.streaming import requests
 from sluicegate.streaming.monitor import category_windows, latest_windows, update_files, window_stats
 from sluicegate.streaming.monitor import window_drift as category_drift
+from sluicegate.streaming.numeric import binned_windows, fit_bins, numeric_window_drift, window_fingerprints
 from workload import tables
 from workload.tables import SCALE, sales, table
 
@@ -344,8 +345,7 @@ def drift_ztest(spark, sf_dir):
 
 def shown_summary(df):
     lists = {c: F.array_join(c, ",") for c in ("drifted_columns", "critical_drifted") if c in df.columns}
-    shown = df.withColumns(lists)
-    return rounded(shown.drop("reason") if "decision" in df.columns else shown)
+    return rounded(df.withColumns(lists))
 
 
 @query
@@ -385,9 +385,9 @@ def retrain_requests(spark, sf_dir):
 
 
 def faulty_parts(spark, sf_dir):
-    """Train and test rows of the faulty table, with row keys."""
-    split = by_date(keyed_requests(spark, sf_dir))
-    return [split.where(F.col("split") == name).drop("split") for name in ("train", "test")]
+    """The training rows of the faulty table, and those of all three parts with their ``split``, with row keys."""
+    split = by_date(keyed_requests(spark, sf_dir)).where(F.col("split").isNotNull())
+    return split.where(F.col("split") == "train").drop("split"), split
 
 
 @query
@@ -400,24 +400,19 @@ def fit_medians(spark, sf_dir):
     return rounded(features.fit_medians(faulty_parts(spark, sf_dir)[0], contract.NUMERIC_FEATURES), 9)
 
 
-def fitted(spark, sf_dir):
-    train, test = faulty_parts(spark, sf_dir)
-    return features.DemandFeatures().fit(train), train, test
-
-
 @query
 def impute(spark, sf_dir):
-    train, test = faulty_parts(spark, sf_dir)
+    train, parts = faulty_parts(spark, sf_dir)
     medians = {r["column_name"]: r["median"] for r in features.fit_medians(train, contract.NUMERIC_FEATURES).collect()}
-    return rounded(features.impute(test, medians).select("row_key", "copy_no", *contract.NUMERIC_FEATURES), 9)
+    return rounded(features.impute(parts, medians).select("split", "row_key", "copy_no", *contract.NUMERIC_FEATURES), 9)
 
 
 @query
 def encode(spark, sf_dir):
-    train, test = faulty_parts(spark, sf_dir)
+    train, parts = faulty_parts(spark, sf_dir)
     vocabulary = settle(features.fit_categories(train, contract.CATEGORICAL_FEATURES))
-    return features.encode(test, vocabulary, contract.CATEGORICAL_FEATURES).select(
-        "row_key", "copy_no", *contract.CATEGORICAL_FEATURES
+    return features.encode(parts, vocabulary, contract.CATEGORICAL_FEATURES).select(
+        "split", "row_key", "copy_no", *contract.CATEGORICAL_FEATURES
     )
 
 
@@ -428,9 +423,9 @@ def derive_features(spark, sf_dir):
 
 @query
 def feature_matrix(spark, sf_dir):
-    model, train, test = fitted(spark, sf_dir)
-    both = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
-    matrix = model.transform(both)
+    train, parts = faulty_parts(spark, sf_dir)
+    model = features.DemandFeatures().fit(train)
+    matrix = model.transform(parts)
     return rounded(
         matrix.groupBy("split").agg(
             F.count(F.lit(1)).alias("n_rows"), *[F.avg(c).alias(c) for c in [*model.feature_names, contract.TARGET]]
@@ -747,8 +742,8 @@ def score_batch(spark, sf_dir):
     return checked_predictions(scored.select("row_key", "store_id", "product_category", "prediction"), True)
 
 
-def logged(rows):
-    shown = rows.select("request_id", "model_version", "store_id", "product_category", "promotion_flag", "month", "prediction")
+def logged(rows, *more):
+    shown = rows.select("request_id", "model_version", "store_id", "product_category", "promotion_flag", "month", "prediction", *more)
     return checked_predictions(shown, False)
 
 
@@ -760,7 +755,7 @@ def score_log(spark, sf_dir):
     path = shared_dir(spark)
     prediction_log.append_predictions(rows, path)
     found = prediction_log.load_predictions(spark, path)
-    return logged(found).withColumn("timestamp", F.date_format(found["timestamp"], "yyyy-MM-dd"))
+    return logged(found, F.date_format("timestamp", "yyyy-MM-dd").alias("timestamp"))
 
 
 @query
@@ -815,3 +810,34 @@ def window_drift(spark, sf_dir):
     update_files(counts, path, shared_dir(spark)).awaitTermination()
     found = category_drift(latest_windows(spark, path, counts.schema, ["window_start", "category"]), reference)
     return rounded(found.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd")))
+
+
+def event_numbers(events):
+    """Numbers of each event: its value, the number in its properties, its hour and its user."""
+    return events.select(
+        "ts",
+        "value",
+        F.get_json_object("props", "$.k").cast("double").alias("k"),
+        F.hour("ts").cast("double").alias("hour"),
+        F.col("user_id").cast("double").alias("user"),
+    )
+
+
+@query
+def window_numeric_drift(spark, sf_dir):
+    before = table(spark, sf_dir, "events").where(F.col("ts") < F.to_timestamp(F.lit(ONSET)))
+    bins = fit_bins(event_numbers(before), ["value", "k", "hour", "user"])
+    states = binned_windows(event_numbers(tables.stream(spark, sf_dir, "events")), "ts", "1 day", bins, watermark="1 hour")
+    path = shared_dir(spark)
+    update_files(states, path, shared_dir(spark)).awaitTermination()
+    found = numeric_window_drift(latest_windows(spark, path, states.schema, ["window_start", "feature", "bin"]), bins)
+    return rounded(found.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd")))
+
+
+@query
+def window_fingerprint(spark, sf_dir):
+    hashes = window_fingerprints(tables.stream(spark, sf_dir, "events"), "ts", "1 day", "1 hour", SCALE)
+    path = shared_dir(spark)
+    update_files(hashes, path, shared_dir(spark)).awaitTermination()
+    found = latest_windows(spark, path, hashes.schema, ["window_start"])
+    return found.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))

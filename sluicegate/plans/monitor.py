@@ -2,34 +2,19 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluicegate.operators import drift, inject
+from sluicegate.operators import drift
 from sluicegate.session import settle
 
 
-def decide(by_column_parts: list[DataFrame], keep: list[str] | None = None) -> DataFrame:
-    """Summaries and decisions of several scenarios' per-column results."""
-    keys = keep or ["scenario"]
-    stacked = reduce(DataFrame.unionByName, by_column_parts)
-    return drift.drift_decision(drift.drift_summary(stacked, keys))
-
-
 def scenario_decisions(
     reference: DataFrame, current: DataFrame, scenarios: dict, float_scale: int | None = None
 ) -> DataFrame:
-    """Decisions for the current rows under each scenario. Both tables are read several times, so
-    give stored ones."""
-    parts = [
-        drift.drift_by_column(reference, inject.apply_scenario(current, settings, float_scale=float_scale)).withColumn(
-            "scenario", F.lit(name)
-        )
-        for name, settings in scenarios.items()
-    ]
-    return decide(parts)
+    """Decisions for the current rows under each scenario, from one counted table for all of them."""
+    by_column = drift.drift_by_scenario(reference, current, scenarios, float_scale=float_scale)
+    return drift.drift_decision(drift.drift_summary(by_column, ["scenario"]))
 
 
 def monitor(reference: DataFrame, current: DataFrame, scenario: str, features: dict | None = None, **tests) -> dict[str, DataFrame]:

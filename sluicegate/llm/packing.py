@@ -10,14 +10,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluicegate.llm.bpe import ragged
 from sluicegate.llm.ranks import number_within
 
 CAPACITY = 4096
 EOS = 1
-CACHED_WORDS = 150_000
+#: Text whose distinct words are encoded together; a batch that is longer is a group of its own.
+GROUP_BYTES = 12 << 20
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
 # What the vocabulary file's own splitter takes as one piece, after lower-casing.
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
@@ -25,29 +28,11 @@ WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 PLAIN = re.compile(r"[!-~¡-¬®-±´¶-¸»¿-įĲ-ňŊ-ž]*")
 
 
-class _Recent(dict):
-    """A cache of two generations: when the young one is full it becomes the old one."""
-
-    def __init__(self, make, limit: int):
-        super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 class WordTokenizer:
     """Ids of whole texts by a ``tokenizers`` file whose splitter never joins across white space.
 
-    Words repeat, so each is encoded once while it stays in a bounded cache. Words of letters that need no
-    composing are split here and given to the file's BPE model; all others go through the whole file.
+    Each distinct word of a group of texts is encoded once. Words of letters that need no composing are split here
+    and given to the file's BPE model; all others go through the whole file.
     """
 
     def __init__(self, path: str):
@@ -57,22 +42,35 @@ class WordTokenizer:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.letters = {bytes([b]).decode("latin-1"): c for b, c in _byte_letters().items()}
-        self.words = _Recent(self._word, CACHED_WORDS)
-        self.pieces = _Recent(self._piece, CACHED_WORDS)
 
-    def _piece(self, piece: str) -> bytes:
-        mapped = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode().decode("latin-1")))
-        return np.array([t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
-
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode()
-        if PLAIN.fullmatch(text) and "<|" not in text:
-            return b"".join(map(self.pieces.__getitem__, WORD.findall(text.lower())))
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def __call__(self, text: str | None) -> bytes:
-        """Little-endian unsigned 32-bit ids; none for a null or empty text."""
-        return b"".join(map(self.words.__getitem__, text.encode().split())) if text else b""
+    def _word(self, word: str, known: dict[str, list[int]]) -> list[int]:
+        if not PLAIN.fullmatch(word) or "<|" in word:
+            return self.whole.encode(word, add_special_tokens=False).ids
+        out: list[int] = []
+        for piece in WORD.findall(word.lower()):
+            ids = known.get(piece)
+            if ids is None:
+                mapped = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode().decode("latin-1")))
+                ids = known[piece] = [t.id for t in self.model.tokenize(mapped)]
+            out += ids
+        return out
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text after the other, and the number of each; none for null or empty texts."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+        offsets = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        code = coded.indices.to_numpy().astype(np.int64)
+        known: dict[str, list[int]] = {}
+        flat: list[int] = []
+        ends = [0]
+        for word in coded.dictionary.to_pylist():
+            flat += self._word(word, known)
+            ends.append(len(flat))
+        firsts = np.array(ends, dtype=np.int64)
+        lengths = np.diff(firsts)[code]
+        ids = np.array(flat, dtype="<u4")[ragged(firsts[code], lengths)]
+        return ids, np.diff(np.concatenate(([0], np.cumsum(lengths)))[offsets])
 
 
 def _byte_letters() -> dict[int, str]:
@@ -94,26 +92,38 @@ def pieces(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
     length, the last may be shorter. Null and empty texts are the single id ``eos``; null and repeated
     doc_ids are carried as they are, row by row. Other columns of ``docs`` are ignored.
     """
-    end = np.array([eos], dtype="<u4").tobytes()
+    last = np.array([eos], dtype="<u4")
 
     def told(out: list[tuple]) -> pa.RecordBatch:
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
         columns = zip(*out, strict=True) if out else [()] * len(kinds)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids"])
 
+    def encode(keys: list, texts: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+        ids, lengths = word_tokenizer(vocabulary)(pa.concat_arrays(texts))
+        ids, lengths = np.insert(ids, np.cumsum(lengths), last[0]), lengths + 1
+        ends = np.cumsum(lengths)
+        out: list[tuple] = []
+        for key, begin, end in zip(keys, (ends - lengths).tolist(), ends.tolist(), strict=True):
+            for piece, at in enumerate(range(begin, end, capacity)):
+                own = ids[at : min(end, at + capacity)]
+                out.append((key, piece, at - begin, len(own), own.tobytes()))
+            if len(out) > 500:
+                yield told(out)
+                out = []
+        yield told(out)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = word_tokenizer(vocabulary)
+        keys, texts, held = [], [], 0
         for batch in batches:
-            out: list[tuple] = []
-            for key, value in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                ids = tokens(value.as_py()) + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at : at + 4 * capacity]
-                    out.append((key.as_py(), piece, at // 4, len(own) // 4, own))
-                if len(out) > 500:
-                    yield told(out)
-                    out = []
-            yield told(out)
+            keys += batch.column("doc_id").to_pylist()
+            texts.append(batch.column("text"))
+            held += batch.column("text").nbytes
+            if held >= GROUP_BYTES:
+                yield from encode(keys, texts)
+                keys, texts, held = [], [], 0
+        if keys:
+            yield from encode(keys, texts)
 
     slim = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return slim.mapInArrow(cut, PIECES)
@@ -173,8 +183,9 @@ def pack(sized: DataFrame, length: str = "length", capacity: int = CAPACITY) ->
     is null, below 1 or above ``capacity`` are an error.
     """
     spark = sized.sparkSession
-    ranked = number_within(sized, length, "length_rank")
-    counts = {r[0]: r[1] for r in ranked.groupBy(length).count().collect()}
+    carried = sized.select(F.col(length).cast("long").alias("own_length"), F.struct(*sized.columns).alias("given"))
+    ranked = number_within(carried, "own_length", "length_rank")
+    counts = {r[0]: r[1] for r in ranked.groupBy("own_length").count().collect()}
     if any(k is None or not 1 <= k <= capacity for k in counts):
         raise ValueError(f"lengths outside 1..{capacity}")
     runs: dict[int, list] = {}
@@ -184,14 +195,14 @@ def pack(sized: DataFrame, length: str = "length", capacity: int = CAPACITY) ->
         list(runs.items()),
         "plan_length int, runs array<struct<low: bigint, high: bigint, first: bigint, each: int, offset: int>>",
     )
-    joined = ranked.join(F.broadcast(plan), F.col(length) == F.col("plan_length"))
+    joined = ranked.join(F.broadcast(plan), F.col("own_length") == F.col("plan_length"))
     rank = F.col("length_rank")
     run = F.filter("runs", lambda r: (r["low"] <= rank) & (rank < r["high"]))[0]
     placed = joined.withColumn("run", run).withColumn("nth", rank - F.col("run.low"))
     return placed.select(
-        *sized.columns,
+        *[F.col("given")[c].alias(c) for c in sized.columns],
         (F.col("run.first") + F.floor(F.col("nth") / F.col("run.each"))).alias("sequence_id"),
-        (F.col("run.offset") + F.col("nth") % F.col("run.each") * F.col(length)).cast("bigint").alias("offset"),
+        (F.col("run.offset") + F.col("nth") % F.col("run.each") * F.col("own_length")).cast("bigint").alias("offset"),
     )
 
 

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -82,12 +83,13 @@ def test_pieces_equal_the_library(documents, rows):
     assert Counter((*r[:4], bytes(r[4])) for r in found) == wanted
 
 
-def test_caches_forget_and_stay_right():
-    small = packing.WordTokenizer(WORD_FILE)
-    small.words.limit = small.pieces.limit = 3
+def test_groups_of_words_equal_the_library():
     library = Tokenizer.from_file(WORD_FILE)
-    text = "One two, three's four! FIVE_six Äpfel naïve ﬁx 12 <|endoftext|> é٣ " * 3
-    assert np.frombuffer(small(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    text = "One two, three's four! FIVE_six Äpfel naïve ﬁx 12 <|endoftext|> é٣ "
+    texts = [text * 3, None, "", " \t", "two", text]
+    ids, lengths = packing.WordTokenizer(WORD_FILE)(pa.array(texts))
+    wanted = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert lengths.tolist() == [len(w) for w in wanted] and ids.tolist() == [i for w in wanted for i in w]
 
 
 def best_fit_decreasing(lengths, capacity):
@@ -114,6 +116,14 @@ def test_planning_on_counts_is_best_fit(llm):
         assert placed["sequence_id"].nunique() == best_fit_decreasing(lengths, capacity)
 
 
+def test_packing_keeps_columns_of_any_name(llm):
+    names = ["run", "nth", "runs", "length_rank", "plan_length", "own_length", "given", "rank_part", "rank_local", "low"]
+    sized = llm.range(50).select("id", (F.col("id") % 9 + 1).alias("length"), *[F.concat(F.lit(n), F.col("id")).alias(n) for n in names])
+    placed = packing.pack(sized, capacity=10)
+    assert placed.columns == [*sized.columns, "sequence_id", "offset"]
+    assert Counter(tuple(r)[:-2] for r in placed.collect()) == Counter(tuple(r) for r in sized.collect())
+
+
 def test_packing_of_nothing_and_of_wrong_lengths(llm):
     empty = llm.createDataFrame([], "id bigint, length bigint")
     assert packing.pack(empty).count() == 0

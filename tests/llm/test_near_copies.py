@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sluicegate.llm import near_copies, quality, simhash
@@ -57,15 +58,67 @@ def edited_texts():
     return [(i, " ".join(t)) for i, t in enumerate(texts)] + [(900, " ".join(texts[0]).upper()), (901, ""), (902, None), (903, " ".join(texts[-2]))]
 
 
-@pytest.mark.parametrize("most", [simhash.MOST_MEMBERS, 5])
+@pytest.mark.parametrize("most", [near_copies.MOST, 5])
 def test_near_copies_are_those_of_all_pairs(llm, monkeypatch, most):
     rows = edited_texts()
-    monkeypatch.setattr(simhash.overfull, "__defaults__", (most,))
+    monkeypatch.setattr(near_copies.links, "__defaults__", (most,))
     df = llm.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     kept = corpus_pipeline.drop_near_copies(llm, df, SMALL)
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == kept_by_all_pairs(rows)
 
 
+def varied(n, length, edits, seed=1):
+    """Texts of one base, each with some random edits."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in rng.integers(0, 5000, length)]
+    out = []
+    for i in range(n):
+        own = list(base)
+        for at in rng.choice(length, edits, replace=False):
+            own[at] = f"x{rng.integers(10**9)}"
+        out.append((i, " ".join(own)))
+    return out
+
+
+def linked(llm, rows):
+    body = llm.createDataFrame(rows, "doc_id bigint, text string").repartition(4).withColumn("at", F.md5("text"))
+    nodes = settle(near_copies.described(body).select(F.col("doc_id").alias("id"), "fp", "size", "sketch"))
+    return near_copies.links(nodes).count()
+
+
+@pytest.mark.parametrize("edits", [1, 6, 9])
+def test_links_grow_with_the_nodes_of_a_group(llm, edits):
+    """Dense groups give trees, and so do unlike neighbours that estimates do not tell apart, however many they are."""
+    found = [linked(llm, varied(n, 120, edits)) for n in (150, 600)]
+    assert found[1] <= 2 * 600 and (edits > 1 or found[1] >= 599)
+
+
+def test_recall_against_all_pairs(llm):
+    """Pairs at 0.8 or more of texts with few edits: nearly all are judged alike, and hardly one well below."""
+    right = wrong = pairs = far = 0
+    rng = np.random.default_rng(2)
+    for seed in range(400):
+        length = int(rng.integers(12, 400))
+        (_, a), (_, b) = varied(2, length, int(rng.integers(0, max(2, length // 40) + 1)), seed)
+        x, y = five_words(a), five_words(b)
+        j = len(x & y) / len(x | y)
+        one, two = near_copies.shingles(a), near_copies.shingles(b)
+        near = (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() <= near_copies.RADIUS
+        alike = near and near_copies.estimates(near_copies.sketch(one), near_copies.sketch(two)) >= near_copies.ESTIMATE
+        pairs, right = pairs + (j >= 0.8), right + (j >= 0.8 and alike)
+        far, wrong = far + (j < 0.7), wrong + (j < 0.7 and alike)
+    assert pairs > 100 and far > 50 and right >= 0.97 * pairs and wrong <= 0.02 * far
+
+
+def test_rows_that_share_a_doc_id_are_judged_by_their_text(llm):
+    (_, a), (_, b) = varied(2, 100, 1, 3)
+    (_, c), (_, d) = varied(2, 100, 1, 4)
+    df = llm.createDataFrame([(3, a), (5, b), (5, c), (9, d)], "doc_id bigint, text string")
+    df = df.withColumns({"at": F.lit("x"), "component_id": F.lit(1), "id": F.lit(2), "class": F.lit(3)})
+    kept = near_copies.keep_one(df)
+    assert kept.columns == df.columns and {(r["doc_id"], r["text"]) for r in kept.collect()} == {(3, a), (5, c)}
+
+
 def test_near_copies_take_odd_documents(llm, documents):
     assert near_copies.keep_one(documents.where("false")).count() == 0
     kept = near_copies.keep_one(documents)

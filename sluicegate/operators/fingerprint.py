@@ -92,7 +92,7 @@ def fingerprint(
 def file_fingerprints(spark, path: str, glob: str = "*") -> DataFrame:
     """SHA-256 of the bytes of every file below ``path``: (path, n_bytes, fingerprint).
 
-    Each file is read as one value, so none may exceed 2 GB; table folders hold smaller part files.
+    Each file is read as one value, so none may exceed 2 GB; ``manifest.file_digests`` takes files of any size.
     """
     files = (
         spark.read.format("binaryFile")

@@ -603,3 +603,13 @@ ORACLES["window_numeric_drift"] = f"""{NUMBERS} SELECT strftime(w, '%Y-%m-%d') A
 EVENT_KINDS = {"event_id": "bigint", "ts": "timestamp", "user_id": "bigint", "event_type": "string", "value": "double", "props": "string"}
 ORACLES["window_fingerprint"] = f"""WITH e AS (SELECT date_trunc('day', ts) AS w, sha256({sqltext.row_text(EVENT_KINDS)}) AS h FROM events)
 SELECT strftime(w, '%Y-%m-%d') AS window_start, count(*) AS n_rows, {fingerprint_of('h')} AS fingerprint FROM e GROUP BY w"""
+
+DIGESTED = f"sha256({SALES_TEXT})"
+ORACLES["verify_files"] = f"""{BAD}, old AS (SELECT concat('month=', month) AS folder, {DIGESTED} AS h FROM sales),
+new AS (SELECT * FROM old WHERE folder NOT IN ('month=3', 'month=12') UNION ALL SELECT 'month=3', {DIGESTED} FROM data_quality_failure WHERE month = 3),
+o AS (SELECT folder, {fingerprint_of('h')} AS f FROM old GROUP BY 1 UNION ALL SELECT '', {fingerprint_of('h')} FROM old),
+n AS (SELECT folder, {fingerprint_of('h')} AS f FROM new GROUP BY 1 UNION ALL SELECT '', {fingerprint_of('h')} FROM new)
+SELECT o.folder, CASE WHEN n.f IS NULL THEN 'missing' WHEN n.f = o.f THEN 'same' ELSE 'changed' END AS status, o.f AS expected, n.f AS actual
+FROM o LEFT JOIN n ON o.folder = n.folder"""
+ORACLES["file_digests"] = """WITH t AS (SELECT p_brand AS brand, string_agg(concat(p_partkey, ':', p_name, chr(10)), '' ORDER BY p_partkey) AS content FROM part GROUP BY 1)
+SELECT brand, strlen(content)::BIGINT AS n_bytes, sha256(content) AS fingerprint FROM t"""

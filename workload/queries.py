@@ -25,6 +25,7 @@ from sluicegate.operators import (
     splits,
 )
 from sluicegate.operators import fingerprint as fp
+from sluicegate.operators import manifest as files
 from sluicegate.plans import experiment, monitor, release
 from sluicegate.session import settle, shared_dir
 from sluicegate.sources import adapters, io, prediction_log
@@ -128,6 +129,34 @@ def verify_load(spark, sf_dir):
     return same.unionByName(other)
 
 
+def drop_folder(spark, path):
+    files = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files.getFileSystem(spark._jsc.hadoopConfiguration()).delete(files, True)
+
+
+@query
+def verify_files(spark, sf_dir):
+    """A table by month, whose March is written again with faults and whose December is lost: folders that differ."""
+    path, rows = shared_dir(spark), sales(spark, sf_dir)
+    rows.repartition("month").write.partitionBy("month").parquet(path)
+    before = settle(files.file_manifest(spark, path, contract.SALES_SCHEMA, float_scale=SCALE))
+    faulty(spark, sf_dir).where("month = 3").drop("month").write.mode("overwrite").parquet(f"{path}/month=3")
+    drop_folder(spark, f"{path}/month=12")
+    after = files.file_manifest(spark, path, contract.SALES_SCHEMA, before, float_scale=SCALE)
+    whole = files.compare_manifests(before.withColumn("folder", F.lit("")), after.withColumn("folder", F.lit("")))
+    return files.compare_manifests(before, after).unionByName(whole)
+
+
+@query
+def file_digests(spark, sf_dir):
+    """One text file per brand, with its parts in order."""
+    path = shared_dir(spark)
+    parts = table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.format_string("%d:%s", "p_partkey", "p_name").alias("value"))
+    parts.repartition("p_brand").sortWithinPartitions("p_brand", "p_partkey").select("p_brand", "value").write.partitionBy("p_brand").text(path)
+    brand = F.regexp_extract("path", "p_brand=([^/]*)/", 1)
+    return files.file_digests(spark, path, "*.txt", 1000).select(F.url_decode(brand).alias("brand"), "n_bytes", "fingerprint")
+
+
 @query
 def log_range(spark, sf_dir):
     log = prediction_log.in_range(table(spark, sf_dir, "events"), "ts", "2024-01-05", "2024-01-20 12:00:00")

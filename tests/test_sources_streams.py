@@ -92,6 +92,22 @@ def test_prediction_log(spark, tmp_path):
     assert prediction_log.load_predictions(spark, str(folder)).count() == 4
     ranged = prediction_log.load_predictions(spark, str(folder), "2024-01-02", "2024-01-03")
     assert ranged.count() == 3
+    (folder / "bad.json").write_text('{"request_id": "x", \n{"prediction": "no number"}\n\n{"request_id": "fine"}\n')
+    assert prediction_log.load_predictions(spark, str(folder)).count() == 5
+    bad = {r["line"] for r in prediction_log.corrupt_lines(spark, str(folder)).collect()}
+    assert bad == {'{"request_id": "x", ', '{"prediction": "no number"}'}
+
+
+def test_ranges_of_a_log_are_partition_filters(spark):
+    path = shared_dir(spark)
+    log = spark.range(96).select(F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 3600 + 0.000001).alias("ts"), F.col("id"))
+    prediction_log.append_log(log, path, "ts")
+    prediction_log.append_log(log.where("id = 1").withColumn("ts", F.lit(None).cast("timestamp")), path, "ts")
+    good, bad = prediction_log.read_log(spark, path, log.schema, "ts", "2024-01-02", "2024-01-03 05:00:00")
+    assert {tuple(r) for r in good.collect()} == {tuple(r) for r in log.where("id BETWEEN 24 AND 52").collect()} and bad.count() == 0
+    plan = good._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(log_day" in plan and "(log_day#" in plan
+    assert prediction_log.read_log(spark, path, log.schema, "ts")[0].count() == 97
 
 
 def test_stream_equals_batch(spark, sales):

@@ -141,6 +141,8 @@ SELECT 'reordered' AS dataset, expected, expected AS actual, true AS matches FRO
 UNION ALL SELECT 'faulty', expected, actual, expected = actual FROM p, q"""
 ORACLES["log_range"] = """SELECT event_id, user_id, event_type, value, cast(json_extract_string(props, '$.k') AS integer) AS k
 FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20 12:00:00'"""
+ORACLES["log_quarantine"] = """SELECT strftime(ts, '%Y-%m-%d') AS log_day, concat('{"event_id": ', event_id, ', broken') AS line
+FROM events WHERE event_id % 100 = 0 AND strftime(ts, '%Y-%m-%d') BETWEEN '2024-01-05' AND '2024-01-20'"""
 
 # --- fingerprints, profile, splits, adapters ---
 

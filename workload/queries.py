@@ -157,12 +157,32 @@ def file_digests(spark, sf_dir):
     return files.file_digests(spark, path, "*.txt", 1000).select(F.url_decode(brand).alias("brand"), "n_bytes", "fingerprint")
 
 
+def event_log(spark, sf_dir):
+    """The events as a log by day, with a broken line beside every hundredth; its path and the events' schema."""
+    events, path = table(spark, sf_dir, "events"), shared_dir(spark)
+    prediction_log.append_log(events, path, "ts")
+    broken = F.format_string('{"event_id": %d, broken', "event_id").alias("value")
+    some = events.where(F.col("event_id") % 100 == 0)
+    some.select(F.date_format("ts", "yyyy-MM-dd").alias(prediction_log.DAY), broken).write.mode("append").partitionBy(prediction_log.DAY).text(path)
+    return path, events.schema
+
+
+LOG_RANGE = ("2024-01-05", "2024-01-20 12:00:00")
+
+
 @query
 def log_range(spark, sf_dir):
-    log = prediction_log.in_range(table(spark, sf_dir, "events"), "ts", "2024-01-05", "2024-01-20 12:00:00")
+    path, schema = event_log(spark, sf_dir)
+    log, _ = prediction_log.read_log(spark, path, schema, "ts", *LOG_RANGE)
     return log.select("event_id", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
+@query
+def log_quarantine(spark, sf_dir):
+    path, schema = event_log(spark, sf_dir)
+    return prediction_log.read_log(spark, path, schema, "ts", *LOG_RANGE)[1]
+
+
 # --- fingerprints, profile, splits, adapters ---
 
 

@@ -615,3 +615,15 @@ SELECT o.folder, CASE WHEN n.f IS NULL THEN 'missing' WHEN n.f = o.f THEN 'same'
 FROM o LEFT JOIN n ON o.folder = n.folder"""
 ORACLES["file_digests"] = """WITH t AS (SELECT p_brand AS brand, string_agg(concat(p_partkey, ':', p_name, chr(10)), '' ORDER BY p_partkey) AS content FROM part GROUP BY 1)
 SELECT brand, strlen(content)::BIGINT AS n_bytes, sha256(content) AS fingerprint FROM t"""
+
+SHIFTED = NUMBERS.replace("WITH e AS (SELECT ts,", "WITH e0 AS (SELECT ts,", 1).replace(
+    " FROM events),",
+    """ FROM events), e AS (SELECT ts, CASE WHEN day(ts) >= 20 THEN value * 2 + 50 ELSE value END AS value, CASE WHEN day(ts) >= 25 THEN k + 1000 ELSE k END AS k,
+  hour, CASE WHEN day(ts) >= 20 THEN "user" + 100000 ELSE "user" END AS "user" FROM e0),""",
+    1,
+)
+ORACLES["retrain_trigger"] = f"""{SHIFTED}, s AS (SELECT w, count_if({ks_p()} < 0.05::DOUBLE) / count(*)::DOUBLE AS share,
+  string_agg(CASE WHEN {ks_p()} < 0.05::DOUBLE THEN feature END, ',' ORDER BY feature) AS drifted FROM d GROUP BY w)
+SELECT 'events' AS scenario, strftime(w, '%Y-%m-%d') AS window_start, share AS drift_share, drifted AS drifted_columns,
+  'drift above the acceptable share' AS reason, 'PENDING' AS status, false AS auto_trigger
+FROM s WHERE share > 0.5 AND w + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""

@@ -33,6 +33,7 @@ from sluicegate.streaming import requests
 from sluicegate.streaming.monitor import category_windows, latest_windows, update_files, window_stats
 from sluicegate.streaming.monitor import window_drift as category_drift
 from sluicegate.streaming.numeric import binned_windows, fit_bins, numeric_window_drift, window_fingerprints
+from sluicegate.streaming.retrain import read_requests, retrain_stream
 from workload import tables
 from workload.tables import SCALE, sales, table
 
@@ -883,6 +884,29 @@ def window_numeric_drift(spark, sf_dir):
     return rounded(found.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd")))
 
 
+def shifted_numbers(events):
+    """The numbers of events, of which values and users move on the 20th and properties on the 25th."""
+    day, numbers = F.dayofmonth("ts"), event_numbers(events)
+    return numbers.withColumns(
+        {
+            "value": F.when(day >= 20, F.col("value") * 2 + 50).otherwise(F.col("value")),
+            "user": F.when(day >= 20, F.col("user") + 100000).otherwise(F.col("user")),
+            "k": F.when(day >= 25, F.col("k") + 1000).otherwise(F.col("k")),
+        }
+    )
+
+
+@query
+def retrain_trigger(spark, sf_dir):
+    before = table(spark, sf_dir, "events").where(F.col("ts") < F.to_timestamp(F.lit(ONSET)))
+    bins = fit_bins(event_numbers(before), ["value", "k", "hour", "user"])
+    states = binned_windows(shifted_numbers(tables.stream(spark, sf_dir, "events")), "ts", "1 day", bins, watermark="1 hour")
+    path = shared_dir(spark)
+    retrain_stream(states, bins, "events", path, shared_dir(spark), critical=[]).awaitTermination()
+    found = read_requests(spark, path).drop("batch_no").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
+    return rounded(found.withColumn("drifted_columns", F.array_join("drifted_columns", ",")))
+
+
 @query
 def window_fingerprint(spark, sf_dir):
     hashes = window_fingerprints(tables.stream(spark, sf_dir, "events"), "ts", "1 day", "1 hour", SCALE)

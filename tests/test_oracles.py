@@ -1,34 +1,27 @@
-"""Every registered query against its oracle SQL. ``SLUICEGATE_ALL=1`` adds the slow ones."""
+"""Every registered query against its oracle SQL."""
 
 from __future__ import annotations
 
-import os
+import functools
 
 import pytest
 
 import __spark_entry__ as entry
+from workload import queries
 from workload.check import compare, oracle_connection
 from workload.oracles import ORACLES
 from workload.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
-SLOW = {
-    "scenario_gate_matrix",
-    "scenario_drift_matrix",
-    "retrain_requests",
-    "drift_confusion",
-    "drift_decision",
-    "drift_report",
-    "deployment_readiness",
-    "release_confusion",
-    "release_comparison",
-    "train_score",
-    "run_experiments",
-    "score_batch",
-    "score_log",
-    "stream_score",
-}
-NAMES = [n for n in QUERIES if os.environ.get("SLUICEGATE_ALL") or n not in SLOW]
+
+
+@pytest.fixture(scope="module", autouse=True)
+def one_fit():
+    """Queries that train on the same rows share one fit."""
+    real = queries.trained
+    queries.trained = functools.lru_cache(maxsize=1)(real)
+    yield
+    queries.trained = real
 
 
 @pytest.fixture(scope="module")
@@ -36,7 +29,7 @@ def oracle():
     return oracle_connection(SMALL)
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, oracle, name):
     if name in ORACLES:
         assert compare(spark, oracle, SMALL, QUERIES[name], ORACLES[name]) == ""

@@ -220,5 +220,7 @@ def test_queries_give_all_rows(llm, name):
     docs = llm.read.parquet(f"{SMALL}/documents.parquet").count()
     if name == "op8_neighbours":
         assert found.count() == 25 * 20
+    elif name == "op12_whitening":
+        assert found.count() == 8 * llm.read.parquet(f"{SMALL}/embeddings.parquet").count()
     else:
         assert found.select("doc_id").distinct().count() == docs

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from math import log
+from math import ceil, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluicegate.session import settle
+
 # Fixed patterns: kind, pattern, group whose length counts, least length.
 RULES = (
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -15,9 +17,10 @@ RULES = (
 )
 #: A maximal run of 24 or more is what is left of all runs once the shorter ones are dropped.
 FASTER = {"access": r"AKIA[A-Z0-9]{16,}+", "hex": r"[0-9a-f]{24,}+"}
-#: Strings that the models judge: runs of 16 or more characters with a letter and a digit.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{16,}+"
-IDENTIFIER = r"[A-Za-z0-9+/_=-]{6,}+"
+#: The models judge every run of these symbols outside the base spans; a run of one has no transition.
+RUN = "[A-Za-z0-9+/_=-]"
+#: Runs that may well be random though no rule has judged them: they are no ordinary ones at first.
+DOUBTFUL = r"(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z]).{16,}+"
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 SIZE = len(SYMBOLS) + 1
 #: Log-likelihood ratio in nats from which a string is taken for a random one.
@@ -27,8 +30,8 @@ BACKOFF = 20.0
 SPAN = "struct<start: int, rank: int, end: int, kind: string>"
 
 
-def matches(text: Column, pattern: str, group: int, least: int, kind: str, rank: int) -> Column:
-    """The spans of the leftmost non-overlapping matches, in code points, of which long enough ones stay.
+def matches(text: Column, pattern: str, group: int, kind: str, rank: int, wanted) -> Column:
+    """The spans of the leftmost non-overlapping matches, in code points, whose value ``wanted`` holds for.
 
     What lies between the matches and the matches themselves take turns in the text, so their lengths add
     up to the places.
@@ -42,7 +45,7 @@ def matches(text: Column, pattern: str, group: int, least: int, kind: str, rank:
         start = acc["at"] + F.length(turn["gap"])
         end = start + F.length(turn["hit"])
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"))
-        kept = F.when(F.length(turn["value"]) >= least, F.array(span)).otherwise(F.array().cast(f"array<{SPAN}>"))
+        kept = F.when(wanted(turn["value"]), F.array(span)).otherwise(F.array().cast(f"array<{SPAN}>"))
         return F.struct(end.alias("at"), F.concat(acc["out"], kept).alias("out"))
 
     turns = F.arrays_zip(F.slice(between, 1, F.size(hits)).alias("gap"), hits.alias("hit"), values.alias("value"))
@@ -53,21 +56,50 @@ def matches(text: Column, pattern: str, group: int, least: int, kind: str, rank:
 
 def with_base(docs: DataFrame, text: str) -> DataFrame:
     """Adds base: all spans of the rules by start, then kind."""
-    spans = [matches(F.col(text), FASTER.get(kind, pattern), group, least, kind, i) for i, (kind, pattern, group, least) in enumerate(RULES)]
+    spans = [
+        matches(F.col(text), FASTER.get(kind, pattern), group, kind, i, lambda value, least=least: F.length(value) >= least)
+        for i, (kind, pattern, group, least) in enumerate(RULES)
+    ]
     return docs.withColumn("base", F.array_sort(F.concat(*spans)))
 
 
+def masked(text: str, spans: str, mask: Column | None = None) -> Column:
+    """The text with ``mask`` for each span, or as many spaces as it has characters; spans that overlap are one."""
+    body = F.col(text)
+    state = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+
+    def step(acc: Column, span: Column) -> Column:
+        gap = F.substring(body, acc["at"] + 1, span["start"] - acc["at"])
+        put = mask if mask is not None else F.repeat(F.lit(" "), span["end"] - span["start"])
+        more = F.lit("") if mask is not None else F.repeat(F.lit(" "), span["end"] - acc["at"])
+        apart = span["start"] >= acc["at"]
+        out = F.when(apart, F.concat(acc["out"], gap, put)).otherwise(F.concat(acc["out"], more))
+        return F.struct(out.alias("out"), F.greatest(acc["at"], span["end"]).alias("at"))
+
+    rest = lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body)))
+    return F.when(F.size(spans) > 0, F.aggregate(spans, state, step, rest)).otherwise(body)
+
+
+def runs(bare: Column, least: int = 2) -> Column:
+    """The distinct runs of ``least`` or more symbols in a text without its base spans."""
+    return F.array_distinct(F.regexp_extract_all(bare, F.lit(f"{RUN}{{{least},}}+"), F.lit(0)))
+
+
 def labelled_samples(found: DataFrame) -> DataFrame:
-    """token and label from texts with their base spans: 1 for what the rules hold for secrets, 0 for other words.
+    """token, label and sure from texts with their base spans: label 1 for what the rules hold for secrets, 0 for other runs.
 
-    Strings that the models are to judge, and that no rule has judged, have no label and are in neither. Every text gives its samples; each distinct token counts once, copies first within each task.
+    Every text gives its samples; each distinct token counts once, and one that is both is a secret. Copies are
+    counted together in each task, and the tokens are stored once. ``sure`` tokens are secrets, and runs that are not
+    DOUBTFUL and stand in two rows or more: a random string seldom comes again.
     """
     inside = F.transform("base", lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]))
-    value = F.regexp_extract(F.col("token"), r"([A-Za-z0-9+/_.=-]+)$", 1)
-    secrets = found.where(F.size("base") > 0).select(F.explode(inside).alias("token")).select(value.alias("token")).distinct()
-    words = found.select(F.explode(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))).alias("token")).distinct()
-    ordinary = words.where(~F.col("token").rlike(CANDIDATE)).join(secrets, "token", "left_anti")
-    return secrets.withColumn("label", F.lit(1)).union(ordinary.withColumn("label", F.lit(0)))
+    secret = lambda s: F.struct(F.regexp_extract(s, r"([A-Za-z0-9+/_.=-]+)$", 1).alias("token"), F.lit(1).alias("label"))
+    other = lambda t: F.struct(t.alias("token"), F.lit(0).alias("label"))
+    bare = found.withColumn("bare", masked("text", "base"))
+    tokens = F.concat(F.transform(inside, secret), F.transform(runs(F.col("bare")), other))
+    counted = bare.select(F.inline(tokens)).groupBy("token").agg(F.max("label").alias("label"), F.count(F.lit(1)).alias("n_rows"))
+    sure = (F.col("label") == 1) | ((F.col("n_rows") > 1) & ~F.col("token").rlike(f"^{DOUBTFUL}$"))
+    return settle(counted.select("token", "label", sure.alias("sure")))
 
 
 def code(symbol: Column) -> Column:
@@ -118,19 +150,28 @@ def ratio(token: Column, model: list[float]) -> Column:
     return F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
 
 
+def least_length(model: list[float], threshold: float) -> int:
+    """Shorter runs cannot reach the threshold: no transition adds more than the largest of the model."""
+    most = max(model)
+    return max(2, 1 + ceil(threshold / most)) if threshold > 0 and most > 0 else 2
+
+
 def scan(docs: DataFrame, text: str = "text", model: list[float] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with base and spans (all spans: base ones, and ``markov`` ones that touch none of them).
+    """``docs`` with base and spans (all spans: base ones, and ``markov`` ones for random runs outside them).
 
-    ``text`` must not be null. Spans are [start, end) in code points. Without a model spans are the base ones.
+    The models judge every maximal run of identifier symbols that is left once base spans are cut out, whatever
+    its length or classes, each distinct run of a text once. ``text`` must not be null. Spans are [start, end)
+    in code points. Without a model spans are the base ones.
     """
     based = with_base(docs, text)
     if model is None:
         return based.withColumn("spans", F.col("base"))
-    possible = matches(F.col(text), CANDIDATE, 0, 16, "markov", len(RULES))
-    judged = F.filter("possible", lambda s: ratio(F.substring(F.col(text), s["start"] + 1, s["end"] - s["start"]), model) >= threshold)
-    apart = F.filter(judged, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    extra = F.when(F.size("possible") > 0, apart).otherwise(F.col("possible"))
-    return based.withColumn("possible", possible).withColumn("spans", F.array_sort(F.concat("base", extra))).drop("possible")
+    least = least_length(model, threshold)
+    bare = based.withColumn("bare", masked(text, "base"))
+    judged = bare.withColumn("random", F.filter(runs(F.col("bare"), least), lambda t: ratio(t, model) >= threshold))
+    placed = matches(F.col("bare"), f"{RUN}{{{least},}}+", 0, "markov", len(RULES), lambda run: F.array_contains("random", run))
+    extra = F.when(F.size("random") > 0, placed).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return judged.withColumn("spans", F.array_sort(F.concat("base", extra))).drop("bare", "random")
 
 
 def written(spans: str) -> Column:
@@ -143,9 +184,17 @@ def count_of(kind: str) -> Column:
 
 
 def fitted(docs: DataFrame, text: str = "text") -> list[float] | None:
-    """A model trained on all of ``docs``."""
+    """A model trained on all of ``docs``.
+
+    A first model learns from the sure samples; the other runs are ordinary ones if it takes them for that, and
+    the model learns from those, too. Where no run is sure, all that are not DOUBTFUL are ordinary.
+    """
     body = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return train(labelled_samples(with_base(body, "text")))
+    samples = labelled_samples(with_base(body, "text"))
+    first = train(samples.where("sure"))
+    if first is None:
+        return train(samples.where((F.col("label") == 1) | ~F.col("token").rlike(f"^{DOUBTFUL}$")))
+    return train(samples.where(F.col("sure") | (ratio(F.col("token"), first) < 0)))
 
 
 def secret_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -163,17 +212,6 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[secret]") -> DataF
     """``docs`` with every secret in ``text`` replaced by ``mask``; spans that overlap are one. Null stays null."""
     model = fitted(docs, text)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
-    state = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(acc: Column, span: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, span["start"] - acc["at"])
-        begun = F.concat(acc["out"], gap, F.lit(mask))
-        return F.struct(
-            F.when(span["start"] >= acc["at"], begun).otherwise(acc["out"]).alias("out"),
-            F.greatest(acc["at"], span["end"]).alias("at"),
-        )
-
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    clean = F.when(F.size("spans") > 0, F.aggregate("spans", state, step, rest)).otherwise(F.col(f"row.{text}"))
+    clean = F.when(F.size("spans") > 0, masked("text", "spans", F.lit(mask))).otherwise(F.col(f"row.{text}"))
     found = scan(rows, "text", model).withColumn("clean", clean)
     return found.select(*[F.col("clean").alias(c) if c == text else F.col(f"row.{c}").alias(c) for c in docs.columns])

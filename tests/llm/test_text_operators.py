@@ -229,6 +229,75 @@ def test_added_spans_touch_no_base_span_and_redaction_removes_all(llm):
     assert all(values[i] not in clean[i] for i in range(60))
 
 
+def plain_model(texts):
+    """Log ratios by pairs of symbols: sure samples first, then also the runs that those take for ordinary."""
+    secret, other = set(), Counter()
+    for text in texts:
+        secret |= {re.search(r"[A-Za-z0-9+/_.=-]+$", text[a:b])[0] for a, _, b, _ in base_spans(text)}
+        other.update({run[0] for run in re.finditer(r"[A-Za-z0-9+/_=-]{2,}", blanked(text))})
+    doubtful = {t for t in other if len(t) >= 16 and re.search("[0-9]", t) and re.search("[A-Za-z]", t)}
+    sure = {t for t, n in other.items() if n > 1} - doubtful - secret
+    first = plain_ratios(sure, secret)
+    return plain_ratios({t for t in other if t not in secret and (t in sure or plain_ratio(t, first) < 0)}, secret)
+
+
+def plain_ratios(ordinary, random):
+    size, tables = secrets.SIZE, []
+    for tokens in (ordinary, random):
+        counts = np.zeros((size, size))
+        for token in tokens:
+            codes = [secrets.SYMBOLS.find(c) + 1 for c in token]
+            for pair in zip(codes, codes[1:], strict=False):
+                counts[pair] += 1
+        common = 1 + counts.sum(axis=0)
+        tables.append((counts + secrets.BACKOFF * common / common.sum()) / (counts.sum(axis=1, keepdims=True) + secrets.BACKOFF))
+    return np.log(tables[1] / tables[0])
+
+
+def plain_ratio(token, model):
+    codes = [secrets.SYMBOLS.find(c) + 1 for c in token]
+    return sum(model[pair] for pair in zip(codes, codes[1:], strict=False))
+
+
+def blanked(text):
+    for a, _, b, _ in base_spans(text):
+        text = text[:a] + " " * (b - a) + text[b:]
+    return text
+
+
+def plain_spans(text, model):
+    found = [(a, k, b, kind) for a, k, b, kind in base_spans(text)]
+    for run in re.finditer(r"[A-Za-z0-9+/_=-]{2,}", blanked(text)):
+        if plain_ratio(run[0], model) >= secrets.THRESHOLD:
+            found.append((run.start(), len(secrets.RULES), run.end(), "markov"))
+    return ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in sorted(found))
+
+
+def test_runs_of_any_length_and_class_are_judged_as_by_plain_ratios(llm):
+    rng = np.random.default_rng(8)
+    draw = lambda n, symbols=secrets.SYMBOLS[:62]: "".join(rng.choice(list(symbols), n))
+    parts = ["ordinary", "identifier", "value", "table", "column", "session", "handler", "counter", "reader", "long", "a/b", "x=1", "2024", "--", "p"]
+    words = [*parts, *(f"{a}{joint}{b}" for a in parts[:10] for b in parts[:10] for joint in ("", "_", "-", "/"))]
+    texts = [f"{' '.join(rng.choice(words, 40))} password={draw(24)} end" for _ in range(300)]
+    digits = "0123456789abcdef" * 2
+    letters, short, left, right = draw(40, secrets.SYMBOLS[:52]), draw(15), draw(24, secrets.SYMBOLS[:26]), draw(24, secrets.SYMBOLS[:26])
+    texts += [f"see {letters} here", f"see {short} here", f"see {left}/{digits}/{right} here", "😀 ordinary " * 40 + draw(20), "", "+" * 60, "é" + draw(12) + "é"]
+    df = llm.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r[0]: r[1] for r in secrets.secret_spans(df).select("doc_id", "spans").collect()}
+    model = plain_model(texts)
+    assert found == {i: plain_spans(t, model) for i, t in enumerate(texts)}
+    assert found[300] == "markov:4:44" and found[301] == "markov:4:19"
+    assert found[302] == "markov:4:29,hex:29:61,markov:61:86"
+    assert all(len(found[i].split(",")) == 1 for i in range(300))
+    clean = {r[0]: r[1] for r in secrets.redact(df).collect()}
+    assert clean[300] == "see [secret] here" and clean[302] == "see [secret][secret][secret] here"
+
+
+def test_a_run_too_short_for_the_threshold_is_bounded_by_the_largest_transition():
+    assert secrets.least_length([0.5, -3.0, 4.0], 10.0) == 4 and secrets.least_length([-1.0], 10.0) == 2
+    assert secrets.least_length([20.0], 10.0) == 2 and secrets.least_length([1.0], 0.0) == 2
+
+
 def test_redaction_keeps_nulls_and_other_columns(documents):
     clean = secrets.redact(documents)
     assert clean.columns == documents.columns and clean.where("text IS NULL").count() == documents.where("text IS NULL").count()

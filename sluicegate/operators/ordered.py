@@ -105,14 +105,24 @@ def prefix_sums(df: DataFrame, keys: list[str], order: str, weights: list[str])
     return summed.drop("__next_first", *[f"__offset_{w}" for w in weights])
 
 
+def range_counts(values: DataFrame) -> DataFrame:
+    """(feature, value, n, BUCKET) of distinct values, in stored key ranges over (feature, value).
+
+    A range is a partition of about equally many values: many small features share one and a large one has
+    several, so any number of features is cut. Ranges are stored with their numbers, so a task that is computed
+    again cannot see others.
+    """
+    counts = values.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    return settle(counts.repartitionByRange("feature", "value").withColumn(BUCKET, F.spark_partition_id()))
+
+
 def quantiles_of(values: DataFrame, probabilities: list[float]) -> DataFrame:
     """Exact linearly interpolated quantiles of (feature, value) rows: (feature, n, q_0, q_1, ...).
 
-    Works on counts per distinct value with bucketed ranks, so no task holds a whole feature. The
-    number of features must be small; their cut points pass through the driver.
+    Works on counts per distinct value with ranks within key ranges, so no task holds a whole feature, and
+    nothing of a feature passes through the driver: there may be as many features as rows.
     """
-    counts = stored_counts(values, ["feature", "value"], [F.count(F.lit(1)).alias("n")])
-    ranked = prefix_sums(with_buckets(counts, fit_cuts(counts)), ["feature"], "value", ["n"])
+    ranked = prefix_sums(range_counts(values), ["feature"], "value", ["n"])
     found = []
     for i, p in enumerate(probabilities):
         position = (F.col("total_n") - 1) * F.lit(float(p))

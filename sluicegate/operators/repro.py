@@ -8,6 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluicegate import contract
+from sluicegate.operators.fingerprint import fingerprint
+from sluicegate.session import settle
+
+#: Hash buckets that are compared before rows are; a table of one number each is sent to all tasks.
+DIFF_BUCKETS = 4096
+#: Copies that one step of a row's expansion makes.
+COPIES = 10_000
 
 
 def metric_diff(run1: DataFrame, run2: DataFrame, by: list[str] | None = None, tolerance: dict | None = None) -> DataFrame:
@@ -84,8 +91,41 @@ def repro_report(checks: dict[str, DataFrame], flag: str = "matches") -> DataFra
     return table.crossJoin(overall)
 
 
-def row_difference(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows (with multiplicity) of one table that the other lacks: (columns..., side)."""
+def _bucketed(df: DataFrame, types: dict, bucket: str, buckets: int) -> DataFrame:
+    """``df`` in the types that both sides share, with the hash bucket of each row."""
+    typed = df.select(*[df[f"`{c}`"].cast(t).alias(c) for c, t in types.items()])
+    return typed.withColumn(bucket, F.pmod(F.xxhash64(*[f"`{c}`" for c in types]), F.lit(buckets)).cast("int"))
+
+
+def differing_buckets(left: DataFrame, right: DataFrame, bucket: str, columns: list[str]) -> DataFrame:
+    """The buckets whose rows, copies counted, are not the same on both sides: a stored table."""
+    one, two = (
+        fingerprint(df, by=[bucket], columns=columns).select(bucket, F.col("fingerprint").alias(name))
+        for df, name in ((left, "one"), (right, "two"))
+    )
+    return settle(one.join(two, bucket, "full").where(~F.col("one").eqNullSafe(F.col("two"))).select(bucket))
+
+
+def row_difference(left: DataFrame, right: DataFrame, buckets: int = DIFF_BUCKETS) -> DataFrame:
+    """Rows (with multiplicity) of one table that the other lacks: (columns..., side).
+
+    Each side is read for a fingerprint per hash bucket of its rows. Only rows of buckets that differ are then
+    moved and counted against each other, so tables that are nearly the same shuffle next to nothing.
+    ``right`` needs the columns of ``left``, in any order. No column may be called side.
+    """
     columns = left.columns
-    only_left = left.exceptAll(right.select(*columns)).withColumn("side", F.lit("left"))
-    return only_left.unionByName(right.select(*columns).exceptAll(left).withColumn("side", F.lit("right")))
+    if "side" in columns:
+        raise ValueError("a column called side hides the one that is added")
+    quoted = [f"`{c}`" for c in columns]
+    right = right.select(*quoted)
+    types = {f.name: f.dataType for f in left.limit(0).union(right.limit(0)).schema.fields}
+    bucket, net = (name + "_" * max(map(len, columns)) for name in ("__bucket", "__net"))  # longer than any column's
+    one, two = (_bucketed(df, types, bucket, buckets) for df in (left, right))
+    open_buckets = F.broadcast(differing_buckets(one, two, bucket, columns))  # at most ``buckets`` rows
+    signed = [df.join(open_buckets, bucket, "left_semi").select(*quoted, F.lit(n).alias(net)) for df, n in ((one, 1), (two, -1))]
+    counted = signed[0].unionAll(signed[1]).groupBy(*quoted).agg(F.sum(net).alias(net)).where(F.col(f"`{net}`") != 0)
+    copies = F.abs(F.col(f"`{net}`"))
+    side = F.when(F.col(f"`{net}`") > 0, "left").otherwise("right").alias("side")
+    steps = counted.select(*quoted, side, copies.alias(net), F.explode(F.sequence(F.lit(0), F.floor((copies - 1) / COPIES))).alias(bucket))
+    left_over = F.least(F.lit(COPIES).cast("bigint"), F.col(f"`{net}`") - F.col(f"`{bucket}`") * COPIES)
+    return steps.select(*quoted, "side", F.explode(F.sequence(F.lit(1).cast("bigint"), left_over)).alias(net)).select(*quoted, "side")

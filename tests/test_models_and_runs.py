@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import shutil
+from collections import Counter
 
 import pytest
 from pyspark.ml import PipelineModel
@@ -158,6 +159,37 @@ def test_row_difference(spark):
     assert {(r["k"], r["side"]) for r in repro.row_difference(a, b).collect()} == {(1, "left"), (2, "left"), (3, "right")}
 
 
+def test_row_difference_of_copies_nulls_types_and_names(spark):
+    schema = "`it's` int, `a.b` double, t string"
+    left = spark.createDataFrame([(1, 0.5, "x")] * 25_003 + [(2, None, None), (3, float("nan"), ""), (4, 0.0, "z")], schema)
+    right = spark.createDataFrame([("x", 1, 0.5)] * 2 + [(None, 2, None), ("", 3, float("nan")), ("z", 4, -0.0), ("y", 5, 1.0)], "t string, `it's` bigint, `a.b` double")
+    found = Counter(tuple(r) for r in repro.row_difference(left, right).collect())
+    assert found == {(1, 0.5, "x", "left"): 25_001, (5, 1.0, "y", "right"): 1}
+    assert repro.row_difference(left, left).count() == 0 and repro.row_difference(left, left.limit(0)).count() == left.count()
+    with pytest.raises(ValueError):
+        repro.row_difference(left.withColumnRenamed("t", "side"), left)
+
+
+def test_row_difference_moves_only_buckets_that_differ(spark, capsys):
+    left = spark.range(20_000).select("id", (F.col("id") % 7).alias("v"))
+    right = left.withColumn("v", F.when(F.col("id") == 77, 9).otherwise(F.col("v")))
+    one, two = (repro._bucketed(df, {"id": "bigint", "v": "bigint"}, "b", 512) for df in (left, right))
+    assert 1 <= repro.differing_buckets(one, two, "b", ["id", "v"]).count() <= 2
+    assert repro.differing_buckets(one, one, "b", ["id", "v"]).count() == 0
+    found = repro.row_difference(left, right)
+    assert {tuple(r) for r in found.collect()} == {(77, 0, "left"), (77, 9, "right")}
+    found.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("LeftSemi") >= 2 and plan.index("hashpartitioning(id") < plan.index("LeftSemi")
+
+
+def test_overhead_of_many_groups_collects_nothing(spark):
+    pairs = spark.range(30_000).select((F.col("id") % 5000).alias("g"), F.lit(2.0).alias("a"), (F.lit(2.0) + F.col("id") / 5000).alias("b"))
+    found = {r["g"]: r for r in ledger.overhead(pairs, ["g"], "a", "b").collect()}
+    assert len(found) == 5000 and all(r["n"] == 6 for r in found.values())
+    assert all(abs(found[g]["median_ratio"] - (g / 5000 + 2.5) / 2) < 1e-9 for g in (0, 1, 4999))
+
+
 def test_confusion_and_delay(spark):
     d = frame(spark, [(True, True), (True, False), (False, False), (False, True)], "valid boolean, released boolean")
     row = ledger.release_confusion(d).first()

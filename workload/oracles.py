@@ -509,6 +509,15 @@ ORACLES["overhead"] = """WITH p AS (SELECT user_id, cast(isodow(ts) - 1 AS integ
 SELECT day, count((b - a)/nullif(a, 0)) AS n, round(avg((b - a)/nullif(a, 0)), 6) AS mean_ratio, round(median((b - a)/nullif(a, 0)), 6) AS median_ratio FROM p GROUP BY day"""
 
 
+ORACLES["overhead_by_user"] = """WITH p AS (SELECT user_id, isodow(ts) AS day, avg(CASE WHEN event_type = 'view' THEN value END) AS a,
+  avg(CASE WHEN event_type = 'purchase' THEN value END) AS b FROM events GROUP BY 1, 2), r AS (SELECT user_id, (b - a)/nullif(a, 0) AS v FROM p)
+SELECT user_id, count(v) AS n, round(avg(v), 6) AS mean_ratio, round(median(v), 6) AS median_ratio FROM r WHERE v IS NOT NULL GROUP BY user_id"""
+
+ORACLES["row_difference"] = """WITH l AS (SELECT l_suppkey, l_quantity, l_returnflag FROM lineitem),
+r AS (SELECT l_suppkey, l_quantity, CASE WHEN l_quantity >= 50 THEN 'R' ELSE l_returnflag END AS l_returnflag FROM lineitem)
+SELECT *, 'left' AS side FROM (SELECT * FROM l EXCEPT ALL SELECT * FROM r) UNION ALL SELECT *, 'right' FROM (SELECT * FROM r EXCEPT ALL SELECT * FROM l)"""
+
+
 def errors(period: str) -> str:
     return f"""WITH {SALES}, e AS (SELECT concat_ws('~', store_id, strftime(date_trunc('{period}', date), '%Y%m%d')) AS pair,
   avg(abs(sales_demand - {UNGATED})) - avg(abs(sales_demand - {PREDICTION})) AS gain FROM sales GROUP BY 1)"""

@@ -717,6 +717,25 @@ def overhead(spark, sf_dir):
     return rounded(ledger.overhead(pairs, ["day"], "plain", "gated"))
 
 
+@query
+def overhead_by_user(spark, sf_dir):
+    """A group per user: as many groups as the table has users."""
+    events = table(spark, sf_dir, "events")
+    pairs = events.groupBy("user_id", F.weekday("ts").alias("day")).agg(
+        F.avg(F.when(F.col("event_type") == "view", F.col("value"))).alias("plain"),
+        F.avg(F.when(F.col("event_type") == "purchase", F.col("value"))).alias("gated"),
+    )
+    return rounded(ledger.overhead(pairs, ["user_id"], "plain", "gated"))
+
+
+@query
+def row_difference(spark, sf_dir):
+    """Line items before and after the largest ones are returned, without their keys, so that rows repeat."""
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity", "l_returnflag")
+    flag = F.when(F.col("l_quantity") >= 50, "R").otherwise(F.col("l_returnflag"))
+    return repro.row_difference(lines, lines.withColumn("l_returnflag", flag))
+
+
 @query
 def check_scores(spark, sf_dir):
     return rounded(ledger.check_scores(scenario_model_gate(spark, sf_dir), ["scenario"]))

@@ -252,3 +252,13 @@ def test_repeated_keys_are_paired(spark):
     run = frame(spark, [(1, 0.5), (1, 0.7), (2, 0.1)], "k int, prediction double")
     same = repro.prediction_diff(run, run, ["k"]).first()
     assert (same["n_matched"], same["matches"]) == (3, True)
+
+
+def test_resampling_of_empty_tables_missing_values_and_repeated_rows(spark):
+    empty = frame(spark, [], "id bigint, gain double")
+    assert resample.paired_permutation(empty, "id", "gain", 9).collect() == []
+    assert resample.bootstrap_ci(empty, "id", "gain", 9).collect() == [(0, None, None, None)]
+    some = frame(spark, [(1, 2.0), (2, None), (3, 4.0), (3, 4.0), (None, 2.0)], "id bigint, gain double")
+    permuted, interval = resample.paired_permutation(some, "id", "gain", 9), resample.bootstrap_ci(some, "id", "gain", 9)
+    assert (permuted.first()["n"], interval.first()["n"], interval.first()["mean"]) == (4, 4, 3.0)
+    assert interval.first()["ci_low"] <= 3.0 <= interval.first()["ci_high"]

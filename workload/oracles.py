@@ -35,15 +35,42 @@ CHECKS = (
     ]
 )
 
-ORACLES["validate_rules"] = (
-    BAD
-    + "\n"
-    + " UNION ALL ".join(
+def rule_rows(checks, t: str) -> str:
+    return " UNION ALL ".join(
         f"SELECT '{c}:{k}' AS rule, '{c}' AS column_name, '{k}' AS check_name, count_if({cond})::BIGINT AS n_violations, "
-        f"round(count_if({cond}) / count(*)::DOUBLE, 6) AS ratio FROM data_quality_failure"
-        for c, k, cond in CHECKS
+        f"round(count_if({cond}) / count(*)::DOUBLE, 6) AS ratio FROM {t}"
+        for c, k, cond in checks
     )
-)
+
+
+ORACLES["validate_rules"] = f"{BAD}\n{rule_rows(CHECKS, 'data_quality_failure')}"
+ORACLES["saved_report"] = ORACLES["saved_table"] = ORACLES["validate_rules"]
+OTHERS = [check for check in CHECKS if check[0] != "temperature"]
+ORACLES["missing_column"] = f"""{BAD}
+{rule_rows(OTHERS, 'data_quality_failure')}
+UNION ALL SELECT 'temperature:column_present', 'temperature', 'column_present', 1::BIGINT, round(1 / count(*)::DOUBLE, 6) FROM data_quality_failure"""
+
+GARBLED = {
+    "price": "day_of_week = 6 AND month = 2",
+    "inventory_level": "day_of_week = 5 AND month = 3",
+    "date": "day_of_week = 0 AND month = 12",
+    "promotion_flag": "day_of_week = 1 AND month = 1",
+}
+TYPED = ", ".join(f"CASE WHEN {GARBLED[c]} THEN NULL ELSE {c} END AS {c}" if c in GARBLED else c for c in COLUMNS)
+
+
+def text_check(column: str, check: str, condition: str) -> tuple[str, str, str]:
+    if column in GARBLED and check == "not_null":
+        condition = f"({condition}) AND NOT ({GARBLED[column]})"
+    if column in GARBLED and check.startswith("is_"):
+        condition = GARBLED[column]
+    return column, check, condition
+
+
+LOADED = f"{BAD}, typed AS (SELECT {TYPED} FROM data_quality_failure)"
+ORACLES["validate_text"] = f"{LOADED}\n{rule_rows([text_check(*check) for check in CHECKS], 'typed')}"
+ORACLES["conform_text"] = f"""{LOADED}
+SELECT count(*) AS n_rows, {fingerprint_of('d')} AS fingerprint FROM (SELECT sha256({SALES_TEXT}) AS d FROM typed)"""
 
 DUPLICATES = "(SELECT sum(n)::BIGINT AS n_rows, sum(n - 1)::BIGINT AS n_surplus FROM (SELECT count(*) AS n FROM {t} GROUP BY {cols}))"
 ORACLES["duplicate_ratio"] = f"""{BAD}
@@ -135,6 +162,7 @@ FROM (SELECT store_id, ({REQUEST_CONDITION}) AS bad FROM keyed) GROUP BY store_i
 
 SALES_PRINT = f"(SELECT count(*) AS n_rows, {fingerprint_of('d')} AS fingerprint FROM (SELECT sha256({SALES_TEXT}) AS d FROM sales))"
 ORACLES["load_profile"] = f"WITH {SALES} SELECT 'sales' AS source, n_rows, 12 AS n_columns, '{','.join(COLUMNS)}' AS column_names, fingerprint FROM {SALES_PRINT}"
+ORACLES["load_saved"] = ORACLES["load_profile"]
 ORACLES["verify_load"] = f"""{BAD}, p AS (SELECT fingerprint AS expected FROM {SALES_PRINT}),
 q AS (SELECT fingerprint AS actual FROM (SELECT {fingerprint_of('d')} AS fingerprint FROM (SELECT sha256({SALES_TEXT}) AS d FROM data_quality_failure)))
 SELECT 'reordered' AS dataset, expected, expected AS actual, true AS matches FROM p

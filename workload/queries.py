@@ -27,6 +27,7 @@ from sluicegate.operators import (
 from sluicegate.operators import fingerprint as fp
 from sluicegate.operators import manifest as files
 from sluicegate.plans import experiment, monitor, release
+from sluicegate.schema import conform
 from sluicegate.session import settle, shared_dir
 from sluicegate.sources import adapters, io, prediction_log
 from sluicegate.streaming import requests
@@ -108,6 +109,71 @@ def quarantine(spark, sf_dir):
     return accepted.unionByName(rejected)
 
 
+#: Cells of a text file that do not convert: column, condition on the row, what stands there.
+GARBLED = [
+    ("price", "day_of_week = 6 AND month = 2", "n/a"),
+    ("inventory_level", "day_of_week = 5 AND month = 3", "12 boxes"),
+    ("date", "day_of_week = 0 AND month = 12", "soon"),
+    ("promotion_flag", "day_of_week = 1 AND month = 1", "yes"),
+]
+
+
+def text_sales(spark, sf_dir):
+    """The faulty table as a CSV file with some garbled cells, loaded with every cell as text."""
+    garbled = {c: (condition, word) for c, condition, word in GARBLED}
+    cells = [
+        F.when(F.expr(garbled[c][0]), F.lit(garbled[c][1])).otherwise(F.col(c).cast("string")).alias(c) if c in garbled else F.col(c)
+        for c in contract.SALES_COLUMNS
+    ]
+    path = f"{shared_dir(spark)}/sales.csv"
+    io.save_dataset(faulty(spark, sf_dir).select(*cells), path)
+    return io.load_text(spark, path)
+
+
+@query
+def validate_text(spark, sf_dir):
+    """Rules on text: a cell that does not convert breaks its type rule, and no other is asked of it."""
+    return rounded(rules.violation_counts(text_sales(spark, sf_dir), rules.sales_rules()))
+
+
+@query
+def conform_text(spark, sf_dir):
+    """The same file typed: cells that do not convert are missing, all others equal those of the table."""
+    return fp.fingerprint(conform(text_sales(spark, sf_dir)), float_scale=SCALE).select("n_rows", "fingerprint")
+
+
+@query
+def load_saved(spark, sf_dir):
+    """A dataset saved, verified on load by the fingerprint of what was written, and described again."""
+    path = f"{shared_dir(spark)}/sales.parquet"
+    written = io.save_dataset(sales(spark, sf_dir), path).first()["fingerprint"]
+    return io.lineage(io.load_dataset(spark, path, expected=written), "sales", SCALE)
+
+
+@query
+def saved_report(spark, sf_dir):
+    """The rule counts as a JSON report, read back."""
+    counts = rounded(rules.violation_counts(faulty(spark, sf_dir), rules.sales_rules()))
+    path = shared_dir(spark)
+    io.save_report(counts, path)
+    return spark.read.schema(counts.schema).json(path)
+
+
+@query
+def saved_table(spark, sf_dir):
+    """The rule counts as a CSV table with its columns in name order, read back by its header."""
+    counts = rounded(rules.violation_counts(faulty(spark, sf_dir), rules.sales_rules()))
+    path = shared_dir(spark)
+    io.save_result_table(counts, path)
+    return conform(io.load_text(spark, path), counts.schema)
+
+
+@query
+def missing_column(spark, sf_dir):
+    """A table without a declared column: one violation for the column, none of its own rules."""
+    return rounded(rules.violation_counts(faulty(spark, sf_dir).drop("temperature"), rules.sales_rules()))
+
+
 @query
 def validate_requests(spark, sf_dir):
     judged = rules.with_violations(keyed_requests(spark, sf_dir), rules.request_rules())

@@ -104,6 +104,19 @@ def test_model_scores_saves_and_reloads(spark, sales, split_sales, model):
     assert (meta["n_trees"], meta["n_features"]) == (3, 12)
 
 
+def test_category_codes_are_nominal_features(split_sales):
+    train = split_sales.where("split = 'train'").drop("split")
+    _, matrix = boosting.prepare(train)
+    attributes = matrix.schema[boosting.FEATURES].metadata["ml_attr"]
+    assert {a["name"]: a["num_vals"] for a in attributes["attrs"]["nominal"]} == {
+        c: train.select(c).distinct().count() + 1 for c in contract.CATEGORICAL_FEATURES
+    }
+    assert attributes["num_attrs"] == 12
+    model = boosting.booster(maxIter=1).fit(matrix)
+    assert " in {" in model.toDebugString
+    matrix.unpersist()
+
+
 def test_training_is_repeatable(split_sales, model):
     train = split_sales.where("split = 'train'").drop("split")
     again = boosting.train(train, maxIter=3)

@@ -1,4 +1,7 @@
-"""Near copies of texts: SimHash neighbours whose five-word shingles are alike, found by min-hash sketches in their shard."""
+"""Near copies of texts: SimHash neighbours whose five-word shingles are alike, found by min-hash sketches in their shard.
+
+What fingerprints, estimates and the one link a component leave out is found exactly, by rare shingles (:func:`missed`).
+"""
 
 from __future__ import annotations
 
@@ -6,9 +9,10 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluicegate.llm import simhash
@@ -32,6 +36,10 @@ ROUTED = "cell int, block int, peer int, asks boolean, id bigint, fp bigint, siz
 #: Neighbouring cells that a node asks, one of each opposite pair: bands of sizes by rings around the vantage point.
 AROUND = ((0, 1), (1, -1), (1, 0), (1, 1))
 RINGS = simhash.BITS // RADIUS + 3
+#: A head has one hash more for each so many hashes of its set than it takes to share one with every near copy.
+SPARE = 10
+#: Shingles of one block of the exact comparison; candidates that have more are dealt to several.
+LOAD = 1 << 19
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -43,6 +51,16 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, runs), repeat(simhash.SEED)), dtype="<u8"))
 
 
+def head(hashes: np.ndarray) -> np.ndarray:
+    """The least hashes of a set, so many that it shares at least :func:`_in_heads` with the head of every near copy.
+
+    Sets of n and m <= n hashes at ``LEAST`` share ceil(LEAST * n) or more. The t-th least of the shared ones comes after
+    at most n - ceil(LEAST * n) others in either set, so it is in both heads for t up to m // SPARE + 1.
+    """
+    n = len(hashes)
+    return hashes[: n - int(np.ceil(LEAST * n - 1e-9)) + n // SPARE + 1]
+
+
 def sketch(hashes: np.ndarray) -> np.ndarray:
     """One byte per bin, of the least hash in it; 0 where the bin is empty. ``hashes`` ascend."""
     out = np.zeros(BINS, dtype=np.uint8)
@@ -59,8 +77,14 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (equal / np.maximum(used, 1) - 1 / 255) * (255 / 254)
 
 
+def _lists(sets: list[np.ndarray]) -> pa.Array:
+    """Hashes as lists of signed longs."""
+    ends = np.cumsum([0, *map(len, sets)]).astype("i4")
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, "<u8"), *sets]).view("i8")))
+
+
 def described(body: DataFrame) -> DataFrame:
-    """doc_id, at (digest of the text), class (digest of the set of shingles), fp, size and sketch, of every row."""
+    """doc_id, at (digest of the text), class (digest of the set of shingles), fp, size, sketch and head, of every row."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,10 +94,10 @@ def described(body: DataFrame) -> DataFrame:
             names = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
             size = pa.array([len(s) for s in sets], pa.int64())
             drawn = pa.array([sketch(s).tobytes() for s in sets], pa.binary())
-            columns = [batch.column("doc_id"), batch.column("at"), names, pa.array(fp), size, drawn]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "class", "fp", "size", "sketch"])
+            columns = [batch.column("doc_id"), batch.column("at"), names, pa.array(fp), size, drawn, _lists([head(s) for s in sets])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "class", "fp", "size", "sketch", "head"])
 
-    return body.mapInArrow(measure, "doc_id long, at string, class binary, fp long, size long, sketch binary")
+    return body.mapInArrow(measure, "doc_id long, at string, class binary, fp long, size long, sketch binary, head array<long>")
 
 
 def _cells(fp: np.ndarray, size: np.ndarray, point: int) -> tuple[np.ndarray, np.ndarray]:
@@ -260,20 +284,109 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
     return shared >= least * whole - 1e-9
 
 
-def checked(pairs: DataFrame, nodes: DataFrame, body: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts reach ``LEAST``. Texts move only for nodes that are in a pair, about one pair a node."""
+def _least(size: str = "size") -> Column:
+    """The fewest shingles that a set shares with a near copy."""
+    return F.ceil(F.col(size) * LEAST - 1e-9)
+
+
+def _in_heads(size: str = "size") -> Column:
+    """The fewest hashes that a head shares with the head of a near copy."""
+    return F.floor(_least(size) / SPARE) + 1
+
+
+def _told_apart(rows: DataFrame, by: str) -> DataFrame:
+    """The rows whose hash stands under two or more values of ``by``, and df, the number of rows that have it."""
+    of_hash = Window.partitionBy("hash")
+    ends = [F.min(by).over(of_hash).alias("_lo"), F.max(by).over(of_hash).alias("_hi")]
+    seen = rows.select("*", *ends, F.count(F.lit(1)).over(of_hash).alias("df"))
+    return seen.where("_lo <> _hi").drop("_lo", "_hi")
+
+
+def _enough(shared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The nodes with so many rows of head hashes in ``shared`` that they can have a near copy."""
+    counts = shared.groupBy("id").agg(F.count(F.lit(1)).alias("_n"))
+    return nodes.join(counts, "id").where(F.col("_n") >= _in_heads()).drop("_n")
+
+
+def sets_of(asked: DataFrame, body: DataFrame) -> DataFrame:
+    """id, size and hashes (all shingles) of the nodes (id, at) in ``asked``."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t) for t in batch.column("text").to_pylist()]
+            size = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), size, _lists(sets)], ["id", "size", "hashes"])
+
+    texts = body.select("at", "text").join(asked.select("id", "at"), "at").groupBy("id").agg(F.first("text").alias("text"))
+    return texts.mapInArrow(measure, "id long, size long, hashes array<long>")
+
+
+def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets reach ``LEAST``. Sets move only for nodes that are in a pair, about one pair a node."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)
-            same = pa.array([similar(shingles(x), shingles(y)) for x, y in texts], pa.bool_())
+            one, two = (batch.column(f"hashes_{s}") for s in "ab")
+            same = pa.array([similar(x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(one, two, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([c.filter(same) for c in batch.columns[:2]], ["a", "b"])
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "at"), "id")
-    texts = settle(body.select("at", "text").join(asked, "at").groupBy("id").agg(F.first("text").alias("text")))
-    sides = [texts.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab"]
+    sides = [sets.select(F.col("id").alias(s), F.col("hashes").alias(f"hashes_{s}")) for s in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(judge, "a bigint, b bigint")
+    return both.select("a", "b", "hashes_a", "hashes_b").mapInArrow(judge, "a bigint, b bigint")
+
+
+def _joined(group: pd.DataFrame) -> pd.DataFrame:
+    """a, b: links that make a tree of the roots whose nodes are alike, by exact overlaps of all pairs of a group.
+
+    ``tokens`` are the hashes that other roots hold too. The nodes of two blocks meet across only.
+    """
+    lengths = group["tokens"].map(len).to_numpy()
+    code = np.unique(np.concatenate(group["tokens"].to_list()), return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(group)), lengths)
+    holders = owner[np.argsort(code, kind="stable")]
+    held = np.bincount(code)
+    first, ends = np.cumsum(held) - held, np.cumsum(lengths)
+    size, own, root = (group[c].to_numpy() for c in ("size", "own", "root"))
+    across = group["block"].iat[0] != group["peer"].iat[0]
+    label, tree = root.copy(), []
+    for i in range(len(group)):
+        mine = code[ends[i] - lengths[i] : ends[i]]
+        n = held[mine]
+        at = np.repeat(first[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        overlap = np.bincount(holders[at], minlength=len(group))
+        near = (overlap >= LEAST * (size[i] + size - overlap) - 1e-9) & (label != label[i]) & (np.arange(len(group)) > i)
+        for j in np.flatnonzero(near & (own != own[i]) if across else near):
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                tree.append((root[i], root[j]))
+    return pd.DataFrame(tree, columns=["a", "b"], dtype="int64")
+
+
+def missed(sets: DataFrame, shared: DataFrame, roots: DataFrame, load: int = LOAD) -> DataFrame:
+    """a, b: links between roots that connect exactly those with nodes at ``LEAST`` or more.
+
+    ``sets`` holds id, size and hashes of all nodes that can have a near copy, ``shared`` id and hash of head hashes that
+    two nodes or more hold, ``roots`` node and root of what is linked already. A near copy under another root shares
+    with a node ceil(LEAST * size) hashes that stand under several roots, and one of the rarest of them (a prefix
+    filter). Roots that share such a hash are one group, however connected; a group is compared by exact overlaps, dealt
+    to blocks of about ``load`` shingles that meet pairwise. No pair is left out, and a group gives a tree.
+    """
+    hung = roots.select(F.col("node").alias("id"), "root")
+    sized = sets.select("id", "size").join(hung, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    able = _enough(_told_apart(shared.join(sized.select("id", "root"), "id"), "root"), sized)
+    hashes = able.join(sets.select("id", "hashes"), "id").select("id", "root", "size", F.explode("hashes").alias("hash"))
+    foreign = _told_apart(hashes, "root").groupBy("id", "root", "size")
+    listed = foreign.agg(F.sort_array(F.collect_list(F.struct("df", "hash"))).alias("tokens"))
+    nodes = settle(listed.where(F.size("tokens") >= _least()).withColumn("tokens", F.col("tokens.hash")))
+    rare = nodes.select("root", F.explode(F.slice("tokens", F.lit(1), (F.size("tokens") - _least() + 1).cast("int"))).alias("hash")).distinct()
+    stars = rare.select("root", F.min("root").over(Window.partitionBy("hash")).alias("least")).where("root <> least")
+    group_of = components(stars).select(F.col("node").alias("root"), F.col("root").alias("cell"))
+    dealt = settle(nodes.join(group_of, "root"))
+    parts = dealt.groupBy("cell").agg(F.ceil(F.sum(F.size("tokens")) / load).alias("k"))
+    spread = dealt.join(parts, "cell").withColumn("own", F.pmod(F.xxhash64("id"), "k"))
+    spread = spread.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)))
+    spread = spread.select("cell", F.least("own", "i").alias("block"), F.greatest("own", "i").alias("peer"), "own", "root", "size", "tokens")
+    return spread.groupBy("cell", "block", "peer").applyInPandas(_joined, "a bigint, b bigint")
 
 
 def _rooted(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -281,12 +394,16 @@ def _rooted(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
     body = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), value.alias("text")).withColumn("at", F.md5("text"))
     rows = settle(described(body))
-    one = rows.groupBy("class").agg(F.min("doc_id").alias("least"), F.min(F.struct("at", "fp", "size", "sketch")).alias("one"))
+    one = rows.groupBy("class").agg(F.min("doc_id").alias("least"), F.min(F.struct("at", "fp", "size", "sketch", "head")).alias("one"))
     # Stored, so that the numbers stay.
     nodes = settle(one.select(F.monotonically_increasing_id().alias("id"), "class", "least", "one.*"))
     found = settle(links(nodes).distinct())
-    hung = components(checked(found, nodes, body)).withColumnRenamed("node", "id")
-    rooted = nodes.select("id", "class", "least").join(hung, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    shared = settle(_told_apart(nodes.select("id", F.explode("head").alias("hash")), "id").select("id", "hash"))
+    sets = settle(sets_of(_enough(shared, nodes.select("id", "at", "size")), body))
+    hung = components(checked(found, sets))
+    more = components(missed(sets, shared, hung)).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    rooted = nodes.select("id", "class", "least").join(hung.withColumnRenamed("node", "id"), "id", "left")
+    rooted = rooted.withColumn("root", F.coalesce("root", "id")).join(more, "root", "left").withColumn("root", F.coalesce("top", "root"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = rooted.join(lowest, "root").select("class", "component_id")
     return rows.select("doc_id", "at", "class").join(of_class, "class").select("doc_id", "at", "component_id")

@@ -110,6 +110,53 @@ def test_recall_against_all_pairs(llm):
     assert pairs > 100 and far > 50 and right >= 0.97 * pairs and wrong <= 0.02 * far
 
 
+def links_left_out():
+    """Pairs at 0.8 or more that fingerprints or estimates reject, and groups at 0.8 in which the likest member may fail."""
+    texts = []
+    for seed in range(400):  # edits seven words or more apart, as many as 0.8 allows
+        words = [f"w{i}" for i in np.random.default_rng(seed).integers(0, 5000, 49 + 45 * (seed % 4))]
+        other = list(words)
+        other[10::45] = [f"x{seed}y{i}" for i in range(len(words[10::45]))]
+        # Repeated lines weigh in fingerprints, not in sets.
+        pair = [words, other] if seed % 50 else [words + 30 * words[:9], words + 30 * words[20:29]]
+        a, b = map(" ".join, pair)
+        one, two = near_copies.shingles(a), near_copies.shingles(b)
+        far = (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() > near_copies.RADIUS
+        low = near_copies.estimates(near_copies.sketch(one), near_copies.sketch(two)) < near_copies.ESTIMATE
+        if near_copies.similar(one, two) and (far or low):
+            texts += [a, b]
+    rejected = len(texts) // 2
+    for seed in range(4):
+        texts += [t for _, t in varied(60, 100 + 10 * seed, 2, 5000 + seed)]
+    return rejected, list(enumerate(texts))
+
+
+@pytest.mark.parametrize("load", [None, 400])
+def test_no_link_at_the_threshold_is_left_out(llm, monkeypatch, load):
+    rejected, rows = links_left_out()
+    if load:
+        monkeypatch.setattr(near_copies.missed, "__defaults__", (load,))
+    df = llm.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    kept = {r["doc_id"] for r in near_copies.keep_one(df).collect()}
+    assert rejected >= 5 and kept == kept_by_all_pairs(rows)
+
+
+def test_sets_share_so_many_hashes_in_their_heads():
+    rng = np.random.default_rng(6)
+    for n in [*range(1, 60), 400]:
+        extra = n // 9
+        for m in {n - extra, n}:
+            drawn = rng.choice(1 << 62, 3 * n, replace=False).astype("u8")
+            # Of n hashes and m others, the fewest in common that reach 0.8; also with all common ones last.
+            both = next(c for c in range(m + 1) if 5 * c >= 4 * (n + m - c))
+            for order in (drawn, np.sort(drawn)[::-1]):
+                common, rest = order[:both], order[both:]
+                a = np.sort(np.concatenate([common, rest[: n - both]]))
+                b = np.sort(np.concatenate([common, rest[n - both : n + m - 2 * both]]))
+                shared = len(np.intersect1d(near_copies.head(a), near_copies.head(b)))
+                assert near_copies.similar(a, b) and shared >= -(-4 * n // 5) // near_copies.SPARE + 1
+
+
 def test_rows_that_share_a_doc_id_are_judged_by_their_text(llm):
     (_, a), (_, b) = varied(2, 100, 1, 3)
     (_, c), (_, d) = varied(2, 100, 1, 4)

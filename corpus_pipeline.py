@@ -44,7 +44,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Pieces of the documents in packed sequences."""
     ready(spark)
     cut = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return packing.pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    # Stored, so that a task has one Python worker: that which numbers the rows would be a second one beside the tokenizer's.
+    return packing.pack(settle(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))))
 
 
 STAGES = [

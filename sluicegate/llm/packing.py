@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,8 +20,10 @@ from sluicegate.llm.ranks import number_within
 
 CAPACITY = 4096
 EOS = 1
-#: Text whose distinct words are encoded together; a batch that is longer is a group of its own.
+#: Text whose distinct words are encoded together, held as numbers of words; a longer document is a group of its own.
 GROUP_BYTES = 12 << 20
+#: Text that is split into words, and later written as ids, at once; a longer document is a part of its own.
+PART_BYTES = 1 << 20
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
 # What the vocabulary file's own splitter takes as one piece, after lower-casing.
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
@@ -43,34 +46,55 @@ class WordTokenizer:
         self.model = self.whole.model
         self.letters = {bytes([b]).decode("latin-1"): c for b, c in _byte_letters().items()}
 
-    def _word(self, word: str, known: dict[str, list[int]]) -> list[int]:
+    def _word(self, word: str, known: dict[str, bytes]) -> bytes:
         if not PLAIN.fullmatch(word) or "<|" in word:
-            return self.whole.encode(word, add_special_tokens=False).ids
-        out: list[int] = []
-        for piece in WORD.findall(word.lower()):
+            return array("I", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
+        lower = word.lower()
+        out = b""
+        for piece in (lower,) if word.isalpha() else WORD.findall(lower):
             ids = known.get(piece)
             if ids is None:
                 mapped = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode().decode("latin-1")))
-                ids = known[piece] = [t.id for t in self.model.tokenize(mapped)]
+                ids = known[piece] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
             out += ids
         return out
 
+    def encoded(self, parts: list[tuple[np.ndarray, pa.DictionaryArray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each part that :func:`split_words` gave: the ids of its texts, one after the other, and the number of each."""
+        coded = pa.chunked_array([c for _, c in parts]).unify_dictionaries()
+        words = coded.chunk(0).dictionary
+        known: dict[str, bytes] = {}
+        flat, ends = bytearray(), array("q", [0])
+        for at in range(0, len(words), 10_000):
+            for word in words.slice(at, 10_000).to_pylist():
+                flat += self._word(word, known)
+                ends.append(len(flat) // 4)
+        del known, words
+        ids, firsts = np.frombuffer(flat, dtype=np.uintc), np.frombuffer(ends, dtype=np.int64)
+        sizes = np.diff(firsts)
+        for (offsets, _), chunk in zip(parts, coded.chunks, strict=True):
+            code = chunk.indices.to_numpy()
+            lengths = sizes[code]
+            own = ids[ragged(firsts[code], lengths)].astype("<u4", copy=False)
+            yield own, np.diff(np.concatenate(([0], np.cumsum(lengths)))[offsets])
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one text after the other, and the number of each; none for null or empty texts."""
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
-        offsets = split.offsets.to_numpy()
-        coded = split.flatten().dictionary_encode()
-        code = coded.indices.to_numpy().astype(np.int64)
-        known: dict[str, list[int]] = {}
-        flat: list[int] = []
-        ends = [0]
-        for word in coded.dictionary.to_pylist():
-            flat += self._word(word, known)
-            ends.append(len(flat))
-        firsts = np.array(ends, dtype=np.int64)
-        lengths = np.diff(firsts)[code]
-        ids = np.array(flat, dtype="<u4")[ragged(firsts[code], lengths)]
-        return ids, np.diff(np.concatenate(([0], np.cumsum(lengths)))[offsets])
+        return next(self.encoded([split_words(texts)]))
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """Where the words of each text begin and end among those of all texts, and these words as numbers."""
+    split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+    return split.offsets.to_numpy(), split.flatten().dictionary_encode()
+
+
+def divided(batch: pa.RecordBatch, text: str = "text", most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of ``batch`` whose texts begin within ``most`` bytes."""
+    size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = (np.flatnonzero(np.diff((np.cumsum(size) - size) // most)) + 1).tolist()
+    for lo, hi in zip([0, *cuts], [*cuts, len(size)], strict=True):
+        yield batch.slice(lo, hi - lo)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -99,31 +123,32 @@ def pieces(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
         columns = zip(*out, strict=True) if out else [()] * len(kinds)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids"])
 
-    def encode(keys: list, texts: list[pa.Array]) -> Iterator[pa.RecordBatch]:
-        ids, lengths = word_tokenizer(vocabulary)(pa.concat_arrays(texts))
-        ids, lengths = np.insert(ids, np.cumsum(lengths), last[0]), lengths + 1
-        ends = np.cumsum(lengths)
-        out: list[tuple] = []
-        for key, begin, end in zip(keys, (ends - lengths).tolist(), ends.tolist(), strict=True):
-            for piece, at in enumerate(range(begin, end, capacity)):
-                own = ids[at : min(end, at + capacity)]
-                out.append((key, piece, at - begin, len(own), own.tobytes()))
-            if len(out) > 500:
-                yield told(out)
-                out = []
-        yield told(out)
+    def encode(keys: list[list], parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for own, (ids, lengths) in zip(keys, word_tokenizer(vocabulary).encoded(parts), strict=True):
+            ids, lengths = np.insert(ids, np.cumsum(lengths), last[0]), lengths + 1
+            ends = np.cumsum(lengths)
+            out: list[tuple] = []
+            for key, begin, end in zip(own, (ends - lengths).tolist(), ends.tolist(), strict=True):
+                for piece, at in enumerate(range(begin, end, capacity)):
+                    cut_ids = ids[at : min(end, at + capacity)]
+                    out.append((key, piece, at - begin, len(cut_ids), cut_ids.tobytes()))
+                if len(out) > 500:
+                    yield told(out)
+                    out = []
+            yield told(out)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, texts, held = [], [], 0
+        keys, parts, held = [], [], 0
         for batch in batches:
-            keys += batch.column("doc_id").to_pylist()
-            texts.append(batch.column("text"))
-            held += batch.column("text").nbytes
-            if held >= GROUP_BYTES:
-                yield from encode(keys, texts)
-                keys, texts, held = [], [], 0
+            for part in divided(batch):
+                keys.append(part.column("doc_id").to_pylist())
+                parts.append(split_words(part.column("text")))
+                held += part.column("text").nbytes
+                if held >= GROUP_BYTES:
+                    yield from encode(keys, parts)
+                    keys, parts, held = [], [], 0
         if keys:
-            yield from encode(keys, texts)
+            yield from encode(keys, parts)
 
     slim = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return slim.mapInArrow(cut, PIECES)
@@ -191,10 +216,10 @@ def pack(sized: DataFrame, length: str = "length", capacity: int = CAPACITY) ->
     runs: dict[int, list] = {}
     for n, rank, ranks, first, each, offset in plan_runs(counts, capacity):
         runs.setdefault(n, []).append((rank, rank + ranks, first, each, offset))
-    plan = spark.createDataFrame(
-        list(runs.items()),
-        "plan_length int, runs array<struct<low: bigint, high: bigint, first: bigint, each: int, offset: int>>",
-    )
+    # An Arrow table: rows of a list would start Python workers of their own, which stay for a minute.
+    run = pa.struct([("low", pa.int64()), ("high", pa.int64()), ("first", pa.int64()), ("each", pa.int32()), ("offset", pa.int32())])
+    listed = [[dict(zip(("low", "high", "first", "each", "offset"), r, strict=True)) for r in rs] for rs in runs.values()]
+    plan = spark.createDataFrame(pa.table({"plan_length": pa.array(list(runs), pa.int32()), "runs": pa.array(listed, pa.list_(run))}))
     joined = ranked.join(F.broadcast(plan), F.col("own_length") == F.col("plan_length"))
     rank = F.col("length_rank")
     run = F.filter("runs", lambda r: (r["low"] <= rank) & (rank < r["high"]))[0]

@@ -24,7 +24,7 @@ from sluicegate.llm import (
     whitening,
 )
 from sluicegate.llm.shipping import ready
-from sluicegate.session import shared_dir
+from sluicegate.session import settle, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -42,7 +42,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op3_pack(spark, sf_dir):
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     cut = packing.pieces(read(spark, sf_dir, "documents"), vocabulary)
-    return packing.pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    # Stored, so that a task has one Python worker: that which numbers the rows would be a second one beside the tokenizer's.
+    return packing.pack(settle(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))))
 
 
 @query

@@ -5,9 +5,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -92,6 +94,43 @@ def test_groups_of_words_equal_the_library():
     assert lengths.tolist() == [len(w) for w in wanted] and ids.tolist() == [i for w in wanted for i in w]
 
 
+def test_parts_of_a_group_share_words_and_equal_the_library():
+    library = Tokenizer.from_file(WORD_FILE)
+    texts = ["one Two", None, "", "two three ﬁx", "x" * 50, "Äpfel one,", None, "the end"]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    parts = [*packing.divided(rows, most=20), rows.slice(0, 0)]
+    assert len(parts) > 3 and [k for p in parts for k in p.column("doc_id").to_pylist()] == [*range(len(texts))]
+    told = list(packing.WordTokenizer(WORD_FILE).encoded([packing.split_words(p.column("text")) for p in parts]))
+    wanted = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [n for _, lengths in told for n in lengths.tolist()] == [len(w) for w in wanted]
+    assert [i for ids, _ in told for i in ids.tolist()] == [i for w in wanted for i in w]
+
+
+def test_a_group_of_texts_is_never_held_as_ids_of_all(documents, monkeypatch):
+    monkeypatch.setattr(type(documents), "mapInArrow", lambda self, task, schema: task)
+    task = packing.pieces(documents, WORD_FILE)
+    texts = pa.array(["a b c d e f g h " * 2048] * 32)
+    batches = (pa.RecordBatch.from_arrays([pa.array(range(32)), texts], ["doc_id", "text"]) for _ in range(8))
+    packing.word_tokenizer(WORD_FILE)
+    tracemalloc.start()
+    try:
+        rows = sum(len(out) for out in task(batches))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # 8 MB of text in one group, 4 million ids: as 64-bit places alone they take 32 MB, several times over.
+    assert rows == 256 * 5 and most < 48 << 20
+
+
+def test_rows_are_numbered_and_planned_without_further_workers(llm, documents, monkeypatch):
+    given, numbered = [], packing.number_within
+    monkeypatch.setattr(packing, "number_within", lambda df, *a: (given.append(df), numbered(df, *a))[1])
+    packed = corpus_pipeline.pack_sequences(llm, documents, "")
+    assert packed.count() > 0 and "MapInArrow" not in given[0]._jdf.queryExecution().toString()
+    # The plan of slots is no RDD, whose rows Python workers would pickle.
+    assert "ExistingRDD" not in packed._jdf.queryExecution().toString()
+
+
 def best_fit_decreasing(lengths, capacity):
     rooms = []
     for n in sorted(lengths, reverse=True):

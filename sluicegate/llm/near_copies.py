@@ -28,8 +28,9 @@ RADIUS = 13
 BINS = 256
 #: The estimate from which texts are compared: two standard errors below ``LEAST``.
 ESTIMATE = 0.75
-#: Members of a shard that meet in one task; a cell with more is dealt to several.
-MOST = 4096
+#: Members of a shard that meet in one task; a cell with more is dealt to several. Rows are sent once per part, so a cell of
+#: more than PARTS such shards gets larger ones instead, of at most MOST_MEMBERS (18 MB).
+MOST, PARTS, MOST_MEMBERS = 4096, 8, 65_536
 PAIRS = 1 << 21
 KIND = np.dtype([("id", "<i8"), ("fp", "<u8"), ("size", "<i8"), ("sketch", "u1", (BINS,))])
 ROUTED = "cell int, block int, peer int, asks boolean, id bigint, fp bigint, size bigint, sketch binary"
@@ -124,7 +125,11 @@ def cell_parts(nodes: DataFrame, point: int, most: int = MOST) -> dict[int, int]
     counts = {r["cell"]: r["n"] for r in counted.collect()}
     steps = [db * RINGS + dr for db, dr in AROUND]
     asked = {cell: sum(counts.get(cell - step, 0) for step in steps) for cell in counts}
-    return {cell: max(-(-n // most), -(-asked[cell] // (4 * most))) for cell, n in counts.items()}
+
+    def dealt(n: int) -> int:
+        return -(-n // max(most, min(MOST_MEMBERS, -(-n // PARTS))))
+
+    return {cell: max(dealt(n), dealt(-(-asked[cell] // 4))) for cell, n in counts.items()}
 
 
 def routed(nodes: DataFrame, point: int, parts: dict[int, int]) -> DataFrame:
@@ -174,11 +179,22 @@ class _Group:
 
     def __init__(self):
         self.members, self.label, self.held = np.zeros(0, dtype=KIND), np.zeros(0, dtype=np.int64), []
-
-    def _near(self, node: np.void, far: np.ndarray, lo: int) -> np.ndarray:
-        """Places, from ``lo`` on, of members near a node whose fingerprint distances are ``far``."""
-        small, large = np.minimum(node["size"], self.members["size"][lo:]), np.maximum(node["size"], self.members["size"][lo:])
-        return lo + np.flatnonzero((far <= RADIUS) & (small >= LEAST * large - 1e-9))
+        self.fp = np.zeros(0, dtype=np.uint64)
+
+    def _near(self, nodes: np.ndarray, after: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """The place among ``nodes`` of each that is near members, and their places. ``after``: nodes are the members
+        from there on, and meet later ones only."""
+        row, col = np.nonzero(np.bitwise_count(nodes["fp"][:, None] ^ self.fp[None, :]) <= RADIUS)
+        if after is not None:
+            later = col > row + after
+            row, col = row[later], col[later]
+        one, two = nodes["size"][row], self.members["size"][col]
+        fits = np.minimum(one, two) >= LEAST * np.maximum(one, two) - 1e-9
+        row, col = row[fits], col[fits]
+        cuts = np.flatnonzero(row[1:] != row[:-1]) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(row)], strict=True):
+            if hi > lo:
+                yield int(row[lo]), col[lo:hi]
 
     def _met(self, node: np.void, some: np.ndarray) -> list[int]:
         """Of each component among ``some`` that holds a member alike to ``node``, the likest member."""
@@ -195,13 +211,12 @@ class _Group:
         self.members = np.concatenate(self.held) if self.held else self.members
         self.held = []
         self.label = np.arange(len(self.members))
+        self.fp = np.ascontiguousarray(self.members["fp"])
         tree = []
-        fp = self.members["fp"]
-        step = max(1, PAIRS // max(1, len(fp)))
-        for at in range(0, len(fp), step):
-            far = np.bitwise_count(fp[at : at + step, None] ^ fp[None, :])
-            for i in range(at, min(len(fp), at + step)):
-                some = self._near(self.members[i], far[i - at, i + 1 :], i + 1)
+        step = max(1, PAIRS // max(1, len(self.fp)))
+        for at in range(0, len(self.fp), step):
+            for nth, some in self._near(self.members[at : at + step], at):
+                i = at + nth
                 for place in self._met(self.members[i], some[self.label[some] != self.label[i]]):
                     self.label[self.label == self.label[place]] = self.label[i]
                     tree.append((int(self.members["id"][i]), int(self.members["id"][place])))
@@ -209,14 +224,12 @@ class _Group:
 
     def ask(self, queries: np.ndarray) -> Iterator[tuple[int, int]]:
         """One link to each component that a query is near."""
-        fp = self.members["fp"]
-        step = max(1, PAIRS // max(1, len(fp)))
-        for at in range(0, len(queries) if len(fp) else 0, step):
+        step = max(1, PAIRS // max(1, len(self.fp)))
+        for at in range(0, len(queries) if len(self.fp) else 0, step):
             part = queries[at : at + step]
-            far = np.bitwise_count(part["fp"][:, None] ^ fp[None, :])
-            for node, own in zip(part, far, strict=True):
-                for place in self._met(node, self._near(node, own, 0)):
-                    yield int(node["id"]), int(self.members["id"][place])
+            for i, some in self._near(part):
+                for place in self._met(part[i], some):
+                    yield int(part["id"][i]), int(self.members["id"][place])
 
 
 def links(nodes: DataFrame, most: int = MOST) -> DataFrame:
@@ -397,9 +410,11 @@ def _rooted(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     one = rows.groupBy("class").agg(F.min("doc_id").alias("least"), F.min(F.struct("at", "fp", "size", "sketch", "head")).alias("one"))
     # Stored, so that the numbers stay.
     nodes = settle(one.select(F.monotonically_increasing_id().alias("id"), "class", "least", "one.*"))
-    found = settle(links(nodes).distinct())
     shared = settle(_told_apart(nodes.select("id", F.explode("head").alias("hash")), "id").select("id", "hash"))
-    sets = settle(sets_of(_enough(shared, nodes.select("id", "at", "size")), body))
+    # Only texts whose heads allow a near copy are dealt to shards: rows are sent there once per part of a cell.
+    able = settle(_enough(shared, nodes.select("id", "at", "fp", "size", "sketch")))
+    found = settle(links(able).distinct())
+    sets = settle(sets_of(able, body))
     hung = components(checked(found, sets))
     more = components(missed(sets, shared, hung)).select(F.col("node").alias("root"), F.col("root").alias("top"))
     rooted = nodes.select("id", "class", "least").join(hung.withColumnRenamed("node", "id"), "id", "left")

@@ -86,6 +86,23 @@ def linked(llm, rows):
     return near_copies.links(nodes).count()
 
 
+def test_only_texts_that_can_have_a_near_copy_are_dealt_to_shards(llm, monkeypatch):
+    rng = np.random.default_rng(9)
+    alone = [(100 + i, " ".join(f"v{j}" for j in rng.integers(0, 10**9, 60))) for i in range(50)]
+    rows, dealt, real = varied(6, 120, 1) + alone, [], near_copies.links
+    monkeypatch.setattr(near_copies, "links", lambda nodes: dealt.append(nodes.count()) or real(nodes))
+    kept = {r["doc_id"] for r in near_copies.keep_one(llm.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert dealt == [6] and kept == kept_by_all_pairs(rows) == {0, *range(100, 150)}
+
+
+def test_a_node_is_sent_to_a_bounded_number_of_parts_of_its_cell(llm):
+    nodes = llm.createDataFrame([(i, i % 3, 100, bytes(near_copies.BINS)) for i in range(1000)], "id bigint, fp bigint, size bigint, sketch binary")
+    parts = near_copies.cell_parts(nodes, 0, most=10)
+    assert set(parts.values()) == {near_copies.PARTS}
+    assert near_copies.routed(nodes, 0, parts).count() <= 1000 * near_copies.PARTS
+    assert set(near_copies.cell_parts(nodes, 0, most=500).values()) == {2}
+
+
 @pytest.mark.parametrize("edits", [1, 6, 9])
 def test_links_grow_with_the_nodes_of_a_group(llm, edits):
     """Dense groups give trees, and so do unlike neighbours that estimates do not tell apart, however many they are."""

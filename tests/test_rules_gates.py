@@ -67,6 +67,16 @@ def test_unconvertible_value_is_a_violation(spark):
     assert conform(df).first()["price"] is None
 
 
+def test_quarantine_evaluates_a_cell_once_whatever_rules_read_it(spark):
+    drawn = F.when(F.substring(F.md5(F.col("store_id")), 1, 1) < "0", F.lit(None)).otherwise(F.col("price"))
+    df = table(spark, ROW, changed(price=-1.0), changed(price=None)).withColumn("price", drawn)
+    for part, prices in zip(rules.quarantine(df, rules.sales_rules()), ([10.0], [-1.0, None]), strict=True):
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("md5(") == 1 and "lambda" not in plan
+        assert [r["price"] for r in part.collect()] == prices
+    assert rules.with_violations(df, []).first()["violations"] == []
+
+
 def test_missing_column_and_extra_column(spark):
     df = table(spark, ROW).drop("price").withColumn("extra", F.lit(1))
     counted = {r["rule"]: r["n_violations"] for r in rules.violation_counts(df, rules.sales_rules()).collect()}
